@@ -1,4 +1,483 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalar, teams
+from tidemark.operators import asof, classify, events, fit, ingest, journal, measure, resolve, sides, summary, tables
+from tidemark.plans import fixtures, views
+from tidemark.plans.params import DAILY, DAY, Params
+from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
+from tidemark.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+ID = ["post_id", "market_id"]
+DATA_END = datetime(1998, 6, 1)
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    moments = news_markets(spark, d).withColumn("expected_move", F.lit(None).cast("double"))
+    return measure.measure(moments, prints(spark, d), ID, DAILY, DATA_END)
+
+
+# ---- as-of lookups and range joins
+
+
+def _last(spark: SparkSession, d: str, inclusive: bool) -> DataFrame:
+    moments = news_markets(spark, d).select(*ID, "at", F.col("favored_id").alias("outcome_id"))
+    got = asof.last_price(moments, asof.taker_prints(prints(spark, d)), ID, DAILY.lookback, inclusive)
+    return got.select("post_id", "market_id", "price_ts", F.round("price", 6).alias("price"))
+
+
+def _last_sql(op: str) -> str:
+    return f"WITH {PRINTS}, {NEWS_MARKETS}, {views.last('pre', 't.ts >= n.moment - INTERVAL 60 DAY', f't.ts {op} n.moment')} SELECT n.post_id, n.market_id, pre.ts AS price_ts, round(pre.price, 6) AS price FROM n LEFT JOIN pre USING (post_id, market_id)"
+
+
+@query(_last_sql("<"))
+def asof_vwap_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _last(spark, d, False)
+
+
+@query(_last_sql("<="))
+def asof_vwap_inclusive(spark: SparkSession, d: str) -> DataFrame:
+    return _last(spark, d, True)
+
+
+@query(f"WITH {PRINTS}, {NEWS_MARKETS} SELECT n.post_id, n.market_id, count(*) AS trades, round(sum(p.qty), 6) AS qty, min(p.ts) AS first_ts, max(p.ts) AS last_ts FROM n JOIN prints AS p ON n.market_id = p.market_id AND p.ts >= n.moment - INTERVAL 70 DAY AND p.ts <= n.moment + INTERVAL 60 DAY GROUP BY ALL")
+def interval_window_trades(spark: SparkSession, d: str) -> DataFrame:
+    low, high = scalar.plus(F.col("at"), -DAILY.lookback - DAILY.drift_lead), scalar.plus(F.col("at"), DAILY.settle)
+    found = asof.range_join(news_markets(spark, d).select(*ID, "at"), views.raw_prints(spark, d), ["market_id"], low, high, 130 * DAY)
+    return found.groupBy(*ID).agg(F.count("*").alias("trades"), F.round(F.sum("qty"), 6).alias("qty"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"""WITH {NEWS} SELECT a.post_id, (SELECT min(b.t0) FROM news AS b WHERE b.event_id = a.event_id AND b.t0 > a.t0 AND b.t0 <= a.t0 + INTERVAL 8 DAY) AS next_t0,
+    (SELECT min(b.post_id) FROM news AS b WHERE b.event_id = a.event_id AND b.t0 = (SELECT min(c.t0) FROM news AS c WHERE c.event_id = a.event_id AND c.t0 > a.t0 AND c.t0 <= a.t0 + INTERVAL 8 DAY)) AS next_post FROM news AS a""")
+def forward_asof_bounded(spark: SparkSession, d: str) -> DataFrame:
+    n = news(spark, d)
+    schedule = n.select(F.col("event_id").alias("nation"), F.col("post_id").alias("event_id"), F.col("t0").alias("starts_at"))
+    got = asof.next_event(n.select("post_id", F.col("event_id").alias("nation"), F.col("t0").alias("at")), schedule, ["post_id"], ["nation"], -DAY, 8 * DAY)
+    return got.select("post_id", F.col("starts_at").alias("next_t0"), F.col("event_id").alias("next_post"))
+
+
+# ---- fills, stale statistics, measurement
+
+
+@query(f"WITH {PRINTS}, {NEWS_MARKETS}, {FILLS} SELECT post_id, market_id, count(*) AS levels, round(sum(qty), 6) AS qty, round(sum(qty * price), 6) AS cost, count(*) FILTER (ambiguous) AS ambiguous FROM lv GROUP BY ALL")
+def maker_levels(spark: SparkSession, d: str) -> DataFrame:
+    got = measure.fills(news_markets(spark, d), prints(spark, d), ID, DAILY)
+    return got.groupBy(*ID).agg(F.count("*").alias("levels"), F.round(F.sum("qty"), 6).alias("qty"), F.round(F.sum(F.col("qty") * F.col("price")), 6).alias("cost"), F.count_if("ambiguous").alias("ambiguous"))
+
+
+STALE = ["fills", "first_s", "last_s", "qty", "cost", "ambiguous_qty", "qty_upper", "qty_0_1d", "qty_1_3d", "qty_3_10d"]
+
+
+def _stale_select(alias: str) -> str:
+    return ", ".join(f"round(CAST({alias}.{c} AS DOUBLE), 6) AS {c}" if c != "fills" else f"{alias}.fills" for c in STALE)
+
+
+@query(f"WITH {PRINTS}, {NEWS_MARKETS}, {FILLS}, {views.stale('st', 'SELECT post_id, market_id, 0.55 AS threshold FROM n')} SELECT post_id, market_id, {_stale_select('st')} FROM st")
+def stale_stats_buckets(spark: SparkSession, d: str) -> DataFrame:
+    n = news_markets(spark, d)
+    got = measure.stale_stats(n.withColumn("threshold", F.lit(0.55)), measure.fills(n, prints(spark, d), ID, DAILY), ID, "x", DAILY)
+    return rounded(got.select(*ID, *[F.col(f"x_{c}").alias(c) for c in STALE]))
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE} SELECT post_id, market_id, excluded, post_cut_short, round(pre_price, 6) AS pre_price, round(CAST(pre_age_s AS DOUBLE), 6) AS pre_age_s, round(lead_price, 6) AS lead_price,
+    round(drift, 6) + 0.0 AS drift, recent_pre_trade, round(post_price, 6) AS post_price, round(move, 6) + 0.0 AS move FROM m""")
+def measure_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(measured(spark, d).select(*ID, "excluded", "post_cut_short", "pre_price", "pre_age_s", "lead_price", "drift", "recent_pre_trade", "post_price", "move"))
+
+
+@query(f"WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, {FILLS}, {XP} SELECT post_id, market_id, {_stale_select('xp')} FROM xp")
+def ex_post_view(spark: SparkSession, d: str) -> DataFrame:
+    got = measured(spark, d).filter("xp_fills is not null")
+    return rounded(got.select(*ID, *[F.col(f"xp_{c}").alias(c) for c in STALE]))
+
+
+# ---- summaries
+
+
+def _near(c: str, q: float) -> str:
+    return f"round(CAST(list_sort(list({c}))[CAST(round_even({q} * (count({c}) - 1), 0) AS INTEGER) + 1] AS DOUBLE), 1)"
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, {FILLS}, {XP} SELECT status, count(DISTINCT post_id) AS events, count(*) AS markets, round_even(avg(CASE WHEN fills > 0 THEN 1.0 ELSE 0.0 END), 3) AS share_stale,
+    round_even(median(CAST(first_s AS DOUBLE)), 1) AS first_s_p50, {_near("first_s", 0.9)} AS first_s_p90, {_near("last_s", 0.25)} AS last_s_p25, round_even(median(CAST(last_s AS DOUBLE)), 1) AS last_s_p50, {_near("last_s", 0.75)} AS last_s_p75, {_near("last_s", 0.9)} AS last_s_p90,
+    round_even(sum(qty), 0) AS qty, round_even(sum(cost), 0) AS cost_usd, round_even(sum(ambiguous_qty), 0) AS ambiguous_qty, round_even(sum(qty_upper), 0) AS qty_upper, round_even(sum(qty_0_1d), 0) AS qty_0_1d, round_even(sum(qty_1_3d), 0) AS qty_1_3d, round_even(sum(qty_3_10d), 0) AS qty_3_10d
+    FROM xp JOIN m USING (post_id, market_id) GROUP BY status""")
+def summarize_groups(spark: SparkSession, d: str) -> DataFrame:
+    return summary.summarize(measured(spark, d), ["status"], "xp", DAILY)
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, s AS (SELECT *, greatest(0.0, least(1.0, drift / (drift + move))) AS share FROM m WHERE moved AND drift IS NOT NULL AND drift + move > 0)
+    SELECT status, count(*) AS markets, round(sum(drift) / sum(drift + move), 3) AS ratio, round(median(share), 3) AS median_share, round(avg(CASE WHEN share >= 0.5 THEN 1.0 ELSE 0.0 END), 3) AS half_or_more FROM s GROUP BY status""")
+def drift_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return summary.drift_table(measured(spark, d), ["status"])
+
+
+_ROLL = f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, {FILLS}, {XP}, r AS (SELECT post_id, count(*) AS markets, count(*) FILTER (moved) AS moved, count(*) FILTER (fills > 0) AS with_stale, coalesce(bool_or(fills > 0), false) AS any_stale,
+    min(first_s) AS first_s, max(last_s) AS last_s, round(coalesce(sum(qty), 0), 6) AS qty, round(coalesce(sum(cost), 0), 6) AS cost, round(sum(qty_upper), 6) AS qty_upper FROM m LEFT JOIN xp USING (post_id, market_id) GROUP BY post_id)"""
+
+
+@query(_ROLL + " SELECT post_id, markets, moved, with_stale, any_stale, CAST(first_s AS DOUBLE) AS first_s, CAST(last_s AS DOUBLE) AS last_s, qty, cost, qty_upper FROM r")
+def per_event_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary.per_event(measured(spark, d), ["post_id"]))
+
+
+@query(_ROLL + " SELECT post_id, markets, qty_upper FROM r ORDER BY qty_upper DESC NULLS LAST, post_id LIMIT 40")
+def largest_events(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary.largest_events(summary.per_event(measured(spark, d), ["post_id"]), "post_id").select("post_id", "markets", "qty_upper"))
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE},
+    f AS (SELECT post_id, status, market_id AS kind, tier1, move, moment + INTERVAL 60 DAY AS settled_at FROM m WHERE move IS NOT NULL AND excluded IS NULL AND NOT coalesce(post_cut_short, false) AND moment >= TIMESTAMP '1995-01-03'),
+    a AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON t.status = f.status AND t.market_id = f.kind AND t.tier1 = f.tier1 AND f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5),
+    b AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON t.status = f.status AND f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5)
+    SELECT m.post_id, m.market_id, round(CASE WHEN datediff('day', TIMESTAMP '1995-01-03', moment) >= 7 THEN coalesce(a.x, b.x) END, 6) + 0.0 AS expected_move FROM m LEFT JOIN a USING (post_id, market_id) LEFT JOIN b USING (post_id, market_id)""")
+def expanding_median_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = measured(spark, d).withColumns({"week": scalar.season_week(F.col("at"), DAILY.season_start, "UTC"), "kind": F.col("market_id")}).drop("expected_move")
+    got = fit.expected_moves(rows, fit.fit_rows(rows, DAILY), ID, DAILY)
+    return got.select(*ID, F.round("expected_move", 6).alias("expected_move"))
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE} SELECT status, market_id, count(*) AS markets, count(*) FILTER (move IS NOT NULL) AS measured, count(*) FILTER (move > 0) AS rose, count(*) FILTER (moved) AS moved FROM m GROUP BY ALL HAVING count(*) >= 5""")
+def having_min_markets(spark: SparkSession, d: str) -> DataFrame:
+    got = measured(spark, d).groupBy("status", "market_id").agg(F.count("*").alias("markets"), F.count_if(F.col("move").isNotNull()).alias("measured"), F.count_if(F.col("move") > 0).alias("rose"), F.count_if("moved").alias("moved"))
+    return got.filter("markets >= 5")
+
+
+@query("SELECT coalesce(excluded, 'measured') AS excluded, count(*) AS n FROM (WITH " + f"{PRINTS}, {NEWS_MARKETS}, {MEASURE}" + " SELECT excluded FROM m) AS q GROUP BY 1")
+def exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return measured(spark, d).groupBy(F.coalesce("excluded", F.lit("measured")).alias("excluded")).agg(F.count("*").alias("n"))
+
+
+# ---- selection of news
+
+
+@query(f"WITH {NEWS} SELECT post_id, event_id, t0 FROM news AS n WHERE NOT EXISTS (SELECT 1 FROM news AS o WHERE o.event_id = n.event_id AND o.post_id <> n.post_id AND o.t0 < n.t0 AND o.t0 >= n.t0 - INTERVAL 2 DAY)")
+def overlap_anti(spark: SparkSession, d: str) -> DataFrame:
+    return events.drop_overlapping(news(spark, d), ["event_id"], 2 * DAY).select("post_id", "event_id", "t0")
+
+
+@query(f"WITH {NEWS} SELECT post_id, event_id, t0 FROM news AS n WHERE EXISTS (SELECT 1 FROM news AS o WHERE o.event_id = n.event_id AND o.post_id <> n.post_id AND o.t0 < n.t0 AND o.t0 >= n.t0 - INTERVAL 2 DAY)")
+def overlap_semi(spark: SparkSession, d: str) -> DataFrame:
+    return events.drop_overlapping(news(spark, d), ["event_id"], 2 * DAY, keep=False).select("post_id", "event_id", "t0")
+
+
+@query(f"WITH {NEWS} SELECT post_id, subject FROM news AS n WHERE status = '2-HIGH' AND NOT EXISTS (SELECT 1 FROM news AS o WHERE o.subject = n.subject AND o.status = '1-URGENT' AND abs(epoch(o.t0) - epoch(n.t0)) < 60 * 86400)")
+def gap_exclusion_anti(spark: SparkSession, d: str) -> DataFrame:
+    n = news(spark, d)
+    return events.quiet(n.filter("status = '2-HIGH'"), n.filter("status = '1-URGENT'"), ["subject"], DAILY.control_gap).select("post_id", "subject")
+
+
+@query(f"""WITH {NEWS} SELECT post_id, other, nth FROM (SELECT a.post_id, b.post_id AS other, row_number() OVER (PARTITION BY a.post_id ORDER BY abs(epoch(b.t0) - epoch(a.t0)), b.post_id) AS nth
+    FROM news AS a JOIN news AS b ON a.subject = b.subject AND a.post_id <> b.post_id WHERE a.status = '1-URGENT') AS x WHERE nth <= 3""")
+def nearest_k_placebo(spark: SparkSession, d: str) -> DataFrame:
+    n = news(spark, d)
+    a, b = n.filter("status = '1-URGENT'").select("post_id", "subject", "t0"), n.select("subject", F.col("post_id").alias("other"), F.col("t0").alias("o_t0"))
+    pairs = a.join(b, "subject").filter("post_id <> other")
+    return events.nearest_k(pairs, ["post_id"], F.abs(scalar.seconds_between(F.col("o_t0"), F.col("t0"))), "other", 3).select("post_id", "other", "nth")
+
+
+# ---- ingestion
+
+
+@query(f"WITH {PRINTS} SELECT ts, market_id, side, taker_count > 1 AS ambiguous, CAST(max(taker_count) AS BIGINT) AS taker_count, count(*) AS n FROM prints GROUP BY ALL")
+def ambiguity_flag(spark: SparkSession, d: str) -> DataFrame:
+    return prints(spark, d).groupBy("ts", "market_id", "side", "ambiguous").agg(F.max("taker_count").cast("long").alias("taker_count"), F.count("*").alias("n"))
+
+
+@query("""SELECT reason, count(*) AS n, round(sum(price), 6) AS price FROM (SELECT CASE WHEN l_returnflag NOT IN ('R', 'A') THEN 'side' WHEN l_quantity <= 5 THEN 'qty' WHEN l_extendedprice < 20000 THEN 'cost' ELSE 'ok' END AS reason, l_extendedprice / l_quantity AS price FROM lineitem) AS x GROUP BY reason""")
+def price_validation(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    bad = [("side", ~F.col("l_returnflag").isin("R", "A")), ("qty", F.col("l_quantity") <= 5), ("cost", F.col("l_extendedprice") < 20000)]
+    reason = F.coalesce(*[F.when(F.coalesce(b, F.lit(True)), n) for n, b in bad], F.lit("ok"))
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("price"))
+
+
+RAW = "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN l_linenumber = 7 THEN '' ELSE 'Z' END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row_num, CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'X' ELSE 'TAKER' END AS side, {RAW} AS ts, CASE WHEN l_linenumber = 6 THEN '1d' ELSE CAST(l_linenumber AS VARCHAR) END AS legs, l_quantity AS q FROM lineitem),
+    c AS (SELECT row_num, CASE WHEN side = 'X' THEN 0 WHEN NOT regexp_matches(ts, 'Z$') THEN 1 WHEN legs = '1d' THEN 3 WHEN q - 5 <= 0 THEN 4 END AS rule FROM r)
+    SELECT CAST(rule AS INTEGER) AS rule, count(*) AS bad, array_to_string(list_sort(list(row_num))[1:5], ',') AS rows FROM c WHERE rule IS NOT NULL GROUP BY rule""")
+def rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    uid = F.lit("01900000-0000-7000-8000-000000000000")
+    raw = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + line).alias("row_num"), F.when((F.col("l_returnflag") == "N") & (line == 1), "X").otherwise("TAKER").alias("side"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(line == 7, "").otherwise("Z")).alias("timestamp"),
+        uid.alias("outcomeId"), uid.alias("marketId"), F.when(line == 6, "1d").otherwise(line.cast("string")).alias("legs"), F.lit("1.5").alias("cost"), (F.col("l_quantity") - 5).cast("string").alias("qty"),
+    )
+    return ingest.violations(raw).select("rule", "bad", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
+
+
+@query("SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS d FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 7 = 0) AS a) AS s WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 = 0)")
+def missing_days(spark: SparkSession, d: str) -> DataFrame:
+    # every seventh order, so that some days have none: the operator's gap, not a shortcut
+    return ingest.missing_days(table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("day")))
+
+
+@query("SELECT c_custkey, nullif(CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END, '') AS segment FROM customer")
+def empty_to_null(spark: SparkSession, d: str) -> DataFrame:
+    given = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", F.nullif(given, F.lit("")).alias("segment"))
+
+
+# ---- counts, weeks, windows
+
+
+@query("""WITH w AS (SELECT unnest(generate_series(date_trunc('week', min(ts)), max(ts), INTERVAL 1 DAY)) AS week FROM events)
+    SELECT week, count(e.ts) AS posts, count(*) FILTER (e.event_type = 'purchase') AS purchases FROM w LEFT JOIN events AS e ON e.ts >= week AND e.ts < week + INTERVAL 1 DAY AND e.user_id % 5 = 0 GROUP BY week""")
+def weekly_counts_zero_fill(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    span = e.agg(F.date_trunc("week", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"))
+    weeks = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("week"))
+    # posts fall into exactly one window, so an equality on its start replaces the range condition
+    seen = e.filter("user_id % 5 = 0").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("posts"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return weeks.join(seen, "week", "left").select("week", F.coalesce("posts", F.lit(0)).alias("posts"), F.coalesce("purchases", F.lit(0)).alias("purchases"))
+
+
+@query("SELECT o_orderkey, CASE WHEN datediff('day', DATE '1995-01-03', CAST(o_orderdate AS DATE)) >= 0 THEN CAST(floor(datediff('day', DATE '1995-01-03', CAST(o_orderdate AS DATE)) / 7) AS INTEGER) + 1 END AS week FROM orders")
+def week_number(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", scalar.season_week(F.col("o_orderdate"), DAILY.season_start, "UTC").alias("week"))
+
+
+@query("SELECT event_type, user_id, count(*) FILTER (value > 50) AS big, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY event_type, user_id")
+def count_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count_if(F.col("value") > 50).alias("big"), F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"))
+
+
+@query("SELECT event_type LIKE 'c%' AS clicks, user_id < 50 AS early, count(*) AS n FROM events GROUP BY 1, 2 ORDER BY 1, 2")
+def prefix_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.groupBy(F.col("event_type").like("c%").alias("clicks"), (F.col("user_id") < 50).alias("early")).agg(F.count("*").alias("n")).orderBy("clicks", "early")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 25")
+def top_counters(spark: SparkSession, d: str) -> DataFrame:
+    return classify.status_counts(table(spark, d, "events"), "user_id", 25)
+
+
+@query("SELECT max(ts) AS max_ts FROM events")
+def global_max(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").agg(F.max("ts").alias("max_ts"))
+
+
+@query("SELECT user_id, event_id, seq, CASE WHEN seen IS NULL THEN 'first' WHEN seq <= seen THEN 'duplicate' WHEN seq > seen + 1 THEN 'gap' ELSE 'ok' END AS result FROM (SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS seq, max(CAST(json_extract(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) AS x")
+def seq_gap_detect(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("seq"))
+    return journal.running_gaps(rows, ["user_id"], "event_id", "seq").select("user_id", "event_id", "seq", "result")
+
+
+@query()
+def sequence_tracker(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = table(spark, d, "events").select(F.lit("c1").alias("conn"), F.col("user_id").cast("string").alias("market"), F.col("event_id").alias("line"), F.when(k % 2 == 0, "book").otherwise("lifecycle").alias("channel"), F.when(F.col("event_type") == "signup", "snapshot").otherwise("delta").alias("kind"), k.alias("seq"))
+    return journal.sequence_results(rows)
+
+
+# ---- scalar functions on the driver's rows
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000 - 1288834974657 AS BIGINT) * 4194304 + 5 AS id, date_trunc('millisecond', ts) AS t0 FROM events")
+def snowflake_decode(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    made = table(spark, d, "events").select("event_id", (F.shiftleft(ms - scalar.POST_EPOCH_MS, 22) + 5).alias("id"))
+    return made.select("event_id", "id", scalar.post_time(F.col("id")).cast("timestamp_ntz").alias("t0"))
+
+
+@query("SELECT event_id, date_trunc('millisecond', ts) AS created FROM events")
+def uuid7_time(spark: SparkSession, d: str) -> DataFrame:
+    hex_ = F.lpad(F.lower(F.hex(F.unix_millis(F.col("ts").cast("timestamp")))), 12, "0")
+    made = table(spark, d, "events").select("event_id", F.concat(F.substring(hex_, 1, 8), F.lit("-"), F.substring(hex_, 9, 4), F.lit("-7000-8000-000000000000")).alias("uid"))
+    return made.select("event_id", scalar.uuid7_time(F.col("uid")).cast("timestamp_ntz").alias("created"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(replace(lower(strip_accents(substr(coalesce(text, ''), 1, 200))), '-', ' '), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v'))) AS w FROM documents)
+    SELECT w AS word, count(*) AS n FROM t GROUP BY w""")
+def name_normalize(spark: SparkSession, d: str) -> DataFrame:
+    # names are short: a text's first 200 characters stand for one here, since the operator is for names
+    named = table(spark, d, "documents").select(scalar.normalize_name(F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("name"))
+    return named.select(F.explode(F.split("name", " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT DISTINCT regexp_extract(link, '^/(.+)$', 1) AS target FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) AS x""")
+def html_link_extract(spark: SparkSession, d: str) -> DataFrame:
+    links = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("link")
+    return table(spark, d, "pages").select(links).select(F.regexp_extract("link", "^/(.+)$", 1).alias("target")).distinct()
+
+
+@query("SELECT page_id, md5(html) AS etag_md5 FROM pages")
+def etag_md5(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", scalar.md5_of_etag(F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))).alias("etag_md5"))
+
+
+@query("SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS clipped, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_and_clip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", scalar.clip01(F.col("value") / 100).alias("clipped"), F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# ---- joins, sets, arrays, upserts
+
+
+@query("SELECT o_orderkey, c_custkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F' AND c_mktsegment IS NOT NULL")
+def inner_4way(spark: SparkSession, d: str) -> DataFrame:
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    return o.filter("o_orderstatus = 'F'").join(c.filter("c_mktsegment is not null"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "c_custkey", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, o_orderkey, coalesce(o_orderpriority, c_mktsegment) AS label FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') AS o ON o_custkey = c_custkey")
+def left_join_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey", F.coalesce("o_orderpriority", "c_mktsegment").alias("label"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def semi_traded(spark: SparkSession, d: str) -> DataFrame:
+    traded = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return table(spark, d, "part").join(traded, "p_partkey", "left_semi").select("p_partkey", "p_brand")
+
+
+@query("SELECT DISTINCT p_brand AS market_id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R'")
+def traded_set(spark: SparkSession, d: str) -> DataFrame:
+    return views.raw_prints(spark, d).filter("side = 'TAKER'").select("market_id").distinct()
+
+
+@query("SELECT 'order' AS kind, o_custkey AS who, o_orderdate AS ts FROM orders UNION ALL SELECT 'event', user_id, ts FROM events")
+def union_labelled(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_custkey").alias("who"), F.col("o_orderdate").alias("ts"))
+    return a.unionByName(table(spark, d, "events").select(F.lit("event").alias("kind"), F.col("user_id").alias("who"), "ts"))
+
+
+@query("""WITH a AS (SELECT o_custkey, list_sort(list(DISTINCT l_partkey % 10)) AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey)
+    SELECT o_custkey, array_to_string(list_sort(list_filter(p, lambda x: x IN (1, 3, 5))), ',') AS kept, array_to_string(list_sort(list_filter(p, lambda x: x NOT IN (1, 3, 5))), ',') AS rest FROM a""")
+def array_sets(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "orders").join(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.collect_set(F.col("l_partkey") % 10).alias("p"))
+    three = F.array(*[F.lit(x).cast("long") for x in (1, 3, 5)])
+    text = lambda x: F.array_join(F.transform(F.array_sort(x), lambda v: v.cast("string")), ",")
+    return a.select("o_custkey", text(F.array_intersect("p", three)).alias("kept"), text(F.array_except("p", three)).alias("rest"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) AS x WHERE rn = 1")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
+    return tables.last_by_key(rows, ["o_custkey"], "at").drop("at")
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, min(o_orderkey) AS a, min(o_orderstatus) AS s FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey), n AS (SELECT o_custkey AS k, max(o_orderkey) AS a, max(o_orderstatus) AS s FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY o_custkey)
+    SELECT coalesce(o.k, n.k) AS k, coalesce(o.a, n.a) AS a, CASE WHEN n.k IS NOT NULL THEN n.s ELSE o.s END AS s FROM o FULL JOIN n ON o.k = n.k""")
+def upsert_rules(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    old = o.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("a"), F.min("o_orderstatus").alias("s"))
+    new = o.filter("o_orderpriority = '5-LOW'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("a"), F.max("o_orderstatus").alias("s"))
+    return tables.upsert(old, new, ["k"], ["s"])
+
+
+@query("""WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS size, p_brand AS md5 FROM part WHERE p_partkey % 10 <> 0), s AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_brand END AS md5 FROM part WHERE p_partkey % 9 <> 0)
+    SELECT * FROM (SELECT coalesce(a.path, s.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN s.path IS NULL THEN 'extra' WHEN a.size <> s.size THEN 'size' WHEN a.md5 <> s.md5 THEN 'checksum' END AS verdict FROM a FULL JOIN s ON a.path = s.path) AS x WHERE verdict IS NOT NULL""")
+def archive_compare(spark: SparkSession, d: str) -> DataFrame:
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    a = p.filter(k % 10 != 0).select(k.cast("string").alias("path"), F.col("p_size").alias("size"), F.col("p_brand").alias("md5"))
+    s = p.filter(k % 9 != 0).select(k.cast("string").alias("path"), F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(k % 11 == 0, "x").otherwise(F.col("p_brand")).alias("md5"))
+    return tables.compare_files(a, s)
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'no backup' WHEN s_suppkey % 3 = 0 THEN 'backup not local' WHEN s_suppkey % 5 = 0 THEN 'no parquet' WHEN s_suppkey % 7 = 0 THEN 'verify failed' END AS reason FROM supplier""")
+def deletable_reasons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    names = lambda where: table(spark, d, "supplier").filter(where).select(k.cast("string").alias("name"), F.lit(1).alias("size"))
+    return tables.deletable(names(F.lit(True)), names(k % 2 != 0), names(k % 3 != 0), names(k % 5 != 0), names(k % 7 == 0)).select("name", "reason")
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(x)') THEN NULL ELSE p_name || ' ' || CAST(p_size AS VARCHAR) || ' ' || p_type END AS description, trim(p_name) AS player FROM part")
+def prop_players(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").withColumn("description", F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), "p_type"))
+    return rows.select("p_partkey", "description", scalar.prop_player(F.col("description"), F.col("p_type")).alias("player"))
+
+
+# ---- operators on written-out fixtures: patterns, ladders and state machines that SQL can't express
+
+
+@query()
+def template_classify(spark: SparkSession, d: str) -> DataFrame:
+    c = classify.classification(F.col("text")).alias("c")
+    real = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return real.unionByName(fixtures.posts(spark).select(F.col("post_id").cast("string").alias("id"), "text")).select("id", c).select("id", "c.*")
+
+
+@query()
+def resolve_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(fixtures.subjects(spark), fixtures.games(spark), fixtures.markets(spark), Params()).drop("resolved_at")
+
+
+@query()
+def favored_sides(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.moments(spark).join(fixtures.side_markets(spark))
+    return sides.favored_side(rows).select("subject", "market_id", "kind", "favored_id", "favored", "reason")
+
+
+@query()
+def missing_windows(spark: SparkSession, d: str) -> DataFrame:
+    return journal.missing_windows(fixtures.journal(spark))
+
+
+@query()
+def plan_slots(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.lit("prod").alias("env"), F.col("c_name").alias("eventId"), F.col("c_custkey").alias("startsTs"), (F.col("c_nationkey") * 40).alias("markets"), F.lit(None).cast("int").alias("current_slot"))
+    return journal.plan_slots(rows)
+
+
+@query("SELECT * FROM (VALUES ('Carolina Panthers @ Arizona Cardinals', 'Panthers', 'Cardinals'), ('Super Bowl winner', NULL, NULL), ('Tampa Bay Buccaneers @ Ohio Knights', NULL, NULL)) AS t(description, away, home)")
+def game_team_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("Carolina Panthers @ Arizona Cardinals",), ("Super Bowl winner",), ("Tampa Bay Buccaneers @ Ohio Knights",)], "description string")
+    t = teams.game_teams(F.col("description"))
+    return rows.select("description", F.get(t, F.lit(0)).alias("away"), F.get(t, F.lit(1)).alias("home"))
+
+
+@query("SELECT lower(role) AS role, count(*) AS n FROM conversations WHERE lower(role) = lower('USER') AND turn >= 0 AND turn < 3 GROUP BY 1")
+def ranges_and_case(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").filter((F.lower("role") == F.lower(F.lit("USER"))) & (F.col("turn") >= 0) & (F.col("turn") < 3))
+    return rows.groupBy(F.lower("role").alias("role")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, rn FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) AS x")
+def row_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("rn"))
+
+
+@query("SELECT custkey, unnest(ids) AS id FROM (SELECT o_custkey AS custkey, list(o_orderkey) AS ids FROM orders GROUP BY o_custkey) AS x")
+def explode_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_list("o_orderkey").alias("ids"))
+    return lists.select("custkey", F.explode("ids").alias("id"))
+
+
+@query("SELECT CAST(d AS VARCHAR) AS name, CAST(d AS DATE) AS day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') AS x")
+def completed_days(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("name")).distinct().union(spark.createDataFrame([("not a day",)], "name string"))
+    return files.completed_days(names, datetime(1996, 1, 1).date())
+
+
+@query("SELECT greatest(0, 3) * 0.5 + 2 * 0.25 + 1.0 AS cost")
+def run_costs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql("select map('item', 3, 'start', 2) as counts, map('item', named_struct('eventPriceUsd', cast(null as double), 'eventTieredPricingUsd', map('a', named_struct('tieredEventPriceUsd', 0.5D), 'b', named_struct('tieredEventPriceUsd', 0.25D))), 'start', named_struct('eventPriceUsd', 0.25D, 'eventTieredPricingUsd', cast(null as map<string, struct<tieredEventPriceUsd: double>>))) as prices, 1.0D as usage")
+    return rows.select(scalar.run_cost(F.col("counts"), F.col("prices"), F.col("usage")).alias("cost"))
