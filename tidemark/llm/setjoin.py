@@ -3,11 +3,12 @@
 1. Counts of shingles over all documents find the frequent ones; they come last
    in the global order, so a passage that many documents share is in nobody's prefix
    unless little else is.
-2. Every document emits its prefix under that order (two documents over the
-   threshold share a prefix shingle) and a digest of its set; equal sets are one class.
+2. Equal sets are one class.  Every class emits an extended prefix under that
+   order: two that link share at least `shared(n)` shingles of their prefixes, n the smaller size.
    Prefixes travel as sorted blocks of a few bytes a shingle.
 3. Classes that meet at a shingle form that shingle's group, kept under the
-   group's smallest class; a group inside another is dropped.
+   group's smallest class.  A class that meets others at too few of its shingles
+   can link with nobody and leaves; a group inside another is dropped.
 4. Groups are verified in blocks of bounded size.  A block's documents are partitioned
    into small groups of similar ones, a sparse token-group matrix holds each small
    group's token union, and only groups whose union covers the required overlap with a
@@ -79,56 +80,71 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles, rarest first: at most (all shingles) / (documents / FREQUENT), so a bounded multiple of the mean set size."""
+def shared(n):
+    """Prefix shingles that two linked sets share at least, n being the smaller size.
+
+    With an overlap of at least the larger set's least(size), prefixes of
+    size - least(size) + shared(size) shingles have that many in common.
+    """
+    return 1 + n // 10
+
+
+def survey(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds. sig: doc_id, n, cls, digest of each row's set. often: token and df of shingles that are frequent in a slab of rows."""
 
     def run(batches):
         for b in slabs(batches):
-            every = np.concatenate([*shingle_sets(texts_of(b.column(0))), np.zeros(0, np.uint64)])
+            sets = shingle_sets(texts_of(b.column(1)))
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(["sig"] * k), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(d) for d in digest], pa.int64()), pa.array(digest, pa.binary()), *[pa.array([None] * k, pa.int64())] * 2], names)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
             every.sort()
             cuts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             count = np.diff(np.append(cuts, len(every)))
             keep = count >= SLAB_COUNT
-            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[keep]].view(np.int64)), pa.array(count[keep], pa.int64())], ["token", "df"])
+            k = int(keep.sum())
+            nulls = [pa.array([None] * k, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(["often"] * k, pa.string()), *nulls, pa.array([None] * k, pa.binary()), pa.array(every[cuts[keep]].view(np.int64)), pa.array(count[keep], pa.int64())], names)
+
+    names = ["kind", "doc_id", "n", "cls", "digest", "token", "df"]
+    return docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, n long, cls long, digest binary, token long, df long")
+
+
+def key_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-    floor = max(64, docs.count() // FREQUENT)
-    found = docs.select("text").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).orderBy("df", "token").toArrow()
+
+def frequent(seen: DataFrame, rows: int) -> np.ndarray:
+    """Frequent shingles, rarest first: at most (all shingles) / (documents / FREQUENT), so a bounded multiple of the mean set size."""
+    found = seen.groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= max(64, rows // FREQUENT)).orderBy("df", "token").select("token").toArrow()
     return found.column(0).to_numpy().view(np.uint64)
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds. sig: doc_id, n, class, digest. blob: bucket and blocks of a slab's prefix shingles."""
+    """bucket and blocks of a slab's prefix shingles."""
     order = np.argsort(hot)
-    shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
+    sent = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
     def run(batches):
-        known, rank = shared.value
+        known, rank = sent.value
         for b in slabs(batches):
-            ids, sets = b.column(0).to_pylist(), shingle_sets(texts_of(b.column(1)))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
-            cls = [int.from_bytes(d[:8], "little", signed=True) for d in digest]
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["sig"] * k), pa.array([None] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(digest, pa.binary()), *[pa.array([None] * k, pa.binary())] * 4],
-                NAMES,
-            )
-            seen: set[int] = set()
+            found: set[int] = set()
             toks, owner, classes, sizes = [], [], [], []
-            for s, c in zip(sets, cls, strict=True):
+            for s in shingle_sets(texts_of(b.column(0))):
                 n = len(s)
-                if not n or c in seen:
+                c = key_of(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                if not n or c in found:
                     continue
-                seen.add(c)
-                most = n - least(n) + 1
+                found.add(c)
+                most = n - least(n) + shared(n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     is_hot = known[at] == s
                     if is_hot.any():
                         s = np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
-                probe_only = np.zeros(most, np.uint32)
-                probe_only[n - (6 * n + 6) // 7 + 1 :] = 1
                 toks.append(s[:most])
-                owner.append(probe_only | np.uint32(len(classes) << 1))
+                owner.append(np.full(len(toks[-1]), len(classes), np.uint16))
                 classes.append(c)
                 sizes.append(min(n, 0xFFFFFFFF))
             if not toks:
@@ -139,24 +155,19 @@ def prefixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             tok, own, where = tok[by], own[by], where[by]
             cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(j, *block(tok[x:y], own[x:y], classes, sizes)) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            k = len(rows)
-            nulls = [pa.array([None] * k, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(["blob"] * k), pa.array([r[0] for r in rows], pa.int32()), *nulls, pa.array([None] * k, pa.binary()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], NAMES)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind string, bucket int, doc_id long, n long, cls long, digest binary, toks binary, own binary, classes binary, sizes binary")
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "toks", "own", "classes", "sizes"])
 
-
-NAMES = ["kind", "bucket", "doc_id", "n", "cls", "digest", "toks", "own", "classes", "sizes"]
+    return docs.select("text").mapInArrow(run, "bucket int, toks binary, own binary, classes binary, sizes binary")
 
 
 def block(tok: np.ndarray, own: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    used, back = np.unique(own >> np.uint32(1), return_inverse=True)
+    used, back = np.unique(own, return_inverse=True)
     # in a bucket, the low 32 bits tell shingles apart well enough: a chance meeting only costs a comparison
-    return (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((back.astype(np.uint16) << 1) | (own & np.uint32(1)).astype(np.uint16)).tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].tobytes()
+    return (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), back.astype("<u2").tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].tobytes()
 
 
 def meet(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(leader, member) classes that meet at a prefix shingle, each group under its smallest class."""
+    """leader, member, n, met: classes that meet at prefix shingles, each group under its smallest class; n is the member's size, met the number of shingles at which it meets others there."""
 
     def run(batches):
         bucket, parts = None, []
@@ -173,39 +184,50 @@ def meet(blobs: DataFrame, buckets: int) -> DataFrame:
     def join(parts):
         if not parts:
             return
-        tok, cls, size, probe = [], [], [], []
+        tok, cls, size = [], [], []
         for t, o, c, s in parts:
-            own = np.frombuffer(o, "<u2")
-            at = own >> 1
+            at = np.frombuffer(o, "<u2")
             tok.append(np.frombuffer(t, "<u4"))
-            probe.append((own & 1).astype(bool))
             cls.append(np.frombuffer(c, "<i8")[at])
             size.append(np.frombuffer(s, "<u4").astype(np.int64)[at])
-        tok, cls, size, probe = map(np.concatenate, (tok, cls, size, probe))
+        tok, cls, size = map(np.concatenate, (tok, cls, size))
         by = np.argsort(tok, kind="stable")
         again = tok[by]
         twice = np.zeros(len(by), bool)
         twice[1:] = again[1:] == again[:-1]
         twice[:-1] |= twice[1:]
         by = by[twice]  # the others meet nobody
-        tok, cls, size, probe = tok[by], cls[by], size[by], probe[by]
+        tok, cls, size = tok[by], cls[by], size[by]
         by = np.lexsort((cls, size, tok))
-        tok, cls, size, probe = tok[by], cls[by], size[by], probe[by]
+        tok, cls, size = tok[by], cls[by], size[by]
         if not len(tok):
             return
         # neighbours in a run of sizes that can link; a larger step in size parts them
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (4 * size[:-1] < 3 * size[1:])
+        once = np.ones(len(tok), bool)
+        once[1:] = new[1:] | (cls[1:] != cls[:-1])  # a class that several slabs hold counts once
         run_of = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         low, high = np.minimum.reduceat(cls, heads), np.maximum.reduceat(cls, heads)
-        useful = (low < high) & ~np.logical_and.reduceat(probe, heads)
-        keep = useful[run_of]
-        pair = np.unique(np.stack([low[run_of[keep]], cls[keep]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["leader", "member"])
+        keep = (low < high)[run_of] & once
+        leader, cls, size = low[run_of[keep]], cls[keep], size[keep]
+        by = np.lexsort((cls, leader))
+        leader, cls, size = leader[by], cls[by], size[by]
+        if not len(cls):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (leader[1:] != leader[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(leader[first]), pa.array(cls[first]), pa.array(size[first]), pa.array(np.diff(np.append(first, len(cls))).astype(np.int64))], ["leader", "member", "n", "met"])
 
     placed = blobs.select("bucket", "toks", "own", "classes", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(run, "leader long, member long").distinct()
+    return placed.mapInArrow(run, "leader long, member long, n long, met long").groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+
+
+def able(g: DataFrame) -> DataFrame:
+    """(leader, member) of the classes that meet others at enough shingles to link with one, in groups of at least two."""
+    enough = g.groupBy("member").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter("met >= 1 + floor(ceil(3 * n / 4) / 10)").select("member")
+    kept = g.select("leader", "member").join(enough, "member")
+    return kept.join(kept.groupBy("leader").agg(F.count("*").alias("k")).filter("k > 1").select("leader"), "leader")
 
 
 def outer_groups(g: DataFrame) -> DataFrame:
@@ -352,12 +374,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    path = written_by_kind(prefixes(docs, frequent(docs), buckets))
-    sig = path.filter("kind = 'sig'").select("doc_id", "n", "cls", "digest")
-    full = sig.filter("n > 0")
-    classes = full.groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    met = written(meet(path.filter("kind = 'blob'"), buckets), "met")
-    groups_ = written(outer_groups(met), "groups")
+    seen = written_by_kind(survey(docs))
+    sig = seen.filter("kind = 'sig'").select("doc_id", "n", "cls", "digest")
+    hot = frequent(seen.filter("kind = 'often'").select("token", "df"), docs.count())
+    classes = sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    met = written(meet(prefixes(docs, hot, buckets), buckets), "met")
+    groups_ = written(outer_groups(written(able(met), "able")), "groups")
     members = groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id")
     found = components(verified(docs, members))
     several = classes.filter("copies > 1").select("cls", "digest", "rep")
@@ -371,7 +393,7 @@ def written_by_kind(df: DataFrame) -> DataFrame:
 
     from .common import scratch_dir
 
-    path = f"{scratch_dir(df.sparkSession)}/prefixes-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/survey-{uuid.uuid4().hex}"
     df.write.partitionBy("kind").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
