@@ -52,14 +52,14 @@ def rung(targets: DataFrame, rows: DataFrame, id_: list[str], keys: list[str], p
     """Median move of the rows that share the keys and settled before the target, if enough events speak."""
     least = p.fit_min_events
     t = targets.select(*id_, "at", *keys, F.lit(1).alias("_all"))
-    r = rows.select("settled_at", "move", "post_id", *keys, F.lit(1).alias("_all")).withColumnRenamed("post_id", "_post")
+    r = rows.select("settled_at", "move", F.col("post_id").alias("_post"), *[F.col(k).alias(f"_r{k}") for k in keys], F.lit(1).alias("_every"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = running_medians(left["at"].to_numpy(), right["settled_at"].to_numpy(), right["move"].to_numpy(), right["_post"].to_numpy(), least)
         return left[id_].assign(**{name: got})[~np.isnan(got)]
 
     kinds = ", ".join(f"{c} {targets.schema[c].dataType.simpleString()}" for c in id_)
-    return t.groupBy("_all", *keys).cogroup(r.groupBy("_all", *keys)).applyInPandas(run, f"{kinds}, {name} double")
+    return t.groupBy("_all", *keys).cogroup(r.groupBy("_every", *[f"_r{k}" for k in keys])).applyInPandas(run, f"{kinds}, {name} double")
 
 
 def expected_moves(targets: DataFrame, rows: DataFrame, id_: list[str], p: Params, control: bool = False) -> DataFrame:
