@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Removes a finished query's shuffle files: once its rows are a table nobody needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,9 +31,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts_of(column: pa.Array) -> list[str]:

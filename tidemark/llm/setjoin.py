@@ -1,14 +1,14 @@
 """Exact n-gram Jaccard self-join by token groups, and its connected components.
 
-1. Counts of shingles over all documents find the frequent ones; they come last
-   in the global order, so a passage that many documents share is in nobody's prefix
-   unless little else is.
-2. Equal sets are one class.  Every class emits an extended prefix under that
-   order: two that link share at least `shared(n)` shingles of their prefixes, n the smaller size.
-   Prefixes travel as sorted blocks of a few bytes a shingle.
+1. Equal sets are one class.  Every class sends its shingles in sorted blocks of a
+   few bytes a shingle; one that shares too few of its shingles with any others can
+   link with nobody and is settled.  Only the rest (near copies, mostly) goes on.
+2. Among these, frequent shingles come last in a global order, and every class emits an
+   extended prefix under it: two that link share at least `shared(n)` shingles of
+   their prefixes, n the smaller size.
 3. Classes that meet at a shingle form that shingle's group, kept under the
    group's smallest class.  A class that meets others at too few of its shingles
-   can link with nobody and leaves; a group inside another is dropped.
+   leaves; a group inside another is dropped.
 4. Groups are verified in blocks of bounded size.  A block's documents are partitioned
    into small groups of similar ones, a sparse token-group matrix holds each small
    group's token union, and only groups whose union covers the required overlap with a
@@ -89,26 +89,35 @@ def shared(n):
     return 1 + n // 10
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. sig: doc_id, n, cls, digest of each row's set. often: token and df of shingles that are frequent in a slab of rows."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cls, digest of each row's set."""
 
     def run(batches):
         for b in slabs(batches):
             sets = shingle_sets(texts_of(b.column(1)))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(["sig"] * k), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(d) for d in digest], pa.int64()), pa.array(digest, pa.binary()), *[pa.array([None] * k, pa.int64())] * 2], names)
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            digest = [digest_of(s) if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(d) for d in digest], pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n", "cls", "digest"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, digest binary")
+
+
+def often(docs: DataFrame) -> DataFrame:
+    """token and df of shingles that are frequent in a slab of rows."""
+
+    def run(batches):
+        for b in slabs(batches):
+            every = np.concatenate([*shingle_sets(texts_of(b.column(0))), np.zeros(0, np.uint64)])
             every.sort()
             cuts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             count = np.diff(np.append(cuts, len(every)))
             keep = count >= SLAB_COUNT
-            k = int(keep.sum())
-            nulls = [pa.array([None] * k, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(["often"] * k, pa.string()), *nulls, pa.array([None] * k, pa.binary()), pa.array(every[cuts[keep]].view(np.int64)), pa.array(count[keep], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(every[cuts[keep]].view(np.int64)), pa.array(count[keep], pa.int64())], ["token", "df"])
+
+    return docs.select("text").mapInArrow(run, "token long, df long")
 
-    names = ["kind", "doc_id", "n", "cls", "digest", "token", "df"]
-    return docs.select("doc_id", "text").mapInArrow(run, "kind string, doc_id long, n long, cls long, digest binary, token long, df long")
+
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def key_of(digest: bytes) -> int:
@@ -121,8 +130,8 @@ def frequent(seen: DataFrame, rows: int) -> np.ndarray:
     return found.column(0).to_numpy().view(np.uint64)
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """bucket and blocks of a slab's prefix shingles."""
+def blocks(docs: DataFrame, hot: np.ndarray, buckets: int, whole: bool) -> DataFrame:
+    """bucket and blocks of a slab's shingles: of whole sets, or of prefixes under the order that has the frequent ones last."""
     order = np.argsort(hot)
     sent = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
@@ -133,12 +142,12 @@ def prefixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             toks, owner, classes, sizes = [], [], [], []
             for s in shingle_sets(texts_of(b.column(0))):
                 n = len(s)
-                c = key_of(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                c = key_of(digest_of(s))
                 if not n or c in found:
                     continue
                 found.add(c)
-                most = n - least(n) + shared(n)
-                if len(known):
+                most = n if whole else n - least(n) + shared(n)
+                if len(known) and not whole:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     is_hot = known[at] == s
                     if is_hot.any():
@@ -151,7 +160,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 continue
             tok, own, classes, sizes = np.concatenate(toks), np.concatenate(owner), np.array(classes), np.array(sizes, np.uint32)
             where = (tok >> np.uint64(32)) % np.uint64(buckets)
-            by = np.lexsort((tok & np.uint64(0xFFFFFFFF), where))
+            by = np.argsort(where << np.uint64(32) | tok & np.uint64(0xFFFFFFFF))
             tok, own, where = tok[by], own[by], where[by]
             cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(j, *block(tok[x:y], own[x:y], classes, sizes)) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
@@ -166,8 +175,8 @@ def block(tok: np.ndarray, own: np.ndarray, classes: np.ndarray, sizes: np.ndarr
     return (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), back.astype("<u2").tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].tobytes()
 
 
-def meet(blobs: DataFrame, buckets: int) -> DataFrame:
-    """leader, member, n, met: classes that meet at prefix shingles, each group under its smallest class; n is the member's size, met the number of shingles at which it meets others there."""
+def by_bucket(blobs: DataFrame, buckets: int, join, schema: str) -> DataFrame:
+    """Applies join to the blocks of each bucket; only shingles that occur again in the bucket are handed on, as tok, cls, size."""
 
     def run(batches):
         bucket, parts = None, []
@@ -176,32 +185,58 @@ def meet(blobs: DataFrame, buckets: int) -> DataFrame:
             for r in range(b.num_rows):
                 now = cols[0][r].as_py()
                 if now != bucket:
-                    yield from join(parts)
+                    yield from given(parts)
                     bucket, parts = now, []
                 parts.append(tuple(cols[i][r].as_py() for i in range(1, 5)))
-        yield from join(parts)
+        yield from given(parts)
 
-    def join(parts):
+    def given(parts):
         if not parts:
             return
-        tok, cls, size = [], [], []
-        for t, o, c, s in parts:
-            at = np.frombuffer(o, "<u2")
-            tok.append(np.frombuffer(t, "<u4"))
-            cls.append(np.frombuffer(c, "<i8")[at])
-            size.append(np.frombuffer(s, "<u4").astype(np.int64)[at])
-        tok, cls, size = map(np.concatenate, (tok, cls, size))
-        by = np.argsort(tok, kind="stable")
+        tok = np.concatenate([np.frombuffer(t, "<u4") for t, *_ in parts])
+        by = np.argsort(tok)
         again = tok[by]
         twice = np.zeros(len(by), bool)
         twice[1:] = again[1:] == again[:-1]
         twice[:-1] |= twice[1:]
         by = by[twice]  # the others meet nobody
+        cls = np.concatenate([np.frombuffer(c, "<i8")[np.frombuffer(o, "<u2")] for _, o, c, _ in parts])[by]
+        size = np.concatenate([np.frombuffer(s, "<u4").astype(np.int64)[np.frombuffer(o, "<u2")] for _, o, _, s in parts])[by]
+        if len(by):
+            yield from join(tok[by], cls, size)
+
+    placed = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(run, schema)
+
+
+def coverage(blobs: DataFrame, buckets: int) -> DataFrame:
+    """cls, n, met: how many of a class's shingles other classes have too."""
+
+    def join(tok, cls, size):
+        by = np.lexsort((cls, tok))
         tok, cls, size = tok[by], cls[by], size[by]
+        new = np.ones(len(tok), bool)
+        new[1:] = tok[1:] != tok[:-1]
+        once = new.copy()
+        once[1:] |= cls[1:] != cls[:-1]  # a class that several slabs hold counts once
+        run_of = np.cumsum(new) - 1
+        keep = (np.bincount(run_of, weights=once) > 1)[run_of] & once
+        cls, size = cls[keep], size[keep]
+        if len(cls):
+            by = np.argsort(cls)
+            cls, size = cls[by], size[by]
+            first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(size[first]), pa.array(np.diff(np.append(first, len(cls))).astype(np.int64))], ["cls", "n", "met"])
+
+    return by_bucket(blobs, buckets, join, "cls long, n long, met long").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+
+
+def meet(blobs: DataFrame, buckets: int) -> DataFrame:
+    """leader, member, n, met: classes that meet at prefix shingles, each group under its smallest class; n is the member's size, met the number of shingles at which it meets others there."""
+
+    def join(tok, cls, size):
         by = np.lexsort((cls, size, tok))
         tok, cls, size = tok[by], cls[by], size[by]
-        if not len(tok):
-            return
         # neighbours in a run of sizes that can link; a larger step in size parts them
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (4 * size[:-1] < 3 * size[1:])
@@ -219,8 +254,7 @@ def meet(blobs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (leader[1:] != leader[:-1])]))
         yield pa.RecordBatch.from_arrays([pa.array(leader[first]), pa.array(cls[first]), pa.array(size[first]), pa.array(np.diff(np.append(first, len(cls))).astype(np.int64))], ["leader", "member", "n", "met"])
 
-    placed = blobs.select("bucket", "toks", "own", "classes", "sizes").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(run, "leader long, member long, n long, met long").groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+    return by_bucket(blobs, buckets, join, "leader long, member long, n long, met long").groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
 
 
 def able(g: DataFrame) -> DataFrame:
@@ -374,30 +408,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = written_by_kind(survey(docs))
-    sig = seen.filter("kind = 'sig'").select("doc_id", "n", "cls", "digest")
-    hot = frequent(seen.filter("kind = 'often'").select("token", "df"), docs.count())
+    sig = written(signatures(docs), "sets")
     classes = sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    met = written(meet(prefixes(docs, hot, buckets), buckets), "met")
+    none = np.zeros(0, np.uint64)
+    covered = written(coverage(blocks(docs, none, buckets, whole=True), buckets).filter("4 * met >= 3 * n").select("cls"), "covered")
+    going = classes.join(covered, "cls").select(F.col("rep").alias("doc_id")).distinct()
+    rest = written(docs.join(going, "doc_id"), "near")
+    hot = frequent(often(rest), rest.count())
+    met = written(meet(blocks(rest, hot, buckets, whole=False), buckets), "met")
     groups_ = written(outer_groups(written(able(met), "able")), "groups")
     members = groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id")
-    found = components(verified(docs, members))
+    found = components(verified(rest, members))
     several = classes.filter("copies > 1").select("cls", "digest", "rep")
     out = sig.join(several, ["cls", "digest"], "left").withColumn("node", F.coalesce("rep", "doc_id")).join(found, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def written_by_kind(df: DataFrame) -> DataFrame:
-    """As common.written, in a folder for each kind of row, so a reader of one kind reads only that."""
-    import uuid
-
-    from .common import scratch_dir
-
-    path = f"{scratch_dir(df.sparkSession)}/survey-{uuid.uuid4().hex}"
-    df.write.partitionBy("kind").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
