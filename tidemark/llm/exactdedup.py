@@ -23,7 +23,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are compared after lower-casing A-Z; null counts as empty, and empty
     texts are equal to one another.  The row with the largest doc_id stays; rows
-    that repeat a doc_id and text all count, and all with that doc_id are kept.
+    that repeat a doc_id and text all count, and all with that doc_id are kept; a
+    null doc_id only stays where a group has no other.
     An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -38,7 +39,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("text_sha256")
     rest = sig.join(winners, "text_sha256", "left_anti").withColumns({"keep_id": F.max("doc_id").over(same), "group_size": F.count("*").over(same)})
     out = hot.unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 SQL = f"""

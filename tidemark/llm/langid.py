@@ -139,8 +139,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             rows, letters = features(texts_of(b.column(1)))
             if not m.languages:
                 letters[:] = False
-            p = np.sort(m.decode(rows), axis=1) if m.languages else np.zeros((len(rows), 1))
-            best = m.decode(rows).argmax(axis=1) if m.languages else np.zeros(len(rows), int)
+            odds = m.decode(rows) if m.languages else np.zeros((len(rows), 1))
+            p, best = np.sort(odds, axis=1), odds.argmax(axis=1)
             lead = p[:, -1] - (p[:, -2] if p.shape[1] > 1 else 0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([m.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]), pa.array(np.where(letters, p[:, -1], 0.0), pa.float64()), pa.array(~letters | (lead < AMBIGUOUS), pa.bool_())],

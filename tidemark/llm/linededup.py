@@ -18,9 +18,12 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
     A null text stays null, with 0 lines; texts with fewer than `lines` lines stay
     as they are; a doc_id that repeats counts as one document, whose rows keep
-    the same lines; other columns pass through; an empty table gives no rows.
+    the same lines; a null doc_id only serves as a first occurrence; other
+    columns pass through, but for ones named n_lines or n_removed, which are
+    replaced; an empty table gives no rows.
     """
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # other columns can't clash in here
     key = F.expr(f"transform(sequence(0, size(_l) - {lines}), i -> struct(i as _pos, xxhash64(slice(_l, i + 1, {lines})) as _h, hash(slice(_l, i + 1, {lines})) as _g))")
     long_enough = docs.select("doc_id", "text").filter(F.length("text") - F.length(F.translate("text", "\n", "")) >= lines - 1)
     windows = long_enough.select("doc_id", split.alias("_l")).select("doc_id", F.explode(key).alias("_w")).select("doc_id", "_w.*")
@@ -34,8 +37,10 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     kept = F.expr("""array_join(flatten(transform(sequence(0, size(_cut)), k ->
         slice(split(text, '\n', -1), if(k = 0, 0, _cut[k - 1].b) + 1, if(k = size(_cut), size(split(text, '\n', -1)), _cut[k].a) - if(k = 0, 0, _cut[k - 1].b)))), '\n')""")
     removed = F.coalesce(F.expr("aggregate(_cut, 0L, (s, x) -> s + x.b - x.a)"), F.lit(0).cast("long"))
-    out = docs.join(runs, "doc_id", "left")
-    return out.select(*[F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    out = whole.join(runs, "doc_id", "left")
+    lean = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)
+    passed = [(lean if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*passed, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 SQL = """
