@@ -11,8 +11,7 @@ from tidemark.llm.common import table, written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter of any language, and those whose two best languages can't be told apart."""
-    found = langid.identify(docs, langid.fit(docs)).filter("not ambiguous").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, x, np.array([languages.index(n) for n in names], np.int64))
 
 
+def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, whether ambiguous) of each text."""
+    rows, letters = features(texts)
+    if not model.languages:
+        letters[:] = False
+    odds = model.decode(rows) if model.languages else np.zeros((len(rows), 1))
+    p, best = np.sort(odds, axis=1), odds.argmax(axis=1)
+    lead = p[:, -1] - (p[:, -2] if p.shape[1] > 1 else 0)
+    return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.where(letters, p[:, -1], 0.0), ~letters | (lead < AMBIGUOUS)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row, from the text alone.
 
@@ -134,17 +145,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for b in slabs(batches, 256):
-            rows, letters = features(texts_of(b.column(1)))
-            if not m.languages:
-                letters[:] = False
-            odds = m.decode(rows) if m.languages else np.zeros((len(rows), 1))
-            p, best = np.sort(odds, axis=1), odds.argmax(axis=1)
-            lead = p[:, -1] - (p[:, -2] if p.shape[1] > 1 else 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]), pa.array(np.where(letters, p[:, -1], 0.0), pa.float64()), pa.array(~letters | (lead < AMBIGUOUS), pa.bool_())],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
-            )
+            lang, score, ambiguous = predict(shared.value, texts_of(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that are in a learnt language and not ambiguous; nothing is shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in slabs(batches, 256):
+            yield b.filter(pa.array(~predict(shared.value, texts_of(b.column(at)))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
