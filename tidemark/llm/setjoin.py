@@ -33,8 +33,10 @@ from .textscan import groups
 WORDS = 5
 #: Members of a group that one task compares with one another, and of the small groups in it.
 BLOCK, SMALL = 1024, 16
-#: A shingle is frequent in a slab of rows from this many on, and in the corpus at 1 document in FREQUENT (64 at least).
-SLAB_COUNT, FREQUENT = 8, 2000
+#: A shingle is frequent in a slab of rows from SLAB_COUNT on, and in all rows at 1 document in FREQUENT (LEAST_DF at least).
+SLAB_COUNT, FREQUENT, LEAST_DF = 4, 2000, 32
+#: Rows whose prefixes share a bucket: a class and its group's leader make a row in each bucket in which they meet.
+BUCKET_ROWS = 8192
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -126,7 +128,7 @@ def key_of(digest: bytes) -> int:
 
 def frequent(seen: DataFrame, rows: int) -> np.ndarray:
     """Frequent shingles, rarest first: at most (all shingles) / (documents / FREQUENT), so a bounded multiple of the mean set size."""
-    found = seen.groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= max(64, rows // FREQUENT)).orderBy("df", "token").select("token").toArrow()
+    found = seen.groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= max(LEAST_DF, rows // FREQUENT)).orderBy("df", "token").select("token").toArrow()
     return found.column(0).to_numpy().view(np.uint64)
 
 
@@ -345,8 +347,18 @@ def forest(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def roots(links: list[tuple[int, int]], ids: list) -> list[tuple]:
+    """The links' components as stars: each document with the smallest one it is connected with in the block."""
+    place = {x: k for k, x in enumerate(sorted({p for link in links for p in link}, key=lambda p: ids[p]))}
+    order, union = sorted(place, key=place.get), Union(len(place))
+    for a, b in links:
+        x, y = union.root(place[a]), union.root(place[b])
+        union.up[max(x, y)] = min(x, y)
+    return [(ids[order[k]], ids[order[union.root(k)]]) for k in range(len(order)) if union.root(k) != k]
+
+
 def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) links between documents of the groups (leader, size, doc_id): a spanning forest of each block."""
+    """(a, b) links between documents of the groups (leader, size, doc_id): the components of each block, as stars."""
     placed = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("doc_id", "leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
@@ -359,9 +371,9 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
             if not ids:
                 return
             side = np.array([int(o != key[1]) for o in own]) if key[1] != key[2] else np.zeros(len(own), np.int64)
-            links = forest(sets, side)
+            links = roots(forest(sets, side), ids)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
         for b in slabs(batches, 1024):
             cols = [b.column(i).to_pylist() for i in range(5)]
@@ -382,22 +394,21 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the smallest node reachable. Alternating large and small stars; each round is a written table."""
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    while True:
+    while not stars(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+        down = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        edges = written(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child: then each parent is its component's smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -409,13 +420,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = written(signatures(docs), "sets")
-    classes = sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     none = np.zeros(0, np.uint64)
     covered = written(coverage(blocks(docs, none, buckets, whole=True), buckets).filter("4 * met >= 3 * n").select("cls"), "covered")
     going = classes.join(covered, "cls").select(F.col("rep").alias("doc_id")).distinct()
     rest = written(docs.join(going, "doc_id"), "near")
-    hot = frequent(often(rest), rest.count())
-    met = written(meet(blocks(rest, hot, buckets, whole=False), buckets), "met")
+    rows = rest.count()
+    fewer = max(1, min(buckets, -(-rows // BUCKET_ROWS)))
+    met = written(meet(blocks(rest, frequent(often(rest), rows), fewer, whole=False), fewer), "met")
     groups_ = written(outer_groups(written(able(met), "able")), "groups")
     members = groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id")
     found = components(verified(rest, members))
