@@ -105,3 +105,28 @@ def test_checksums_and_compare(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     got = files.file_checksums(spark, str(tmp_path)).collect()
     assert [(r["size"], r["md5"]) for r in got] == [(5, "5d41402abc4b2a76b9719d911017c592")]
+
+
+def test_weeks(spark):
+    from datetime import datetime
+
+    from tidemark.operators import weeks
+
+    w = weeks.weekly_windows(spark, date(2026, 8, 4), date(2026, 8, 20))
+    assert [(r["since"].day, r["until"].day) for r in w.orderBy("since").collect()] == [(4, 11), (11, 18), (18, 21)]
+    from tidemark import schemas
+
+    runs = [("Me", "2026-08-04", "2026-08-11", "r1", "SUCCEEDED", 10, 9, {"x": 2}, 0.5, None, True, None), ("me", "2026-08-11", "2026-08-18", "r2", "FAILED", None, None, {"x": 1, "y": 5}, 0.25, None, True, None)]
+    led = spark.createDataFrame(runs, schemas.RUN_LEDGER)
+    assert [r["since"].day for r in weeks.unfetched(w, led, "ME").orderBy("since").collect()] == [11, 18]
+    assert tuple(weeks.ledger_totals(led).collect()[0]) == ("me", 2, 10, 9, 0.75)
+    assert [tuple(r) for r in weeks.other_authors(led).collect()] == [("y", 5), ("x", 3)]
+    posts = spark.createDataFrame([(datetime(2026, 8, 4), False), (datetime(2026, 8, 10, 23), True), (datetime(2026, 8, 20), False)], "t0 timestamp, is_retweet boolean")
+    assert [tuple(r) for r in weeks.weekly_counts(w, posts).orderBy("label").collect()] == [("2026-08-04 to 2026-08-10", 2, 1), ("2026-08-11 to 2026-08-17", 0, 0), ("2026-08-18 to 2026-08-20", 1, 1)]
+
+
+def test_convert_and_errors(spark, tmp_path):
+    got = files.convert(spark, csv(tmp_path, line(), line(side="MAKER")), str(tmp_path / "p"), date(2026, 10, 5))
+    assert got.count() == 2 and got.first()["source"] == "public_csv"
+    (tmp_path / "s.jsonl").write_text('{"recv_ts": 5, "conn": "c", "msg": {"code": "E1", "message": "bad"}}\n{"recv_ts": 6, "conn": "c", "msg": {"ts": 1}}\n')
+    assert [tuple(r) for r in files.stream_errors(files.stream_files(spark, str(tmp_path / "s.jsonl"))).collect()] == [(5, "error", "c", "E1: bad")]

@@ -78,3 +78,22 @@ def channels(records: DataFrame) -> DataFrame:
         return each.select("conn", "recv_ts", F.lit(kind).alias("kind"), "market", F.col("body.eventId").alias("event_id"), pair).select("conn", "recv_ts", "kind", "market", "event_id", "c.*").filter("seq is not null")
 
     return part("snapshot").unionByName(part("delta"))
+
+
+def convert(spark: SparkSession, csv: str, parquet: str, day) -> DataFrame:
+    """A day's validated trades as a zstd Parquet table beside its CSV; the commit protocol makes the switch whole."""
+    from tidemark.operators.ingest import for_day, parse_trades
+
+    for_day(parse_trades(trades_csv(spark, csv)), day).write.mode("overwrite").option("compression", "zstd").parquet(parquet)
+    return stored_trades(spark, parquet)
+
+
+def stream_errors(records: DataFrame) -> DataFrame:
+    """Error envelopes as journal lines."""
+    code = F.col("msg.code")
+    return records.filter(code.isNotNull()).select(F.col("recv_ts").alias("ts"), F.lit("error").alias("kind"), "conn", F.concat_ws(": ", code, "msg.message").alias("detail"))
+
+
+def sizes(files: DataFrame) -> DataFrame:
+    """Number and bytes of files by folder."""
+    return files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
