@@ -10,7 +10,7 @@ from tidemark.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter of any language, and those whose two best languages can't be told apart."""
+    """Rejects documents without a letter and documents that fit none of the languages; a mix of two languages stays."""
     return langid.accepted(docs, langid.fit(docs))
 
 

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import slabs, texts_of
 from .textscan import LETTER, codepoint_classes, groups
 
-DIM, PER_LANGUAGE, FOLDS, UNKNOWN = 4096, 500, 5, "und"
+DIM, PER_LANGUAGE, FOLDS, UNKNOWN = 4096, 300, 5, "und"
 #: Least lead of the best probability over the second.
 AMBIGUOUS = 0.05
+#: An ambiguous text with less than this for its best language fits none; a mix of two has almost half for each.
+FITS_NONE = 0.4
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +82,11 @@ class Model:
         target = self.code[y].astype(np.float64)
         share = 1 / np.bincount(y, minlength=len(languages))[y]
         root = np.sqrt(share * len(languages) / share.sum() * len(y) / len(languages))[:, None]  # languages weigh the same
-        z = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64) * root
-        dual = np.linalg.solve(z @ z.T + ridge * np.eye(len(z)), target * root)
-        w = z.T @ dual
-        self.weights, self.bias = w[:-1].astype(np.float32), w[-1].astype(np.float32)
+        kernel = (x @ x.T).astype(np.float64)  # of the rows, not of the features: the smaller matrix
+        kernel = (kernel + 1) * root * root.T
+        kernel[np.diag_indices_from(kernel)] += ridge
+        dual = np.linalg.solve(kernel, target * root) * root
+        self.weights, self.bias = x.T @ dual.astype(np.float32), dual.sum(axis=0).astype(np.float32)
         right = ((x @ self.weights + self.bias) * target > 0).astype(float)
         trust = np.array([right[y == k].mean(axis=0) for k in range(len(languages))]) + 1e-3
         self.trust = trust / trust.sum(axis=1, keepdims=True)
@@ -118,9 +121,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["lang", "row"])
 
     got = chosen.select("lang", "text").mapInArrow(run, "lang string, row binary").orderBy("lang", "row").toArrow()
-    names = got.column(0).to_pylist()
+    names, rows = got.column(0).to_pylist(), got.column(1).combine_chunks()
     languages = sorted(set(names))
-    x = np.frombuffer(b"".join(got.column(1).to_pylist()), np.float32).reshape(len(names), DIM)
+    x = np.frombuffer(rows.buffers()[2], np.float32).reshape(len(names), DIM) if names else np.zeros((0, DIM), np.float32)
     return Model(languages, x, np.array([languages.index(n) for n in names], np.int64))
 
 
@@ -153,11 +156,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that are in a learnt language and not ambiguous; nothing is shuffled."""
+    """The rows of docs, with all their columns, but for texts without a letter and texts that fit no learnt language; nothing is shuffled."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for b in slabs(batches, 256):
-            yield b.filter(pa.array(~predict(shared.value, texts_of(b.column(at)))[2]))
+            lang, score, ambiguous = predict(shared.value, texts_of(b.column(at)))
+            fits = np.array([x != UNKNOWN for x in lang], bool) & ~(ambiguous & (score < FITS_NONE))
+            yield b.filter(pa.array(fits, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

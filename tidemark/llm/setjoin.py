@@ -37,6 +37,8 @@ BLOCK, SMALL = 1024, 16
 SLAB_COUNT, FREQUENT, LEAST_DF = 4, 2000, 32
 #: Rows whose prefixes share a bucket: a class and its group's leader make a row in each bucket in which they meet.
 BUCKET_ROWS = 8192
+#: Buckets of whole sets at least; a class makes a row in each in which it meets others.
+BUCKETS = 64
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -418,7 +420,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sig = written(signatures(docs), "sets")
     classes = written(sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     none = np.zeros(0, np.uint64)
