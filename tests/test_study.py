@@ -17,11 +17,11 @@ def at(seconds):
 
 
 def taker(seconds, price, qty, outcome="yes", ambiguous=False):
-    return (at(seconds), "m", outcome, "TAKER", price, qty, price * qty, ambiguous)
+    return (at(seconds), "m", outcome, "TAKER", float(price), float(qty), float(price * qty), ambiguous)
 
 
 def maker(seconds, price, qty, outcome="no", ambiguous=False):
-    return (at(seconds), "m", outcome, "MAKER", price, qty, price * qty, ambiguous)
+    return (at(seconds), "m", outcome, "MAKER", float(price), float(qty), float(price * qty), ambiguous)
 
 
 def moments(spark, expected=None, game_start=None, start=T0):

@@ -40,7 +40,7 @@ def weekly_counts(windows: DataFrame, posts: DataFrame) -> DataFrame:
     days = posts.groupBy(F.to_date("t0").alias("day")).agg(F.count("*").alias("n"), F.count_if(~F.col("is_retweet")).alias("o"))
     covered = windows.withColumn("day", F.explode(F.sequence("since", F.date_sub("until", 1))))
     got = covered.join(days, "day", "left").groupBy("since", "until").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("posts"), F.coalesce(F.sum("o"), F.lit(0)).alias("originals"))
-    return got.select(F.format_string("%s to %s", "since", F.date_sub("until", 1)).alias("label"), "posts", "originals")
+    return got.select(F.concat_ws(" to ", F.col("since").cast("string"), F.date_sub("until", 1).cast("string")).alias("label"), "posts", "originals")
 
 
 def coverage_counts(posts: DataFrame, by: list[str]) -> DataFrame:
