@@ -49,8 +49,8 @@ class Forest:
             self.sorted.append(s[order])
             self.row.append(order)
 
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query, the rows found by descending to the longest prefixes and ascending synchronously to `wanted` entries."""
+    def candidates(self, queries: np.ndarray, wanted: int, least: int):
+        """For each query, the rows found by descending to the longest prefixes and ascending synchronously to `wanted` entries and `least` different rows."""
         mine = [strings(queries, plane) for plane in self.planes]
 
         def spans(depth: int, q) -> tuple[np.ndarray, np.ndarray]:
@@ -70,23 +70,34 @@ class Forest:
         low, high = np.zeros((len(self.sorted), len(queries)), np.int64), np.zeros((len(self.sorted), len(queries)), np.int64)
         depth, open_ = deepest.copy(), np.ones(len(queries), bool)
         for d in range(int(deepest.max(initial=0)), -1, -1):
-            q = np.flatnonzero(open_ & (depth >= d))
+            q = np.flatnonzero(open_ & (deepest >= d))
             if not len(q):
                 continue
             low[:, q], high[:, q] = spans(d, q)
+            depth[q] = d
             open_[q[(high[:, q] - low[:, q]).sum(axis=0) >= wanted]] = False
+        least = min(least, len(self.vectors))
         for q in range(len(queries)):
-            seen = np.zeros(len(self.vectors), bool)
-            for t in range(len(self.row)):
-                seen[self.row[t][low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(seen)
+            rows = self.rows(low[:, q], high[:, q])
+            for d in range(int(depth[q]) - 1, -1, -1):
+                if len(rows) >= least:
+                    break
+                one = spans(d, np.array([q]))
+                rows = self.rows(one[0][:, 0], one[1][:, 0])
+            yield rows
+
+    def rows(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        seen = np.zeros(len(self.vectors), bool)
+        for t, row in enumerate(self.row):
+            seen[row[low[t] : high[t]]] = True
+        return np.flatnonzero(seen)
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K, share: float = SHARE):
     """(query id, row ids, scores) of the k nearest candidates of each query, ties to smaller ids."""
     forest = Forest(vectors)
     wanted = int(share * len(vectors)) + max(MORE, 4 * k)
-    for q, (vector, rows) in enumerate(zip(queries, forest.candidates(queries, wanted), strict=True)):
+    for q, (vector, rows) in enumerate(zip(queries, forest.candidates(queries, wanted, k + 1), strict=True)):
         rows = rows[ids[rows] != query_ids[q]]
         score = vectors[rows] @ vector
         if len(rows) > 4 * k:
