@@ -62,6 +62,23 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("copies", [4, 8, 13, 19])
+def test_recall_of_queries_with_copies(copies):
+    rng = np.random.default_rng(copies)
+    x = rng.standard_normal((2000, 64))
+    x[20 : 20 * copies] = np.tile(x[:20], (copies - 1, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, hits = np.arange(2000), 0
+    for q, near, _ in annforest.search(x[:20], ids[:20], x, ids):
+        score = x @ x[q]
+        score[q] = -9
+        # copies tie to rounding, so they are ranked by id
+        best = np.lexsort((ids, -np.round(score, 9)))[:20]
+        hits += len(set(best) & set(near.tolist()))
+        assert copies - 1 == sum(v % 20 == q and v < 20 * copies for v in near)
+    assert hits / 400 >= 0.9
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [-1.0, 0.0]), (20, [0.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, [])]
     got = annforest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))).orderBy("query_id", "rank").collect()

@@ -3,8 +3,8 @@
 Every row gets one long hash string (random hyperplanes, 60 bits) in each tree; a
 tree is the sorted array of its strings.  A query descends every tree to the
 longest prefix that some row shares, then all trees ascend together, one bit
-at a time, until enough rows share the prefix; these candidates are scored
-exactly in double precision.
+at a time, until enough different vectors share the prefix; these candidates,
+with all their copies, are scored exactly in double precision.
 
 The index is cut into blocks of rows by a hash of vec_id and the queries into
 blocks too, so a frequent vector or a hot bucket is spread over all blocks and
@@ -25,7 +25,7 @@ K, EVERY = 20, 20
 TREES, BITS = 160, 60
 #: Rows of an index block and of a query block.
 ROWS, QUERIES = 4096, 4096
-#: The trees ascend until the prefixes they share with the query hold this share of the block's rows and so many more, counted once per tree.
+#: The trees ascend until the prefixes they share with the query hold this share of the block's different vectors and so many more, each counted once.
 SHARE, MORE = 0.4, 400
 
 
@@ -49,14 +49,15 @@ class Forest:
             self.sorted.append(s[order])
             self.row.append(order)
 
-    def candidates(self, queries: np.ndarray, wanted: int, least: int):
-        """For each query, the rows found by descending to the longest prefixes and ascending synchronously to `wanted` entries and `least` different rows."""
+    def candidates(self, queries: np.ndarray, wanted: int):
+        """(query, rows) of each query: found by descending to the longest prefixes and ascending synchronously to `wanted` different rows, or all there are."""
+        wanted = min(wanted, len(self.vectors))
         mine = [strings(queries, plane) for plane in self.planes]
 
-        def spans(depth: int, q) -> tuple[np.ndarray, np.ndarray]:
+        def spans(depth: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             shift = self.bits - depth
             low = [np.searchsorted(s, m[q] >> shift << shift) for s, m in zip(self.sorted, mine, strict=True)]
-            high = [np.searchsorted(s, (m[q] >> shift << shift) + (1 << shift)) for s, m in zip(self.sorted, mine, strict=True)]
+            high = [np.searchsorted(s, (m[q] >> shift << shift) + (np.int64(1) << shift)) for s, m in zip(self.sorted, mine, strict=True)]
             return np.array(low), np.array(high)
 
         # each tree's own longest prefix: the deeper of the two neighbours in sorted order
@@ -67,24 +68,24 @@ class Forest:
                 differ = s[near] ^ m
                 shared = np.where(differ == 0, self.bits, self.bits - 1 - np.floor(np.log2(np.maximum(differ, 1))).astype(np.int64))
                 deepest = np.maximum(deepest, shared)
-        low, high = np.zeros((len(self.sorted), len(queries)), np.int64), np.zeros((len(self.sorted), len(queries)), np.int64)
-        depth, open_ = deepest.copy(), np.ones(len(queries), bool)
-        for d in range(int(deepest.max(initial=0)), -1, -1):
-            q = np.flatnonzero(open_ & (deepest >= d))
-            if not len(q):
-                continue
-            low[:, q], high[:, q] = spans(d, q)
-            depth[q] = d
-            open_[q[(high[:, q] - low[:, q]).sum(axis=0) >= wanted]] = False
-        least = min(least, len(self.vectors))
-        for q in range(len(queries)):
-            rows = self.rows(low[:, q], high[:, q])
-            for d in range(int(depth[q]) - 1, -1, -1):
-                if len(rows) >= least:
-                    break
-                one = spans(d, np.array([q]))
-                rows = self.rows(one[0][:, 0], one[1][:, 0])
-            yield rows
+        # entries only grow on the way up, so the first depth with enough of them is found by halving; they are never fewer than different rows
+        depth, top = np.zeros(len(queries), np.int64), deepest.copy()
+        while len(q := np.flatnonzero(depth < top)):
+            half = (depth[q] + top[q] + 1) // 2
+            low, high = spans(half, q)
+            enough = (high - low).sum(axis=0) >= wanted
+            depth[q[enough]], top[q[~enough]] = half[enough], half[~enough] - 1
+        entries, open_ = np.zeros(len(queries), np.int64), np.ones(len(queries), bool)
+        while len(q := np.flatnonzero(open_)):
+            low, high = spans(depth[q], q)
+            held = (high - low).sum(axis=0)
+            for at in np.flatnonzero(held > entries[q]):
+                rows = self.rows(low[:, at], high[:, at])
+                if len(rows) >= wanted:
+                    open_[q[at]] = False
+                    yield q[at], rows
+            entries[q] = held
+            depth -= 1
 
     def rows(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         seen = np.zeros(len(self.vectors), bool)
@@ -95,9 +96,13 @@ class Forest:
 
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K, share: float = SHARE):
     """(query id, row ids, scores) of the k nearest candidates of each query, ties to smaller ids."""
-    forest = Forest(vectors)
-    wanted = int(share * len(vectors)) + max(MORE, 4 * k)
-    for q, (vector, rows) in enumerate(zip(queries, forest.candidates(queries, wanted, k + 1), strict=True)):
+    different, which = np.unique(vectors, axis=0, return_inverse=True)  # copies share every string, so they are one entry
+    which = which.reshape(-1)
+    wanted = int(share * len(different)) + max(MORE, 4 * k)
+    for q, found in Forest(different).candidates(queries, wanted):
+        vector, hit = queries[q], np.zeros(len(different), bool)
+        hit[found] = True
+        rows = np.flatnonzero(hit[which])
         rows = rows[ids[rows] != query_ids[q]]
         score = vectors[rows] @ vector
         if len(rows) > 4 * k:
