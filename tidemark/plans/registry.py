@@ -316,9 +316,10 @@ def uuid7_time(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(replace(lower(strip_accents(substr(coalesce(text, ''), 1, 200))), '-', ' '), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v'))) AS w FROM documents)
     SELECT w AS word, count(*) AS n FROM t GROUP BY w""")
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
-    # names are short: a text's first 200 characters stand for one here, since the operator is for names
-    named = table(spark, d, "documents").select(scalar.normalize_name(F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("name"))
-    return named.select(F.explode(F.split("name", " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    # folding and normalising work on each side of a blank alone, so different pieces between blanks are normalised once, with their counts
+    pieces = table(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    named = pieces.select(scalar.normalize_name(F.col("piece")).alias("name"), "n")
+    return named.select(F.explode(F.split("name", " ")).alias("word"), "n").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @query(r"""SELECT DISTINCT regexp_extract(link, '^/(.+)$', 1) AS target FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) AS x""")
