@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, teams
-from tidemark.operators import asof, classify, events, fit, ingest, journal, measure, resolve, sides, summary, tables
+from tidemark.operators import asof, classify, events, fit, ingest, journal, measure, resolve, sides, summary, tables, weeks
 from tidemark.plans import fixtures, views
 from tidemark.plans.params import DAILY, DAY, Params
 from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
@@ -250,11 +250,11 @@ def empty_to_null(spark: SparkSession, d: str) -> DataFrame:
     SELECT week, count(e.ts) AS posts, count(*) FILTER (e.event_type = 'purchase') AS purchases FROM w LEFT JOIN events AS e ON e.ts >= week AND e.ts < week + INTERVAL 1 DAY AND e.user_id % 5 = 0 GROUP BY week""")
 def weekly_counts_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    span = e.agg(F.date_trunc("week", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"))
-    weeks = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("week"))
-    # posts fall into exactly one window, so an equality on its start replaces the range condition
-    seen = e.filter("user_id % 5 = 0").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("posts"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
-    return weeks.join(seen, "week", "left").select("week", F.coalesce("posts", F.lit(0)).alias("posts"), F.coalesce("purchases", F.lit(0)).alias("purchases"))
+    first, last = e.agg(F.date_trunc("week", F.min("ts")).cast("date"), F.to_date(F.max("ts"))).first()
+    windows = weeks.weekly_windows(spark, first or DATA_END.date(), last or DATA_END.date()).filter(F.lit(first is not None))
+    # purchases take the place of originals
+    counts = weeks.weekly_counts(windows, e.select(F.col("ts").alias("t0"), (F.col("event_type") != "purchase").alias("is_retweet")))
+    return counts.select(F.substring("label", 1, 10).cast("timestamp_ntz").alias("week"), "posts", F.col("originals").alias("purchases"))
 
 
 @query("SELECT o_orderkey, CASE WHEN datediff('day', DATE '1995-01-03', CAST(o_orderdate AS DATE)) >= 0 THEN CAST(floor(datediff('day', DATE '1995-01-03', CAST(o_orderdate AS DATE)) / 7) AS INTEGER) + 1 END AS week FROM orders")
