@@ -21,9 +21,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest doc_id stays."""
-    stays = written(setjoin.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct(), "stays")
-    return docs.join(stays, "doc_id", "left_semi")
+    """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest doc_id stays.
+
+    A row without a doc_id is a document of its own: it is compared like the
+    others, comes after all that have a doc_id, and keeps its null.
+    """
+    last, unnamed = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not unnamed:
+        return docs.join(_stays(docs), "doc_id", "left_semi")
+    key = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
+    keyed = written(docs.filter("doc_id is null").withColumn("doc_id", key), "unnamed")
+    stays = _stays(docs.filter("doc_id is not null").unionByName(keyed))
+    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
+    return docs.join(stays, "doc_id", "left_semi").unionByName(keyed.join(stays, "doc_id", "left_semi").withColumn("doc_id", none).select(docs.columns))
+
+
+def _stays(docs: DataFrame) -> DataFrame:
+    return written(setjoin.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct(), "stays")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,3 +205,21 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     packed = cp.pack(spark, one, "").collect()
     holds(packed, 1024)
     assert {r["doc_id"] for r in packed} == stays
+
+
+def test_pipeline_keeps_documents_without_an_id(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    a, b, c, d = ([f"{k}{r.randrange(10**6)}" for _ in range(80)] for k in "abcd")
+    near = lambda x, k: " ".join([*x[:-1], f"other{k}"])
+    rows = [(5, " ".join(a)), (None, near(a, 1)), (None, " ".join(b)), (None, near(b, 2)), (None, " ".join(c)), (None, " ".join(c)), (9, " ".join(d)), (None, ""), (None, None)]
+    docs = frame(spark, [(i, t, "en") for i, t in rows])
+    got = cp.keep_one_of_each_group(spark, docs, "")
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and got.columns == docs.columns
+    kept = [(x["doc_id"], x["text"]) for x in got.collect()]
+    assert len(kept) == 6 and {(5, " ".join(a)), (None, " ".join(c)), (9, " ".join(d)), (None, ""), (None, None)} < set(kept)
+    assert len({(None, " ".join(b)), (None, near(b, 2))} & set(kept)) == 1
+    assert sum(x["doc_id"] is None for x in cp.pack(spark, got, "").collect()) == 4
+    alone = cp.keep_one_of_each_group(spark, docs.filter("doc_id is null"), "")
+    assert alone.count() == 5

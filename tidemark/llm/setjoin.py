@@ -416,8 +416,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts have an empty set and link with nothing;
     equal sets always link; a doc_id that repeats is one document per row with
-    the same set taken from each; a table without rows gives none; extra
-    columns are ignored.
+    the same set taken from each; a row without a doc_id links only through
+    equal rows that have one, else its component_id is null; a table without
+    rows gives none; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
