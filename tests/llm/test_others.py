@@ -26,6 +26,13 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert zlib.crc32(b"17") % 5 == 0 or not docs.filter("doc_id = 17").select(langid.held_out(F.col("doc_id"))).first()[0]
 
 
+def test_language_sample_of_each_language(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(langid, "Model", lambda names, x, y: used.append((names, np.bincount(y).tolist())))
+    langid.fit(frame(spark, [(i, f"the cat {i}", "en") if i % 2 else (i, f"le chat {i}", "fr") for i in range(1600)]))
+    assert used == [(["en", "fr"], [500, 500])]
+
+
 def test_language_of_odd_rows(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)]
     odd = [(100, None, None), (101, "", "en"), (102, "123 !?", "en"), (103, "the dog", None), (103, "the dog", None), (None, "le chien et", None)]

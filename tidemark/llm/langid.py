@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slabs, texts_of
 from .textscan import LETTER, codepoint_classes, groups
 
-DIM, PER_LANGUAGE, FOLDS, UNKNOWN = 4096, 300, 5, "und"
+DIM, PER_LANGUAGE, FOLDS, UNKNOWN = 4096, 500, 5, "und"
 #: Least lead of the best probability over the second.
 AMBIGUOUS = 0.05
 #: An ambiguous text with less than this for its best language fits none; a mix of two has almost half for each.
@@ -83,7 +83,9 @@ class Model:
         share = 1 / np.bincount(y, minlength=len(languages))[y]
         root = np.sqrt(share * len(languages) / share.sum() * len(y) / len(languages))[:, None]  # languages weigh the same
         kernel = (x @ x.T).astype(np.float64)  # of the rows, not of the features: the smaller matrix
-        kernel = (kernel + 1) * root * root.T
+        kernel += 1
+        kernel *= root
+        kernel *= root.T
         kernel[np.diag_indices_from(kernel)] += ridge
         dual = np.linalg.solve(kernel, target * root) * root
         self.weights, self.bias = x.T @ dual.astype(np.float32), dual.sum(axis=0).astype(np.float32)
