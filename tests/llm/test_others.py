@@ -112,6 +112,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <form><p>Sign up for our newsletter with your address, dear reader.</p></form></main><aside><p>Advert text that is quite long, so that length alone does not tell.</p></aside><footer><p>&copy; Site, all rights reserved, and so on.</p></footer>"""
 
 
+@pytest.mark.parametrize("start", ["- " * 1500, "." * 3000, "x" * 3000 + " "])
+def test_words_after_a_long_start(start):
+    prose = "words of a long story that goes on and on. " * 40
+    assert mincut.score(start + prose, "div", 0.0, 0.0) == mincut.score(prose, "div", 0.0, 0.0) > 0
+
+
 def test_main_text():
     assert mincut.main_text(PAGE).split("\n") == ["The & title", "First long paragraph of the story, with a link © and more words.", "Second paragraph is long enough to be kept as well.", "A short item"]
     for broken in ("", "<", "<p", "a < b", "<!--", "<script>x", "</p></div>", "<div class='ad'>x</div>", "<![CDATA[x"):
