@@ -104,6 +104,19 @@ def test_license_forms(spark):
     assert license.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_further_license_forms(spark):
+    with open("/usr/share/common-licenses/Apache-2.0") as f:
+        apache = f.read()
+    zlib_ = license.KNOWN[5][1].split("\n\n", 1)[1]
+    rows = [(1, apache), (2, zlib_), (3, "a\nReleased under the Apache License, Version 2.0.\nb"), (4, "a\nReleased under CC BY 4.0\n" + " ".join(zlib_.split()))]
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in license.scan(frame(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got[1][0] == "Apache-2.0" and got[2][0] == "Zlib" and got[3] == (None, "Apache-2.0") and got[4] == (None, "CC-BY-4.0,Zlib")
+    own = license.known(spark, (("Own", "Use this freely, at home."),))
+    assert [r["notices"] for r in license.scan(frame(spark, [(1, "a\nUse this freely at home\nb", None)]), own).collect()] == ["Own"]
+    given = spark.createDataFrame([(" ".join(b.split()),) for _, b in license.KNOWN + license.MORE], "t string")
+    assert given.filter(~F.col("t").rlike(license.LINE)).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav><!-- note --><div class="cookie-notice">We use cookies, as all sites do nowadays.</div>
 <div id="sidebar"><p>Read our other long and interesting stories about all kinds of things.</p></div>

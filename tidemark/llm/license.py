@@ -58,6 +58,33 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Further forms: texts without their heading, and notices in other words.
+_STARTS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under", "This project is licensed under")
+_NAMES = (
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("MIT", "MIT License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
+    ("GPL-2.0-only", "GNU General Public License, version 2"), ("GPL-3.0-only", "GNU General Public License, version 3"), ("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0-only", "GNU Lesser General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC0-1.0", "CC0 1.0"), ("Unlicense", "Unlicense"),
+)
+MORE = tuple((a, b.split("\n\n", 1)[1]) for a, b in KNOWN[:6]) + tuple((a, f"{start} {the}{b}") for a, b in _NAMES for start in _STARTS for the in ("", "the "))
+
+#: Digests of the canonical form of whole licence texts, too long to be given here.
+DIGESTS = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0-only", "9caf042595280548f0149ac88169a7f2e04f35b2a642cf00b991f00d48bfa4ce"),
+    ("GPL-2.0-only", "c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88"),
+    ("GPL-3.0-only", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("LGPL-2.0-only", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
+    ("LGPL-2.1-only", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+)
+
+#: Any line that is a known text of the lists above matches this (tested), so only such lines are digested for them.
+LINE = r"(?i)licen[cs]e|\bas[^\p{L}\p{N}]+is\b|\b(?:released|distributed)[^\p{L}\p{N}]+under\b"
+
 #: A line that only states a copyright.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
 
@@ -76,6 +103,12 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> Da
     return given.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def listed(spark: SparkSession) -> DataFrame:
+    """digest, license_id of all lists of this module."""
+    whole = spark.createDataFrame([(b, a) for a, b in DIGESTS], "digest string, license_id string")
+    return known(spark, KNOWN + MORE).union(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, license_id (null if the whole text is no known one), notices (known licences of single lines, sorted, joined by commas).
 
@@ -83,9 +116,11 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     an empty table gives no rows; other columns are ignored.  The known texts are
     a short list, so the broadcast is bounded.
     """
-    licenses = known(docs.sparkSession) if licenses is None else licenses
+    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    lines = F.filter(split, lambda x: x.rlike(LINE)) if licenses is None else split
+    licenses = listed(docs.sparkSession) if licenses is None else licenses
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_digest"), F.expr("filter(split(coalesce(text, ''), '\n', -1), x -> x rlike '(?i)licen[cs]e')").alias("_lines"))
+    whole = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_digest"), lines.alias("_lines"))
     found = whole.join(F.broadcast(licenses.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
     table = {r["digest"]: r["license_id"] for r in licenses.collect()}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
