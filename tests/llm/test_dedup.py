@@ -47,6 +47,44 @@ def test_line_dedup_odd_rows(spark):
     assert Counter(got)[(2, "z", "k")] == 1 and len(got) == 4
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    eight = "\n".join("abcdefgh")
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (2, "p\nq\nr\ns"), (3, eight + "\nf\ng\nh"), (3, "x"), (3, None), (None, "p\nq\nr\nt"), (None, "1\n2\n3"), (4, "1\n2\n3\n4"), (4, "1\n2\n3\n4")]
+    got = Counter((x["doc_id"], x["text"]) for x in linededup.line_dedup(frame(spark, rows)).collect())
+    assert got == Counter([(1, "a\nb\nc"), (2, "d"), (2, "p\nq\nr\ns"), (3, "e\nf\ng\nh"), (3, "x"), (3, None), (None, "t"), (None, ""), (4, "1\n2\n3\n4"), (4, "1\n2\n3\n4")])
+
+
+def test_line_dedup_of_repeated_ids_against_brute_force(spark):
+    r = random.Random(12)
+    rows = [(r.choice([None, *range(9)]), "\n".join(r.choice("ab") + str(r.randrange(40)) for _ in range(r.randrange(0, 30)))) for _ in range(60)]
+    want = {}
+    for i, t in rows:  # with ids that repeat, only the order within an id is free, so each id's rows are made unlike
+        want[i, t + f"\nend {len(want)}"] = None
+    rows = list(want)
+    lone = {i: [t for j, t in rows if j == i] for i, _ in rows}
+    assert any(len(v) > 2 for v in lone.values())
+    got = {(x["doc_id"], x["text"]) for x in linededup.line_dedup(frame(spark, rows)).collect()}
+    place = {x: n for n, x in enumerate(x[1] for x in spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id is null as n", "doc_id", "xxhash64(1, doc_id is null, doc_id, text) as a", "text").orderBy("n", "doc_id", "a").select("n", "text").collect())}
+    brute = lines_brute([(place[t], t) for _, t in rows])
+    assert got == {(i, brute[place[t]]) for i, t in rows}
+
+
+def test_line_dedup_of_frequent_windows_and_long_texts(spark):
+    common = "same\nthree\nlines"
+    rows = [(i, f"{common}\nown {i}") for i in range(400)] + [(1000, "\n".join(str(k) for k in range(200_000))), (1001, "x" * 3_000_000), (1002, "\n" * 50_000)]
+    got = {x["doc_id"]: x["text"] for x in linededup.line_dedup(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own {i}" for i in range(1, 400))
+    assert got[1000] == rows[400][1] and got[1001] == rows[401][1] and got[1002] == ""
+
+
+def test_line_dedup_keeps_clashing_columns_in_the_pipeline(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc\nd", "mine", 7), (2, "a\nb\nc", "gone", 5), (3, "a\nb\nc\ne", "cut", 7)], "doc_id bigint, text string, n_lines string, n_chars int")
+    got = linededup.without_repeats(rows)
+    assert got.columns == rows.columns and got.schema["n_chars"].dataType == rows.schema["n_chars"].dataType
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb\nc\nd", "mine", 7), (3, "e", "cut", 1)]
+    assert linededup.without_repeats(rows.drop("n_chars")).count() == 2
+
+
 def test_exact_dedup(spark):
     rows = [(i, "Same TEXT") for i in range(300)] + [(400, "same text"), (401, "SÄME"), (402, "SäME"), (403, None), (404, ""), (405, "sÄme"), (406, "one"), (406, "one"), (None, "none")]
     got = exactdedup.exact_dedup(frame(spark, rows)).collect()
