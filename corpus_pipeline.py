@@ -15,9 +15,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later copies of windows of three lines; a document that has no line left is dropped."""
-    lean = linededup.line_dedup(docs).filter("n_lines = 0 or n_lines > n_removed")
-    return lean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Removes later copies of windows of three lines; a document that has no line left is dropped, one with an empty or null text stays."""
+    return linededup.without_repeats(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
