@@ -198,6 +198,68 @@ def test_pack_odd_rows(spark):
     assert packing.pack_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000 + "x", "a<|endoftext|>" + "\t" * 1_500_000 + "<|endoftext|>", "it's <|endoftext|> \u00e9\u4e2d  x"])
+def test_ids_of_long_white_space(text):
+    assert packing.ids_of("byte_bpe_50k.json", text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_pack_very_long_texts(spark):
+    docs = frame(spark, [(1, " " * 2_000_000, None), (2, "word " * 200_000, None)])
+    got = packing.pack_documents(docs).collect()
+    holds(got, 1024)
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(packing.ids_of("byte_bpe_50k.json", " " * 2_000_000)) + 1
+
+
+def fewest(items, capacity):
+    """The least number of bins, over all ways."""
+    best = [len(items)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if bins[j] + items[k] <= capacity:
+                place(k + 1, [*bins[:j], bins[j] + items[k], *bins[j + 1 :]])
+        place(k + 1, [*bins, items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_program_covers_and_is_bounded():
+    rng = np.random.default_rng(9)
+    for trial in range(3):
+        lengths = np.sort(rng.choice(np.arange(90 + 100 * trial, 700), 40, replace=False))
+        need = rng.integers(1, 300, 40)
+        times, bound, scales = packing.covering(lengths, need, 1024)
+        cover = np.zeros(40)
+        for key, n in times.items():
+            assert sum(int(lengths[i]) * k for i, k in key) <= 1024
+            for i, k in key:
+                cover[i] += k * n
+        value, used = sum(times.values()), sum(n for _, n in packing.plan(dict(zip(lengths.tolist(), need.tolist(), strict=True))))
+        assert (cover >= need * (1 - 1e-9)).all() and 1 <= scales[0] <= scales[1]
+        assert lengths @ need / 1024 <= bound + 1e-6 and bound <= value and bound <= used + 1e-6 and used <= value + len(times)
+
+
+def test_plans_of_tiny_inputs_against_all_ways():
+    r = random.Random(21)
+    for _ in range(25):
+        items = sorted((r.randrange(1, 12) for _ in range(r.randrange(1, 9))), reverse=True)
+        used = sum(n for _, n in packing.plan({k: items.count(k) for k in items}, 12))
+        assert fewest(items, 12) <= used <= fewest(items, 12) + 1
+
+
 def test_plans_hold_the_histogram():
     rng = np.random.default_rng(4)
     for trial in range(4):

@@ -3,16 +3,23 @@
 Pieces are at most `capacity` tokens, so their lengths form a histogram of bounded
 size.  A configuration is a multiset of lengths that fits a sequence; the
 program asks for the fewest sequences that cover the histogram.
-Multiplicative weights price the lengths (an item still little covered gains
-weight), knapsack dynamic programming finds the best configurations at these
-prices, and each gets a share of what remains.  The fractional solution is
-rounded down; what rounding leaves over goes by best fit decreasing.
+It is solved by multiplicative weights: every length has a price, which falls by a
+factor each time the length is covered, so lengths that lag behind become dear.
+Knapsack dynamic programming finds the configurations of the highest price; the
+prices divided by that price are a solution of the dual program, so each round
+also gives a lower bound, and the rounds end when cover and bound are close.
+The fractional solution covers some lengths more than once, so it is rounded down
+at three scales (so that the least, the mean or the most covered length is met
+once); what rounding leaves over goes by best fit decreasing, and the scale with
+the fewest sequences is taken.
 All of this is in counts: its cost does not depend on the number of documents.
 """
 
 from __future__ import annotations
 
 import base64
+import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -21,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpecodec import codec
 from .common import slabs, texts_of, written
 from .vocab import _file, load
 
 CAPACITY, END = 1024, 2
-#: Rows of one length are numbered in this many shares, so a frequent length is no single task.
-SHARES = 128
+#: Rows are numbered in shares of about this many, so a frequent length is no single task.
+SHARE_ROWS = 1 << 16
+#: Step of the prices, rounds at most, and the gap between cover and bound at which they end.
+STEP, ROUNDS, GAP = 0.1, 120, 0.002
 
 
 @lru_cache(maxsize=2)
@@ -40,15 +50,24 @@ def encoder(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=load(name).special)
 
 
+def ids_of(name: str, text: str) -> np.ndarray:
+    """Ids of a text, special strings as their ids.  The library gives up on some very long runs of white space; these texts are scanned without a pattern engine."""
+    try:
+        return encoder(name).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        special = load(name).special
+        parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+        return np.concatenate([np.array([special[p]], np.uint32) if k % 2 else codec(name).encode([p])[0] for k, p in enumerate(parts)])
+
+
 def token_pieces(docs: DataFrame, name: str, capacity: int, end: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids and the end id; only longer documents are cut, the first piece takes the odd rest."""
 
     def run(batches):
-        enc = encoder(name)
         for b in slabs(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), np.uint32(end)).astype("<u4")
+                ids = np.append(ids_of(name, text), np.uint32(end)).astype("<u4")
                 n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for piece, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -86,32 +105,36 @@ def configuration(lengths: np.ndarray, take: np.ndarray, room: int, first: int)
     return out
 
 
-def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 400, per_round: int = 24) -> dict[tuple, float]:
-    """Configurations (sorted (index, copies) pairs) and their fractional multiplicities."""
-    rest, out = need.astype(float), {}
+def covering(lengths: np.ndarray, need: np.ndarray, capacity: int, step: float = STEP, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[tuple, float], float, tuple[float, float]]:
+    """(multiplicities of configurations, sorted (index, copies) pairs, that cover `need`; a lower bound on the sequences of any cover; mean and largest coverage)."""
+    price = lengths / capacity  # at these prices the bound is the volume
+    cover, times, bound = np.zeros(len(lengths)), {}, 0.0
     for _ in range(rounds):
-        live = np.flatnonzero(rest >= 0.5)
-        if not len(live):
-            break
-        size, left = lengths[live], rest[live]
-        # size is the price at which every full sequence is worth the same; the weights move it
-        weight = np.exp(0.5 * (left / need[live])) * (1 + size / (4 * capacity))
-        best, take = knapsack(size, size / capacity * weight, capacity)
-        value = size / capacity * weight + best[capacity - size]
-        for j in np.argsort(-value, kind="stable")[:per_round].tolist():
-            if value[j] < 0.97 * best[capacity]:
-                break
-            found = configuration(size, take, capacity, j)
-            times = 0.5 * min(rest[live[i]] / k for i, k in found.items())
-            if times <= 0:
+        best, take = knapsack(lengths, price, capacity)
+        top = best[capacity]
+        bound = max(bound, float(need @ price) / top)
+        value = price + best[capacity - lengths]
+        for j in np.argsort(cover, kind="stable").tolist():
+            if value[j] < (1 - step) * top:
                 continue
-            if times < 0.5:
-                times *= 2
-            for i, k in found.items():
-                rest[live[i]] -= k * times
-            key = tuple(sorted((int(live[i]), k) for i, k in found.items()))
-            out[key] = out.get(key, 0.0) + times
-    return out
+            found = configuration(lengths, take, capacity, j)
+            at, copies = np.array(list(found)), np.array(list(found.values()))
+            if copies @ price[at] < (1 - step) * top:
+                continue  # prices have fallen since
+            rate = copies / need[at]
+            once = 1 / rate.max()
+            cover[at] += rate * once
+            price[at] *= np.exp(-step * rate * once)
+            key = tuple(sorted(found.items()))
+            times[key] = times.get(key, 0.0) + once
+        price /= price.max()
+        if cover.min() > 0 and sum(times.values()) / cover.min() <= bound * (1 + gap):
+            break
+    least = cover[cover > 0].min()
+    for j in np.flatnonzero(cover == 0).tolist():  # a length that no round reached
+        times[((j, 1),)], cover[j] = float(need[j]) * least, least
+    volume = lengths * need
+    return {key: n / least for key, n in times.items()}, bound, (float(cover @ volume) / float(volume.sum()) / least, float(cover.max()) / least)
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -148,9 +171,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     if not items:
         return out
     lengths, need = np.array([k for k, _ in items]), np.array([n for _, n in items])
-    rest = need.copy()
-    for key, times in sorted(fractional(lengths, need, capacity).items(), key=lambda x: -x[1]):
-        n = min([int(times), *(int(rest[i]) // k for i, k in key)])
+    times, _, scales = covering(lengths, need, capacity)
+    return out + min((rounded(lengths, need, times, scale, capacity) for scale in (1.0, *scales)), key=lambda found: sum(n for _, n in found))
+
+
+def rounded(lengths: np.ndarray, need: np.ndarray, times: dict[tuple, float], scale: float, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The configurations, each as often as its multiplicity over `scale` rounded down and as what is left allows; then the rest by best fit."""
+    rest, out = need.copy(), []
+    for key, often in sorted(times.items(), key=lambda x: -x[1]):
+        n = min([math.floor(often / scale), *(int(rest[i]) // k for i, k in key)])
         if n > 0:
             for i, k in key:
                 rest[i] -= n * k
@@ -159,15 +188,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (any columns, among them doc_id, piece, length, ids_crc32)."""
-    salted = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int"))
-    counts = salted.groupBy("length", "share").agg(F.count("*").alias("n")).toArrow().to_pylist()  # capacity * SHARES rows at most
-    histogram: dict[int, int] = {}
-    before: dict[int, np.ndarray] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["share"])):
-        at = before.setdefault(r["length"], np.zeros(SHARES, np.int64))
-        at[r["share"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    """Adds sequence_id and offset to pieces (any columns, among them doc_id, piece, length, ids_crc32), a table that can be read again.
+
+    Pieces of one length are numbered by shares, whose number grows with the
+    rows; the histogram, of `capacity` rows at most, is all that the driver gets,
+    and the plan made of it all that is broadcast.
+    """
+    spark, shares = pieces.sparkSession, -(-pieces.count() // SHARE_ROWS) or 1
+    salted = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("int"))
+    counts = written(salted.groupBy("length", "share").agg(F.count("*").alias("n")), "shares")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow().to_pylist()}
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("length", "share", F.coalesce(earlier, F.lit(0)).alias("before"))
     rank0, first_seq, copies, first_off = {}, {}, {}, {}
     base = 0
     for content, n in plan(histogram, capacity):
@@ -181,31 +213,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             ranks.append(ranks[-1] + k * n)
             off += k * size
         base += n
-    shared = pieces.sparkSession.sparkContext.broadcast({size: (before[size], *map(np.array, (rank0[size], first_seq[size], copies[size], first_off[size]))) for size in histogram})
+    shared = spark.sparkContext.broadcast({size: tuple(map(np.array, (rank0[size], first_seq[size], copies[size], first_off[size]))) for size in histogram})
     number = F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")) - 1
     names = pieces.columns
 
     def run(batches):
         for b in batches:
-            length, share, nth = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "share", "nth"))
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for size in np.unique(length).tolist():
                 at = np.flatnonzero(length == size)
-                start, ranks, first, k, o = shared.value[size]
-                rank = start[share[at]] + nth[at]
-                j = np.searchsorted(ranks, rank, side="right") - 1
-                inner = rank - ranks[j]
+                ranks, first, k, o = shared.value[size]
+                j = np.searchsorted(ranks, rank[at], side="right") - 1
+                inner = rank[at] - ranks[j]
                 seq[at], off[at] = first[j] + inner // k[j], o[j] + inner % k[j] * size
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return salted.withColumn("nth", number).mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    ranked = salted.withColumn("nth", number).join(starts, ["length", "share"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     Null texts count as empty and give one piece with the end id; repeated rows
-    are packed once each; an empty table gives no rows; other columns are ignored.
+    are packed once each (which of two equal rows comes first is all that ties
+    leave open); a null doc_id stays null; texts of any length are cut, not
+    shortened; an empty table gives no rows; other columns are ignored.
     """
     return pack(written(token_pieces(docs, name, capacity, end), "pieces"), capacity)
