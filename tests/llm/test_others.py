@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -128,7 +129,28 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 @pytest.mark.parametrize("start", ["- " * 1500, "." * 3000, "x" * 3000 + " "])
 def test_words_after_a_long_start(start):
     prose = "words of a long story that goes on and on. " * 40
-    assert mincut.score(start + prose, "div", 0.0, 0.0) == mincut.score(prose, "div", 0.0, 0.0) > 0
+    gain = lambda text: mincut.fit().gain(mincut.blocks_of(f"<div>{text}</div>"))
+    assert gain(start + prose) == gain(prose) and gain(prose)[0] > 0
+
+
+def test_cut_labels_better_than_the_classifier_alone():
+    model, held = mincut.fit(), mincut.labelled(250, 1234)
+    alone, cut = mincut.accuracy(mincut.Model(model.weights, 0.0), held), mincut.accuracy(model, held)
+    assert model.scale > 0 and cut > alone + 0.01 and cut > 0.94
+    told = [(b, want) for b, want in held if any(x.around[0] for x in b)]
+    assert len(told) > 80 and mincut.accuracy(model, told) > 0.96
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a t="' * 170_000, "<p a=\"b'>" * 100_000, "<script>" + "</script " * 100_000, "<div>" * 80_000 + "</p>" * 80_000, "<i><div>" + "<b>" * 80_000 + "</i>" * 80_000, "<!--" * 250_000, "<" * 200_000])
+def test_broken_pages_in_linear_time(page):
+    began = time.process_time()
+    mincut.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_long_page_is_read_whole():
+    body = [f"Paragraph number {k} of a story that is long enough to be kept." for k in range(30_000)]
+    assert mincut.main_text("<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>") == "\n".join(body)
 
 
 def test_main_text():
@@ -151,9 +173,9 @@ def test_minimum_cut_against_all_labellings():
 
 
 def test_pages(spark):
-    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (3, "u", "", "x")], "page_id bigint, url string, html string, text string")
-    got = mincut.extract(rows).orderBy("page_id").collect()
-    assert [r["n_chars"] for r in got] == [len(mincut.main_text(PAGE)), 0, 0, 0]
+    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (3, "u", "", "x"), (None, None, PAGE, "x")], "page_id bigint, url string, html string, text string")
+    got = mincut.extract(rows).orderBy(F.asc_nulls_last("page_id")).collect()
+    assert [r["n_chars"] for r in got] == [len(mincut.main_text(PAGE)), 0, 0, 0, len(mincut.main_text(PAGE))]
     assert mincut.extract(rows.limit(0)).count() == 0
 
 
