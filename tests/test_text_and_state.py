@@ -92,8 +92,10 @@ def ev(ts, kind, **kw):
         ([ev(1, "start", slots=1), ev(2, "covered", slot=0), ev(4, "seq_gap", slot=0, market="m")], [(1, 2, "all", "not running"), (4, None, "market", "seq gap")]),
     ],
 )
-def test_coverage(log, want):
-    assert [(w["start"], w["end"], w["scope"], w["cause"]) for w in journal.coverage(log)] == want
+def test_coverage(spark, log, want):
+    lines = [("p", n, *(e.get(c) for c in ("ts", "kind", "slot", "slots", "events", "market", "detail"))) for n, e in enumerate(log)]
+    rows = spark.createDataFrame(lines, "env string, line int, ts bigint, kind string, slot int, slots int, events array<string>, market string, detail string")
+    assert [(w["start"], w["end"], w["scope"], w["cause"]) for w in journal.missing_windows(rows).orderBy("start").collect()] == want
 
 
 def test_missing_windows_and_slots(spark):
