@@ -4,11 +4,14 @@ A range join on a key alone piles a busy market's rows into one task.  Here both
 get a time bucket: a moment is copied into the few buckets its window touches, a
 print has one, and the exact bounds stay as a residual condition.  Each pair
 meets once.
+
+An as-of lookup makes no pairs at all: moments and prints are sorted together in each time bucket, the last print
+of a bucket is carried into the next one, and each moment takes the last print it comes after.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import plus
@@ -18,11 +21,14 @@ def bucket(ts: Column, width: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / F.lit(width)).cast("long")
 
 
-def range_join(moments: DataFrame, prints: DataFrame, keys: list[str], low: Column, high: Column, width: int, ts: str = "ts") -> DataFrame:
-    """Moments with every print of the same keys that has low <= ts <= high; low and high are columns of moments."""
+def range_join(moments: DataFrame, prints: DataFrame, keys: list[str], low: Column, high: Column, width: int, ts: str = "ts", how: str = "inner") -> DataFrame:
+    """Moments with every print of the same keys that has low <= ts <= high; low and high are columns of moments.  In a left join a moment without prints has a row or more with a NULL ts."""
     spread = moments.withColumn("_lo", low).withColumn("_hi", high).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo"), width), F.greatest(bucket(F.col("_lo"), width), bucket(F.col("_hi"), width)))))
     dealt = prints.withColumn("_bucket", bucket(F.col(ts), width))
-    return spread.join(dealt, [*keys, "_bucket"]).filter((F.col(ts) >= F.col("_lo")) & (F.col(ts) <= F.col("_hi"))).drop("_lo", "_hi", "_bucket")
+    if how == "inner":
+        return spread.join(dealt, [*keys, "_bucket"]).filter((F.col(ts) >= F.col("_lo")) & (F.col(ts) <= F.col("_hi"))).drop("_lo", "_hi", "_bucket")
+    both = spread.join(dealt.withColumnsRenamed({k: f"_r{k}" for k in [*keys, "_bucket"]}), [*[F.col(k) == F.col(f"_r{k}") for k in [*keys, "_bucket"]], F.col(ts) >= F.col("_lo"), F.col(ts) <= F.col("_hi")], how)
+    return both.drop("_lo", "_hi", "_bucket", *[f"_r{k}" for k in [*keys, "_bucket"]])
 
 
 def taker_prints(trades: DataFrame) -> DataFrame:
@@ -30,14 +36,29 @@ def taker_prints(trades: DataFrame) -> DataFrame:
     return trades.filter("side = 'TAKER'").groupBy("market_id", "outcome_id", "ts").agg(F.sum("cost").alias("cost"), F.sum("qty").alias("qty"))
 
 
+def last_prints(moments: DataFrame, prints: DataFrame, points: dict[str, tuple[Column, Column, bool]], width: int) -> DataFrame:
+    """Adds to moments (market_id, outcome_id and others; rows that differ) a struct (ts, cost, qty) for every point (x, low, inclusive): the last
+    print of the same market and outcome with low <= ts < x, or ts <= x; NULL where there is none.  No low may lie more than `width` seconds before its x."""
+    keys = ["market_id", "outcome_id"]
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), x.alias("x"), low.alias("low"), F.lit(2 if inclusive else 0).alias("turn")) for name, (x, low, inclusive) in points.items()])
+    asking = moments.select(*keys, F.struct(*moments.columns).alias("_m"), F.explode(asked).alias("_q")).select(*keys, bucket(F.col("_q.x"), width).alias("_bucket"), F.col("_q.x").alias("_x"), F.col("_q.turn").alias("_turn"), "_m", "_q", F.lit(None).cast(prints.select(F.struct("ts", "cost", "qty")).schema[0].dataType).alias("_p"))
+    held = prints.select(*keys, bucket(F.col("ts"), width).alias("_bucket"), F.col("ts").alias("_x"), F.struct("ts", "cost", "qty").alias("_p"))
+    carried = held.groupBy(*keys, "_bucket").agg(F.max_by("_p", "_x").alias("_p")).select(*keys, (F.col("_bucket") + 1).alias("_bucket"), F.col("_p.ts").alias("_x"), "_p")
+    given = held.unionByName(carried).withColumn("_turn", F.lit(1))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_x", "_turn")
+    got = asking.unionByName(given, allowMissingColumns=True).withColumn("_p", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_m is not null")
+    got = got.select("_m.*", F.col("_q.name").alias("_n"), F.when(F.col("_p.ts") >= F.col("_q.low"), F.col("_p")).alias("_p"))
+    if len(points) == 1:
+        return got.drop("_n").withColumnRenamed("_p", next(iter(points)))
+    # the rows of one moment meet again under all its columns
+    return got.groupBy(*moments.columns).agg(*[F.first(F.when(F.col("_n") == name, F.col("_p")), True).alias(name) for name in points])
+
+
 def last_price(moments: DataFrame, prints: DataFrame, id_: list[str], lookback: int, inclusive: bool = False, at: str = "at") -> DataFrame:
     """For each moment (id_ columns, market_id, outcome_id, at) the volume-weighted price of the last time with prints in
     [at - lookback, at), or [at - lookback, at]; NULL price and time where there is none."""
-    found = range_join(moments.select(*id_, "market_id", "outcome_id", at), prints, ["market_id", "outcome_id"], plus(F.col(at), -lookback), F.col(at), lookback)
-    if not inclusive:
-        found = found.filter(F.col("ts") < F.col(at))
-    best = found.groupBy(*id_).agg(F.max_by(F.struct("cost", "qty", "ts"), "ts").alias("_b"))
-    return moments.join(best, id_, "left").withColumn("price", F.col("_b.cost") / F.col("_b.qty")).withColumn("price_ts", F.col("_b.ts")).drop("_b")
+    got = last_prints(moments, prints, {"_b": (F.col(at), plus(F.col(at), -lookback), inclusive)}, max(1, lookback))
+    return got.withColumn("price", F.col("_b.cost") / F.col("_b.qty")).withColumn("price_ts", F.col("_b.ts")).drop("_b")
 
 
 def next_event(moments: DataFrame, schedule: DataFrame, id_: list[str], keys: list[str], before: int, after: int, at: str = "at") -> DataFrame:

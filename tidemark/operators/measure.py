@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import plus, seconds_between
-from tidemark.operators.asof import range_join, taker_prints
+from tidemark.operators.asof import last_prints, range_join, taker_prints
 from tidemark.plans.params import Params
 
 DATA_ENDS, GAME_ENDS, NO_PRE, OLD_PRE = "trade data ends inside the settle window", "game ends before the post-news window", "no favored-side trade in lookback", "pre-news trade older than max_pre_age"
 
 
-def fills(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params) -> DataFrame:
-    """Levels (id_, ts, price, qty, ambiguous) at which the favoured outcome filled in [at, at + window].
+def fills(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, how: str = "inner") -> DataFrame:
+    """Levels (the columns of moments, ts, price, qty, ambiguous) at which the favoured outcome filled in [at, at + window].
 
     A sweep of one taker is taken apart into the maker rows of the other outcome at the same time, at
-    the complement of their price; a time with several takers stays whole at the taker's price.
+    the complement of their price; a time with several takers stays whole at the taker's price.  In a left
+    join the rows that are no levels stay, with a NULL price.
     """
-    rows = range_join(moments.select(*id_, "market_id", "favored_id", "at"), trades.select("market_id", "outcome_id", "ts", "side", "price", "qty", "ambiguous"), ["market_id"], F.col("at"), plus(F.col("at"), p.window), max(1, p.window))
-    taker = (F.col("side") == "TAKER") & (F.col("outcome_id") == F.col("favored_id"))
+    held = trades.select("market_id", F.col("outcome_id").alias("_outcome"), "ts", "side", F.col("price").alias("_price"), "qty", "ambiguous")
+    rows = range_join(moments, held, ["market_id"], F.col("at"), plus(F.col("at"), p.window), max(1, p.window), how=how)
+    taker = (F.col("side") == "TAKER") & (F.col("_outcome") == F.col("favored_id"))
     swept = F.max(taker & ~F.col("ambiguous")).over(Window.partitionBy(*id_, "ts"))
     rows = rows.withColumn("_swept", swept)
-    maker = (F.col("side") == "MAKER") & (F.col("outcome_id") != F.col("favored_id")) & F.col("_swept")
+    maker = (F.col("side") == "MAKER") & (F.col("_outcome") != F.col("favored_id")) & F.col("_swept")
     whole = taker & F.col("ambiguous")
-    return rows.filter(maker | whole).select(*id_, "at", "ts", F.when(whole, F.col("price")).otherwise(F.lit(1.0) - F.col("price")).alias("price"), "qty", whole.alias("ambiguous"))
+    price = F.when(whole, F.col("_price")).when(maker, F.lit(1.0) - F.col("_price"))
+    rows = rows if how == "left" else rows.filter(maker | whole)
+    return rows.select(*moments.columns, "ts", price.alias("price"), "qty", whole.alias("ambiguous"))
 
 
 def stale_aggregates(threshold: Column, prefix: str, p: Params) -> list[Column]:
@@ -59,39 +63,41 @@ def stale_stats(thresholds: DataFrame, levels: DataFrame, id_: list[str], prefix
     return got
 
 
-def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, data_end=None) -> DataFrame:
+def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, data_end=None, views: tuple[str, ...] = ("xp", "t0")) -> DataFrame:
     """One row per moment and market: moments has id_, market_id, favored_id, at, game_start (may be NULL) and expected_move (may be NULL).
 
-    The columns are fixed; what an exclusion leaves out is NULL.
+    The columns are fixed; what an exclusion leaves out is NULL.  Statistics of stale fills come in the views asked for.  Moments are
+    never joined with themselves: they pass through the as-of lookup and then, with both views' thresholds, through one join with the fills.
     """
+    given = moments.columns
     m = moments.withColumn("_full", plus(F.col("at"), p.settle))
     in_game = F.coalesce(F.col("at") >= F.col("game_start"), F.lit(False))
     m = m.withColumn("_end", F.when(in_game, F.least("_full", plus(F.col("game_start"), p.game_length))).otherwise(F.col("_full")))
     beyond = F.lit(False) if data_end is None else F.col("_full") > F.lit(data_end)
     m = m.withColumn("_early", F.when(beyond, DATA_ENDS).when(in_game & (F.col("_end") <= plus(F.col("at"), p.window)), GAME_ENDS))
-    found = range_join(m.filter("_early is null").select(*id_, "market_id", F.col("favored_id").alias("outcome_id"), "at", "_end"), taker_prints(trades), ["market_id", "outcome_id"], plus(F.col("at"), -(p.lookback + p.drift_lead)), F.col("_end"), p.lookback + p.drift_lead + p.settle)
-    at, ts = F.col("at"), F.col("ts")
-
-    def last(where: Column, name: str) -> Column:
-        return F.max_by(F.when(where, F.struct("cost", "qty", "ts")), F.when(where, ts)).alias(name)
-
-    lead_at = plus(at, -p.drift_lead)
-    got = found.groupBy(*id_).agg(
-        last((ts >= plus(at, -p.lookback)) & (ts < at), "_pre"),
-        last((ts >= plus(lead_at, -p.lookback)) & (ts <= lead_at), "_lead"),
-        last((ts > plus(at, p.window)) & (ts <= F.col("_end")), "_post"),
-    )
-    m = m.join(got, id_, "left")
+    at = F.col("at")
+    lead_at, after = plus(at, -p.drift_lead), plus(at, p.window)
+    points = {"_pre": (at, plus(at, -p.lookback), False), "_lead": (lead_at, plus(lead_at, -p.lookback), True), "_post": (F.col("_end"), after, True)}
+    m = last_prints(m.withColumn("outcome_id", F.col("favored_id")), taker_prints(trades), points, max(1, p.lookback, p.settle))
+    reached = F.col("_early").isNull()
+    m = m.withColumns({x: F.when(reached, F.col(x)) for x in ("_pre", "_lead")} | {"_post": F.when(reached & (F.col("_post.ts") > after), F.col("_post"))})
     price = lambda x: F.col(f"{x}.cost") / F.col(f"{x}.qty")
     old = seconds_between(at, F.col("_pre.ts")) > p.max_pre_age
     m = m.withColumn("excluded", F.when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("_pre").isNull(), NO_PRE).when(old, OLD_PRE))
-    reached = F.col("_early").isNull()
     ok = F.col("excluded").isNull()
     m = m.withColumns({"post_cut_short": F.when(reached, F.col("_end") < F.col("_full")), "pre_price": F.when(reached, price("_pre")), "pre_age_s": F.when(reached, seconds_between(at, F.col("_pre.ts")))})
     m = m.withColumns({"lead_price": F.when(ok, price("_lead")), "post_price": F.when(ok, price("_post")), "recent_pre_trade": F.when(ok, F.col("_pre.ts") > lead_at)})
     m = m.withColumns({"drift": F.col("pre_price") - F.col("lead_price"), "move": F.col("post_price") - F.col("pre_price")})
     m = m.withColumn("moved", F.when(ok, F.coalesce(F.col("move") >= p.min_move, F.lit(False)))).withColumn("expected_move", F.when(ok, F.col("expected_move")))
-    levels = fills(m.filter("excluded is null"), trades, id_, p)
-    xp = stale_stats(m.filter("post_price > pre_price").withColumn("threshold", (F.col("pre_price") + F.col("post_price")) / 2), levels, id_, "xp", p)
-    t0 = stale_stats(m.filter("expected_move > 0").withColumn("threshold", F.col("pre_price") + F.col("expected_move") / 2), levels, id_, "t0", p)
-    return m.join(xp, id_, "left").join(t0, id_, "left").drop("_full", "_end", "_early", "_pre", "_lead", "_post")
+    m = m.select(*given, "excluded", "post_cut_short", "pre_price", "pre_age_s", "lead_price", "post_price", "recent_pre_trade", "drift", "move", "moved")
+    if not views:
+        return m
+    thresholds = {"xp": F.when(F.col("post_price") > F.col("pre_price"), (F.col("pre_price") + F.col("post_price")) / 2), "t0": F.when(F.col("expected_move") > 0, F.col("pre_price") + F.col("expected_move") / 2)}
+    # a moment without a threshold meets no market, so its window costs nothing
+    used = F.coalesce(*[F.when(ok, thresholds[v]) for v in views]).isNotNull()
+    asked = m.withColumns({f"_{v}": F.when(ok, thresholds[v]) for v in views}).withColumnRenamed("market_id", "_market").withColumn("market_id", F.when(used, F.col("_market")))
+    levels = fills(asked, trades, ["_market", *[c for c in id_ if c != "market_id"]], p, "left")
+    stats = [F.when(F.first(f"_{v}").isNotNull(), x).alias(name) for v in views for x, name in zip(stale_aggregates(F.col(f"_{v}"), v, p), stale_names(v, p), strict=True)]
+    keys = [c for c in m.columns if c != "market_id"]
+    got = levels.groupBy("_market", *keys).agg(*stats).withColumnRenamed("_market", "market_id")
+    return got.select(*m.columns, *[n for v in views for n in stale_names(v, p)])

@@ -35,9 +35,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def measured(spark: SparkSession, d: str) -> DataFrame:
+def measured(spark: SparkSession, d: str, *views: str) -> DataFrame:
     moments = news_markets(spark, d).withColumn("expected_move", F.lit(None).cast("double"))
-    return measure.measure(moments, prints(spark, d), ID, DAILY, DATA_END)
+    return measure.measure(moments, prints(spark, d), ID, DAILY, DATA_END, views)
 
 
 # ---- as-of lookups and range joins
@@ -66,8 +66,10 @@ def asof_vwap_inclusive(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PRINTS}, {NEWS_MARKETS} SELECT n.post_id, n.market_id, count(*) AS trades, round(sum(p.qty), 6) AS qty, min(p.ts) AS first_ts, max(p.ts) AS last_ts FROM n JOIN prints AS p ON n.market_id = p.market_id AND p.ts >= n.moment - INTERVAL 70 DAY AND p.ts <= n.moment + INTERVAL 60 DAY GROUP BY ALL")
 def interval_window_trades(spark: SparkSession, d: str) -> DataFrame:
     low, high = scalar.plus(F.col("at"), -DAILY.lookback - DAILY.drift_lead), scalar.plus(F.col("at"), DAILY.settle)
-    found = asof.range_join(news_markets(spark, d).select(*ID, "at"), views.raw_prints(spark, d), ["market_id"], low, high, 130 * DAY)
-    return found.groupBy(*ID).agg(F.count("*").alias("trades"), F.round(F.sum("qty"), 6).alias("qty"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    # prints of one time are counted before they meet any moment
+    held = views.raw_prints(spark, d).groupBy("market_id", "ts").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    found = asof.range_join(news_markets(spark, d).select(*ID, "at"), held, ["market_id"], low, high, 130 * DAY)
+    return found.groupBy(*ID).agg(F.sum("n").alias("trades"), F.round(F.sum("qty"), 6).alias("qty"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query(f"""WITH {NEWS} SELECT a.post_id, (SELECT min(b.t0) FROM news AS b WHERE b.event_id = a.event_id AND b.t0 > a.t0 AND b.t0 <= a.t0 + INTERVAL 8 DAY) AS next_t0,
@@ -98,7 +100,7 @@ def _stale_select(alias: str) -> str:
 @query(f"WITH {PRINTS}, {NEWS_MARKETS}, {FILLS}, {views.stale('st', 'SELECT post_id, market_id, 0.55 AS threshold FROM n')} SELECT post_id, market_id, {_stale_select('st')} FROM st")
 def stale_stats_buckets(spark: SparkSession, d: str) -> DataFrame:
     n = news_markets(spark, d)
-    got = measure.stale_stats(n.withColumn("threshold", F.lit(0.55)), measure.fills(n, prints(spark, d), ID, DAILY), ID, "x", DAILY)
+    got = measure.stale_stats(n.withColumn("threshold", F.lit(0.55)), measure.fills(n, prints(spark, d), ID, DAILY).select(*ID, "at", "ts", "price", "qty", "ambiguous"), ID, "x", DAILY)
     return rounded(got.select(*ID, *[F.col(f"x_{c}").alias(c) for c in STALE]))
 
 
@@ -110,7 +112,7 @@ def measure_exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, {FILLS}, {XP} SELECT post_id, market_id, {_stale_select('xp')} FROM xp")
 def ex_post_view(spark: SparkSession, d: str) -> DataFrame:
-    got = measured(spark, d).filter("xp_fills is not null")
+    got = measured(spark, d, "xp").filter("xp_fills is not null")
     return rounded(got.select(*ID, *[F.col(f"xp_{c}").alias(c) for c in STALE]))
 
 
@@ -126,7 +128,7 @@ def _near(c: str, q: float) -> str:
     round_even(sum(qty), 0) AS qty, round_even(sum(cost), 0) AS cost_usd, round_even(sum(ambiguous_qty), 0) AS ambiguous_qty, round_even(sum(qty_upper), 0) AS qty_upper, round_even(sum(qty_0_1d), 0) AS qty_0_1d, round_even(sum(qty_1_3d), 0) AS qty_1_3d, round_even(sum(qty_3_10d), 0) AS qty_3_10d
     FROM xp JOIN m USING (post_id, market_id) GROUP BY status""")
 def summarize_groups(spark: SparkSession, d: str) -> DataFrame:
-    return summary.summarize(measured(spark, d), ["status"], "xp", DAILY)
+    return summary.summarize(measured(spark, d, "xp"), ["status"], "xp", DAILY)
 
 
 @query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, s AS (SELECT *, greatest(0.0, least(1.0, drift / (drift + move))) AS share FROM m WHERE moved AND drift IS NOT NULL AND drift + move > 0)
@@ -141,12 +143,12 @@ _ROLL = f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE}, {FILLS}, {XP}, r AS (SELEC
 
 @query(_ROLL + " SELECT post_id, markets, moved, with_stale, any_stale, CAST(first_s AS DOUBLE) AS first_s, CAST(last_s AS DOUBLE) AS last_s, qty, cost, qty_upper FROM r")
 def per_event_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(summary.per_event(measured(spark, d), ["post_id"]))
+    return rounded(summary.per_event(measured(spark, d, "xp"), ["post_id"]))
 
 
 @query(_ROLL + " SELECT post_id, markets, qty_upper FROM r ORDER BY qty_upper DESC NULLS LAST, post_id LIMIT 40")
 def largest_events(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(summary.largest_events(summary.per_event(measured(spark, d), ["post_id"]), "post_id").select("post_id", "markets", "qty_upper"))
+    return rounded(summary.largest_events(summary.per_event(measured(spark, d, "xp"), ["post_id"]), "post_id").select("post_id", "markets", "qty_upper"))
 
 
 @query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE},
