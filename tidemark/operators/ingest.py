@@ -76,7 +76,8 @@ def file_days(low: Column, high: Column) -> Column:
     return (F.col("file_date") >= F.date_sub(F.to_date(low), 1)) & (F.col("file_date") <= F.date_add(F.to_date(high), 1))
 
 
-def missing_days(days: DataFrame) -> DataFrame:
-    """Days between the first and last listed `day` that are not listed."""
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a is not null")
-    return span.select(F.explode(F.sequence("a", "b")).alias("day")).join(days.select("day").distinct(), "day", "left_anti")
+def missing_days(days: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Days between the first and last listed `day` (of each group) that are not listed; groups are not NULL."""
+    by = by or []
+    span = days.groupBy(*by).agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a is not null")
+    return span.select(*by, F.explode(F.sequence("a", "b")).alias("day")).join(days.select(*by, "day").distinct(), [*by, "day"], "left_anti")

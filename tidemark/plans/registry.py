@@ -233,22 +233,48 @@ def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     return ingest.violations(raw).select("rule", "bad", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
 
 
-@query("SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS d FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders WHERE o_orderkey % 7 = 0) AS a) AS s WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 = 0)")
+@query("SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS d FROM (SELECT CAST(o_orderdate AS DATE) AS x FROM orders) AS a) AS s WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
 def missing_days(spark: SparkSession, d: str) -> DataFrame:
     return ingest.missing_days(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")))
 
 
-@query("SELECT c_custkey, nullif(CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END, '') AS segment FROM customer")
+@query("""WITH o AS (SELECT DISTINCT o_orderpriority, CAST(o_orderdate AS DATE) AS x FROM orders),
+    s AS (SELECT o_orderpriority, unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS d FROM o GROUP BY o_orderpriority)
+    SELECT s.o_orderpriority, CAST(d AS DATE) AS day FROM s LEFT JOIN o ON s.o_orderpriority = o.o_orderpriority AND CAST(d AS DATE) = x WHERE x IS NULL""")
+def missing_days_of_each_priority(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.missing_days(table(spark, d, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day")), ["o_orderpriority"])
+
+
+TYPED = f"""r AS (SELECT l_orderkey * 10 + l_linenumber AS row_num, CASE WHEN l_returnflag = 'R' THEN 'TAKER' ELSE 'MAKER' END AS side, l_shipdate AS ts, l_linenumber AS legs, l_quantity AS qty, l_extendedprice AS cost,
+    CASE WHEN l_linestatus = 'O' THEN '' ELSE 'L' || l_linestatus END AS league, l_suppkey AS market FROM lineitem)"""
+
+
+def raw_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as lines of a raw trade file: strings only, a league that may be empty, a supplier as the market."""
+    uid = lambda n: F.concat(F.lit("01900000-0000-7000-8000-"), F.lpad(F.lower(F.hex(n)), 12, "0"))
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_num"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), uid(F.col("l_partkey")).alias("outcomeId"), uid(F.col("l_suppkey")).alias("marketId"),
+        F.lit("s").alias("contractSeries"), F.when(F.col("l_linestatus") == "O", "").otherwise(F.concat(F.lit("L"), "l_linestatus")).alias("league"), F.lit("MONEY").alias("marketType"), F.lit("single").alias("tradeType"), F.col("l_linenumber").cast("string").alias("legs"),
+        F.col("l_extendedprice").cast("string").alias("cost"), F.col("l_quantity").cast("string").alias("qty"), F.when(F.col("l_returnflag") == "R", "TAKER").otherwise("MAKER").alias("side"),
+    )
+
+
+@query(f"""WITH {TYPED} SELECT league, side, taker_count > 1 AS ambiguous, count(*) AS n, CAST(sum(legs) AS BIGINT) AS legs, min(ts) AS first_ts, round(sum(cost / qty), 4) AS price FROM (SELECT nullif(league, '') AS league, side, legs, ts, cost, qty, sum(CASE WHEN side = 'TAKER' THEN 1 ELSE 0 END) OVER (PARTITION BY ts, market) AS taker_count FROM r) AS x GROUP BY 1, 2, 3""")
+def parsed_trades(spark: SparkSession, d: str) -> DataFrame:
+    got = ingest.parse_trades(raw_trades(spark, d))
+    return got.groupBy("league", "side", "ambiguous").agg(F.count("*").alias("n"), F.sum("legs").alias("legs"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.round(F.sum("price"), 4).alias("price"))
+
+
+@query(f"""WITH {TYPED} SELECT row_num, nullif(league, '') AS league FROM r""")
 def empty_to_null(spark: SparkSession, d: str) -> DataFrame:
-    given = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", F.nullif(given, F.lit("")).alias("segment"))
+    return ingest.parse_trades(raw_trades(spark, d), validate=False).select(F.col("row_num").cast("long").alias("row_num"), "league")
 
 
 # ---- counts, weeks, windows
 
 
-@query("""WITH w AS (SELECT unnest(generate_series(date_trunc('week', min(ts)), max(ts), INTERVAL 1 DAY)) AS week FROM events)
-    SELECT week, count(e.ts) AS posts, count(*) FILTER (e.event_type = 'purchase') AS purchases FROM w LEFT JOIN events AS e ON e.ts >= week AND e.ts < week + INTERVAL 1 DAY AND e.user_id % 5 = 0 GROUP BY week""")
+@query("""WITH w AS (SELECT unnest(generate_series(date_trunc('week', min(ts)), max(ts), INTERVAL 7 DAY)) AS week FROM events)
+    SELECT week, count(e.ts) AS posts, count(*) FILTER (e.event_type = 'purchase') AS purchases FROM w LEFT JOIN events AS e ON e.ts >= week AND e.ts < week + INTERVAL 7 DAY GROUP BY week""")
 def weekly_counts_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     first, last = e.agg(F.date_trunc("week", F.min("ts")).cast("date"), F.to_date(F.max("ts"))).first()
@@ -314,7 +340,7 @@ def uuid7_time(spark: SparkSession, d: str) -> DataFrame:
     return made.select("event_id", scalar.uuid7_time(F.col("uid")).cast("timestamp_ntz").alias("created"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(replace(lower(strip_accents(substr(coalesce(text, ''), 1, 200))), '-', ' '), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v'))) AS w FROM documents)
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(replace(lower(strip_accents(coalesce(text, ''))), '-', ' '), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v'))) AS w FROM documents)
     SELECT w AS word, count(*) AS n FROM t GROUP BY w""")
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     # folding and normalising work on each side of a blank alone, so different pieces between blanks are normalised once, with their counts
@@ -329,6 +355,35 @@ def html_link_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(links).select(F.regexp_extract("link", "^/(.+)$", 1).alias("target")).distinct()
 
 
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders")
+def index_page_dates(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("o_orderdate").cast("string")
+    pages = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_set(F.concat(F.lit('<a href="/reporting/trade-data/'), day, F.lit('/trades.csv">x</a>'))), "")).alias("html"))
+    return files.index_dates(pages)
+
+
+STREAMED = """m AS (SELECT 'c' || user_id % 3 AS conn, event_id, CASE WHEN event_type = 'signup' THEN 'snapshot' ELSE 'delta' END AS kind, 'm' || user_id AS market, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_type <> 'error')"""
+
+
+def stream_records(spark: SparkSession, d: str) -> DataFrame:
+    """Events as landed stream records: a market's book and lifecycle, in snapshots or deltas, and error envelopes."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    body = F.create_map(F.concat(F.lit("m"), "user_id"), F.struct(F.lit("e").alias("eventId"), F.struct(k.alias("seq")).alias("book"), F.struct(F.when(k % 2 == 0, k + 1).alias("seq"), F.lit("open").alias("status")).alias("lifecycle")))
+    is_error, is_snap = F.col("event_type") == "error", F.col("event_type") == "signup"
+    msg = F.struct(F.when(is_error, F.concat(F.lit("E"), k % 5)).alias("code"), F.when(is_error, F.lit("bad")).alias("message"), F.when(is_snap, body).alias("snapshot"), F.when(~is_error & ~is_snap, body).alias("delta"))
+    return table(spark, d, "events").select(F.col("event_id").alias("recv_ts"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("conn"), msg.alias("msg"))
+
+
+@query(f"WITH {STREAMED} SELECT conn, event_id AS recv_ts, kind, market, 'book' AS channel, k AS seq FROM m UNION ALL SELECT conn, event_id, kind, market, 'lifecycle', k + 1 FROM m WHERE k % 2 = 0")
+def stream_channels(spark: SparkSession, d: str) -> DataFrame:
+    return files.channels(stream_records(spark, d)).drop("event_id")
+
+
+@query("SELECT event_id AS ts, 'error' AS kind, 'c' || user_id % 3 AS conn, 'E' || CAST(json_extract(props, '$.k') AS BIGINT) % 5 || ': bad' AS detail FROM events WHERE event_type = 'error'")
+def stream_error_lines(spark: SparkSession, d: str) -> DataFrame:
+    return files.stream_errors(stream_records(spark, d))
+
+
 @query("SELECT page_id, md5(html) AS etag_md5 FROM pages")
 def etag_md5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", scalar.md5_of_etag(F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))).alias("etag_md5"))
