@@ -161,10 +161,36 @@ def test_components_of_a_large_group_in_blocks(spark, monkeypatch):
     assert got == components_brute(rows)
 
 
+def test_components_of_large_groups_that_fall_apart(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    monkeypatch.setattr(setjoin, "REPRESENTATIVES", 2)
+    r = random.Random(18)
+    common = [f"v{k}" for k in range(60)]
+    rows = []
+    for i in range(160):  # one frequent passage; families that link within, chains between some of them
+        own = [f"f{i % 5}x{k}" for k in range(60)]
+        text = common + own
+        for _ in range(r.randrange(0, 5)):
+            text[r.randrange(len(text))] = f"u{r.randrange(30)}"
+        rows.append((i, " ".join(text)))
+    rows += [(500 + k, " ".join([f"d{j}" for j in range(k, k + 60)])) for k in range(0, 120, 3)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in setjoin.jaccard_components(frame(spark, rows)).collect()}
+    assert got == components_brute(rows)
+
+
+def test_bucket_count_grows_with_the_shingles():
+    assert [setjoin.bucket_count(n) for n in (0, 1 << 20, 1 << 26, 1 << 33)] == [64, 64, 128, 16384]
+    assert setjoin.bucket_count(1 << 44) == 1 << 21
+
+
 def test_components_of_odd_tables(spark):
     assert setjoin.jaccard_components(frame(spark, [(1, "a")]).limit(0)).count() == 0
     got = sorted(tuple(r) for r in setjoin.jaccard_components(frame(spark, [(5, "a b c d e f"), (3, "A b c d e f"), (3, "a b c d e f"), (9, None)])).collect())
     assert got == [(3, 2, 3), (3, 2, 3), (5, 2, 3), (9, 0, 9)]
+    long_ = " ".join(f"w{k % 9973}" for k in range(300_000))
+    odd = setjoin.jaccard_components(frame(spark, [(7, long_), (8, long_ + " more"), (None, "a b c d e f"), (4, "a b c d e f"), (None, "lone words only"), (None, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in odd if r["doc_id"] is not None) == [(4, 4), (7, 7), (8, 7)]
+    assert sorted((r["component_id"] is None) for r in odd if r["doc_id"] is None) == [False, True, True]
 
 
 @pytest.mark.parametrize("across", [False, True])

@@ -14,6 +14,10 @@
    group's token union, and only groups whose union covers the required overlap with a
    query are opened.  Documents known to be connected are not compared again, and
    only a spanning forest leaves a block, never all pairs.
+   A group of several blocks goes in two rounds: each block by itself, with a few
+   representatives of the group in all of them; then only documents outside the group's
+   main component meet the blocks of all others, so one large cluster of near copies
+   is read once or twice, not once for each pair of blocks.
 5. Alternating large-star and small-star steps turn the links into components.
 """
 
@@ -23,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpecodec import slice_hash
@@ -35,10 +39,15 @@ WORDS = 5
 BLOCK, SMALL = 1024, 16
 #: A shingle is frequent in a slab of rows from SLAB_COUNT on, and in all rows at 1 document in FREQUENT (LEAST_DF at least).
 SLAB_COUNT, FREQUENT, LEAST_DF = 4, 2000, 32
+#: Members of a group that are in all its blocks in the first round.
+REPRESENTATIVES = 8
 #: Rows whose prefixes share a bucket: a class and its group's leader make a row in each bucket in which they meet.
 BUCKET_ROWS = 8192
-#: Buckets of whole sets at least; a class makes a row in each in which it meets others.
-BUCKETS = 64
+#: Buckets of whole sets at least; a class makes a row in each in which it meets others.  Their number grows with the
+#: shingles, so that a bucket, which one task reads whole, has about the first number of them, or the second where there are more than MANY buckets.
+BUCKETS, BUCKET_SHINGLES, MOST_SHINGLES, MANY = 64, 1 << 19, 1 << 23, 20_000
+#: Keys with more than one in HOT of all rows are joined by broadcast: there are fewer than HOT.
+HOT = 1024
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -261,19 +270,28 @@ def meet(blobs: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(blobs, buckets, join, "leader long, member long, n long, met long").groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
 
 
+def by_size(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of sizes (leader, size, others; a written table) by leader: leaders with more than one in HOT of `total` rows at least by broadcast, so none of them fills a task."""
+    hot = F.broadcast(sizes.filter(F.col("size") * HOT > total))
+    return rows.join(hot, "leader").unionByName(rows.join(hot, "leader", "left_anti").join(sizes.filter(F.col("size") * HOT <= total), "leader"))
+
+
 def able(g: DataFrame) -> DataFrame:
     """(leader, member) of the classes that meet others at enough shingles to link with one, in groups of at least two."""
     enough = g.groupBy("member").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter("met >= 1 + floor(ceil(3 * n / 4) / 10)").select("member")
-    kept = g.select("leader", "member").join(enough, "member")
-    return kept.join(kept.groupBy("leader").agg(F.count("*").alias("k")).filter("k > 1").select("leader"), "leader")
+    kept = written(g.select("leader", "member").join(enough, "member"), "enough")
+    sizes = written(kept.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    return by_size(kept, sizes, kept.count()).select("leader", "member")
 
 
 def outer_groups(g: DataFrame) -> DataFrame:
-    """Without the groups whose members all are in one group with a smaller leader."""
-    size = g.groupBy("leader").agg(F.count("*").alias("size"))
+    """(leader, size, member) without the groups whose members all are in one group with a smaller leader."""
+    total, size = g.count(), g.groupBy("leader").agg(F.count("*").alias("size"))
     first = g.groupBy("member").agg(F.min("leader").alias("outer")).filter("outer < member").withColumnRenamed("member", "leader")
-    inside = g.join(first, "leader").join(g.select(F.col("leader").alias("outer"), "member"), ["outer", "member"]).groupBy("leader").agg(F.count("*").alias("inside"))
-    return g.join(size.join(inside, "leader", "left").filter("inside is null or inside < size").select("leader", "size"), "leader")
+    nested = by_size(g, written(size.join(first, "leader"), "nested"), total)
+    inside = nested.join(g.select(F.col("leader").alias("outer"), "member"), ["outer", "member"]).groupBy("leader").agg(F.count("*").alias("inside"))
+    stays = written(size.join(inside, "leader", "left").filter("inside is null or inside < size").select("leader", "size"), "outer")
+    return by_size(g, stays, total)
 
 
 class Union:
@@ -359,11 +377,32 @@ def roots(links: list[tuple[int, int]], ids: list) -> list[tuple]:
     return [(ids[order[k]], ids[order[union.root(k)]]) for k in range(len(order)) if union.root(k) != k]
 
 
-def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) links between documents of the groups (leader, size, doc_id): the components of each block, as stars."""
+def blocked(members: DataFrame) -> DataFrame:
+    """Places (doc_id, leader, one, two, own) for the first round: each member in one block of its group, representatives in all."""
     placed = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("doc_id", "leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
+    chosen = placed.filter("blocks > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("leader").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))).filter(F.col("_nth") <= REPRESENTATIVES)
+    also = chosen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> own").withColumn("own", F.col("block"))
+    every = placed.select("doc_id", "leader", "own").unionByName(also.select("doc_id", "leader", "own"))
+    return every.select("doc_id", "leader", F.col("own").alias("one"), F.col("own").alias("two"), "own")
+
+
+def apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Places for the second round: documents of large groups outside the group's main component of `found` (node, component) meet all other documents of their group."""
+    large = members.filter(F.col("size") > BLOCK).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counted = large.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    main = written(counted.groupBy("leader").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("size")).filter("inside < size"), "main")
+    rows = by_size(large.drop("size"), main, members.count())
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    outside = F.col("component") != F.col("main")
+    rows = rows.withColumns({"out": outside, "a": blocks(F.col("size") - F.col("inside")), "b": blocks(F.col("inside"))})
+    part = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("a")).otherwise(F.col("b"))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("out"), part).otherwise(F.col("a") + part))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("a") + F.col("b")).otherwise(F.col("a")) - 1)))
+    return rows.select("doc_id", "leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
+
+
+def verified(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b) links between documents that share a place (leader, one, two): the components of each place, as stars; where one and two differ, of pairs across."""
     rows = spread(docs.select("doc_id", "text").join(placed, "doc_id"), "leader", "one", "two").sortWithinPartitions("leader", "one", "two")
 
     def run(batches):
@@ -421,24 +460,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows gives none; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sig = written(signatures(docs), "sets")
     classes = written(sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    buckets = bucket_count(sig.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long"))).first()[0])
     none = np.zeros(0, np.uint64)
     covered = written(coverage(blocks(docs, none, buckets, whole=True), buckets).filter("4 * met >= 3 * n").select("cls"), "covered")
     going = classes.join(covered, "cls").select(F.col("rep").alias("doc_id")).distinct()
     rest = written(docs.join(going, "doc_id"), "near")
     rows = rest.count()
-    fewer = max(1, min(buckets, -(-rows // BUCKET_ROWS)))
+    fewer = max(1, -(-rows // BUCKET_ROWS))
     met = written(meet(blocks(rest, frequent(often(rest), rows), fewer, whole=False), fewer), "met")
-    groups_ = written(outer_groups(written(able(met), "able")), "groups")
-    members = groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id")
-    found = components(verified(rest, members))
+    groups_ = outer_groups(written(able(met), "able"))
+    members = written(groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id"), "members")
+    links = written(verified(rest, blocked(members)), "found")
+    if not members.filter(F.col("size") > BLOCK).isEmpty():
+        links = links.unionByName(verified(rest, apart(members, components(links))))
+    found = components(links)
     several = classes.filter("copies > 1").select("cls", "digest", "rep")
     out = sig.join(several, ["cls", "digest"], "left").withColumn("node", F.coalesce("rep", "doc_id")).join(found, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
+def bucket_count(shingles: int) -> int:
+    each = min(MOST_SHINGLES, max(BUCKET_SHINGLES, shingles // MANY))
+    return max(BUCKETS, -(-shingles // each))
+
+
 SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
