@@ -54,8 +54,9 @@ def test_codebooks_tell_languages_apart():
         assert min((code[a] != code[b]).sum() for a, b in itertools.combinations(range(n), 2)) >= (1 if n < 3 else 2)
 
 
-def test_recall_and_scores(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
+@pytest.mark.parametrize("where", [DATA, "/root/testdata/sf0.1"])
+def test_recall_and_scores(spark, where):
+    rows = spark.read.parquet(f"{where}/embeddings.parquet")
     got = annforest.nearest(rows).toPandas()
     ids, x = zip(*[(r["vec_id"], np.array(r["embedding"], np.float64)) for r in rows.collect()], strict=True)
     ids, x, hits, total = np.array(ids), np.stack(x), 0, 0
@@ -87,6 +88,17 @@ def test_recall_of_queries_with_copies(copies):
     assert hits / 400 >= 0.9
 
 
+def test_scores_of_close_and_of_huge_vectors():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(32) + 1e-9 * rng.standard_normal((400, 32))  # nearer to one another than single precision tells
+    for scale in (1.0, 1e150):
+        ids = np.arange(400)
+        (_, near, score), *_ = annforest.search(x[:1] * scale, ids[:1], x * scale, ids, 20, 1.0)
+        want = np.array([float(np.dot(v * scale, x[0] * scale)) for v in x])
+        want[0] = -np.inf
+        assert near.tolist() == np.lexsort((ids, -want))[:20].tolist() and score.tolist() == want[near].tolist()
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [-1.0, 0.0]), (20, [0.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, [])]
     got = annforest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))).orderBy("query_id", "rank").collect()

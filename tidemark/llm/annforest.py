@@ -4,7 +4,8 @@ Every row gets one long hash string (random hyperplanes, 60 bits) in each tree;
 tree is the sorted array of its strings.  A query descends every tree to the
 longest prefix that some row shares, then all trees ascend together, one bit
 at a time, until enough different vectors share the prefix; these candidates,
-with all their copies, are scored exactly in double precision.
+with all their copies, are scored in single precision, and those within its
+error of the k best again in double precision.
 
 The index is cut into blocks of rows by a hash of vec_id and the queries into
 blocks too, so a frequent vector or a hot bucket is spread over all blocks and
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from .common import spread
 
 K, EVERY = 20, 20
-TREES, BITS = 160, 60
-#: Rows of an index block and of a query block.
-ROWS, QUERIES = 4096, 4096
-#: The trees ascend until the prefixes they share with the query hold this share of the block's different vectors and so many more, each counted once.
-SHARE, MORE = 0.4, 400
+TREES, BITS = 64, 60
+#: Rows of an index block and of a query block; the index is copied once for each query block.
+ROWS, QUERIES = 4096, 32768
+#: The trees ascend until the prefixes they share with the query hold this share of the block's different vectors, each counted once (4 k at least).
+SHARE = 0.45
+#: Bound of the relative error of a score in single precision.
+SINGLE = 1e-5
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = 7) -> np.ndarray:
@@ -35,7 +38,7 @@ def planes(dim: int, trees: int = TREES, bits: int = BITS, seed: int = 7) -> np.
 
 def strings(x: np.ndarray, plane: np.ndarray) -> np.ndarray:
     """The hash strings of all rows in one tree, as integers whose leading bits are the string's first."""
-    bits = x.astype(np.float32) @ plane > 0
+    bits = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32) @ plane > 0
     return bits @ (np.int64(1) << np.arange(plane.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
@@ -98,17 +101,19 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     """(query id, row ids, scores) of the k nearest candidates of each query, ties to smaller ids."""
     different, which = np.unique(vectors, axis=0, return_inverse=True)  # copies share every string, so they are one entry
     which = which.reshape(-1)
-    wanted = int(share * len(different)) + max(MORE, 4 * k)
+    wanted = max(int(np.ceil(share * len(different))), 4 * k)
+    small = (vectors / np.abs(vectors).max()).astype(np.float32)
+    long_ = float(np.sqrt((small.astype(np.float64) ** 2).sum(axis=1).max()))
     for q, found in Forest(different).candidates(queries, wanted):
         vector, hit = queries[q], np.zeros(len(different), bool)
         hit[found] = True
         rows = np.flatnonzero(hit[which])
         rows = rows[ids[rows] != query_ids[q]]
-        score = vectors[rows] @ vector
         if len(rows) > 4 * k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            near = score >= edge - 1e-9
-            rows, score = rows[near], score[near]
+            one = vector / np.abs(vector).max()
+            rough = np.take(small, rows, axis=0) @ one.astype(np.float32)
+            edge = float(np.partition(rough, len(rough) - k)[len(rough) - k])
+            rows = rows[rough >= edge - 2 * SINGLE * long_ * float(np.sqrt(one @ one))]
         score = np.array([float(np.dot(vectors[r], vector)) for r in rows])  # one order of summation for every copy of a vector
         order = np.lexsort((ids[rows], -score))[:k]
         yield int(query_ids[q]), ids[rows[order]], score[order]
