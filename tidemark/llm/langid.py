@@ -3,9 +3,10 @@
 Each language has a codeword of +1 and -1.  For every bit a binary linear classifier on
 hashed character 1- to 3-grams is fitted (regularised least squares on at most
 PER_LANGUAGE labelled texts of each language, a documented bound).  Decoding
-adds up each bit's exponential loss, weighted by how well that bit's
-classifier serves the language, and takes the codeword with the least loss;
-a small lead over the second flags the text as ambiguous.
+adds up each bit's exponential loss, weighted by how often that bit's
+classifier is right about texts of the language that it was not fitted on
+(leave-one-out, in closed form), and takes the codeword with the least loss; a
+small lead over the second flags the text as ambiguous.
 """
 
 from __future__ import annotations
@@ -82,16 +83,37 @@ class Model:
         target = self.code[y].astype(np.float64)
         share = 1 / np.bincount(y, minlength=len(languages))[y]
         root = np.sqrt(share * len(languages) / share.sum() * len(y) / len(languages))[:, None]  # languages weigh the same
-        kernel = (x @ x.T).astype(np.float64)  # of the rows, not of the features: the smaller matrix
+        left_out = self._of_rows(x, target * root, root, ridge) if len(x) <= DIM else self._of_features(x, target * root, root, ridge)
+        right = (left_out * target > 0).astype(float)
+        trust = np.array([right[y == k].mean(axis=0) for k in range(len(languages))]) + 1e-3
+        self.trust = trust / trust.sum(axis=1, keepdims=True)
+
+    def _of_rows(self, x: np.ndarray, wanted: np.ndarray, root: np.ndarray, ridge: float) -> np.ndarray:
+        """Fits by the kernel of the rows, the smaller matrix for few of them; gives each row's value from a fit without it."""
+        kernel = (x @ x.T).astype(np.float64)
         kernel += 1
         kernel *= root
         kernel *= root.T
         kernel[np.diag_indices_from(kernel)] += ridge
-        dual = np.linalg.solve(kernel, target * root) * root
+        inverse = np.linalg.inv(kernel)
+        del kernel
+        dual = inverse @ wanted
+        left_out = wanted - dual / np.diag(inverse)[:, None]
+        dual *= root
         self.weights, self.bias = x.T @ dual.astype(np.float32), dual.sum(axis=0).astype(np.float32)
-        right = ((x @ self.weights + self.bias) * target > 0).astype(float)
-        trust = np.array([right[y == k].mean(axis=0) for k in range(len(languages))]) + 1e-3
-        self.trust = trust / trust.sum(axis=1, keepdims=True)
+        return left_out
+
+    def _of_features(self, x: np.ndarray, wanted: np.ndarray, root: np.ndarray, ridge: float) -> np.ndarray:
+        """The same by the matrix of the features, whose size does not grow with the languages."""
+        rows = np.hstack([x, np.ones((len(x), 1), np.float32)]) * root.astype(np.float32)
+        square = (rows.T @ rows).astype(np.float64)
+        square[np.diag_indices_from(square)] += ridge
+        inverse = np.linalg.inv(square)
+        del square
+        weights = inverse @ (rows.T @ wanted)
+        own = np.einsum("nd,nd->n", rows @ inverse.astype(np.float32), rows)[:, None]
+        self.weights, self.bias = weights[:-1].astype(np.float32), weights[-1].astype(np.float32)
+        return wanted - (wanted - rows @ weights) / np.maximum(1 - own, 1e-6)
 
     def decode(self, rows: np.ndarray) -> np.ndarray:
         """Probability of each language from the loss-weighted distance to its codeword."""
@@ -102,7 +124,8 @@ class Model:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """Whether crc32 of the id as text leaves no remainder; a missing id is an empty text, hence held out, and nothing is learnt from it."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -144,8 +167,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row, from the text alone.
 
     A null text, or one without a letter, is `und` with score 0 and ambiguous;
-    so is every text if no language was learnt.  Repeated rows each give a row; an
-    empty table gives none; other columns are ignored.
+    so is every text if no language was learnt.  Of equal probabilities the
+    language that comes first by name is taken.  Texts are read whole; repeated
+    rows each give a row, a null doc_id stays null; an empty table gives none;
+    other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
