@@ -85,16 +85,20 @@ DIGESTS = (
 #: Any line that is a known text of the lists above matches this (tested), so only such lines are digested for them.
 LINE = r"(?i)licen[cs]e|\bas[^\p{L}\p{N}]+is\b|\b(?:released|distributed)[^\p{L}\p{N}]+under\b"
 
+#: Rows of a caller's list that are broadcast at most.
+LISTED = 10_000
+
 #: A line that only states a copyright.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    # two blanks between words, so that each has its own on both sides and equal neighbours are all respelt
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -112,30 +116,49 @@ def listed(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, license_id (null if the whole text is no known one), notices (known licences of single lines, sorted, joined by commas).
 
-    Null texts count as empty and match nothing; repeated rows each give a row;
-    an empty table gives no rows; other columns are ignored.  The known texts are
-    a short list, so the broadcast is bounded.
+    Null texts count as empty and match nothing; texts are digested whole; of
+    licences with one digest the first by name counts; repeated rows each give a
+    row, a null doc_id stays null; an empty table gives no rows; other columns
+    are ignored.  A list (digest, license_id) of up to LISTED rows is broadcast
+    and looked up on the map side, a longer one is joined by shuffles.
     """
-    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = F.split(text, "\n", -1)
+    if licenses is not None:
+        licenses = licenses.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+        if licenses.limit(LISTED + 1).count() > LISTED:
+            return _scan_long_list(docs, licenses)
     lines = F.filter(split, lambda x: x.rlike(LINE)) if licenses is None else split
     licenses = listed(docs.sparkSession) if licenses is None else licenses
-    text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_digest"), lines.alias("_lines"))
     found = whole.join(F.broadcast(licenses.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
     table = {r["digest"]: r["license_id"] for r in licenses.collect()}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]) if table else F.create_map().cast("map<string,string>")
     named = F.transform("_lines", lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256)))
-    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), ",")
-    return found.select("doc_id", "text_digest", "license_id", notices.alias("notices"))
+    return found.select("doc_id", "text_digest", "license_id", _joined(named).alias("notices"))
+
+
+def _joined(names: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))), ",")
+
+
+def _scan_long_list(docs: DataFrame, licenses: DataFrame) -> DataFrame:
+    """The same for a list of any length: whole texts and lines are joined with it by their digests, and a text's notices come back under a digest of the text as it stands."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    as_it_stands = F.sha2(text, 256).alias("_text")
+    lines = docs.select(as_it_stands, F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("_line")).select("_text", F.sha2(canonical(F.col("_line")), 256).alias("digest"))
+    notices = lines.join(licenses, "digest").groupBy("_text").agg(_joined(F.collect_set("license_id")).alias("notices"))
+    whole = docs.select("doc_id", as_it_stands, F.sha2(canonical(text), 256).alias("digest"))
+    return whole.join(licenses, "digest", "left").join(notices, "_text", "left").select("doc_id", F.col("digest").alias("text_digest"), "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql() -> str:
     def form(x: str) -> str:
         t = f"regexp_replace(lower({x}), '{COPYRIGHT}', ' ', 'g')"
-        t = rf"' ' || trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        t = rf"' ' || trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' '"
         for a, b in SPELLINGS:
             t = f"replace({t}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({t}))"
+        return f"sha256(trim(replace({t}, '  ', ' ')))"
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
