@@ -162,8 +162,9 @@ def decode_documents(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
 def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without moving ids between processes.
 
-    Null texts count as empty; repeated rows each give a row; an empty table
-    gives none; other columns are ignored.
+    Null texts count as empty; texts of any length are encoded whole; repeated
+    rows each give a row, a null doc_id stays null; an empty table gives none;
+    other columns are ignored.
     """
 
     def run(batches):

@@ -2,7 +2,9 @@
 
 Two transducers: the pre-tokenizer's (textscan), whose chunk state maps are
 composed by an associative prefix scan, and the vocabulary's (transducer),
-whose transitions carry counts of emitted tokens.  Special strings count as one
+whose transitions carry counts of emitted tokens.  The latter starts anew at
+every pre-token, so chunk maps of short ones are plain counts, which add up;
+long ones are cut into chunks whose maps compose.  Special strings count as one
 token each, as the library handles them by default.
 """
 
@@ -48,8 +50,9 @@ def count_texts(texts: list[str], name: str = VOCABULARY) -> np.ndarray:
 def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
-    Null texts count as empty (0 bytes, 0 tokens); repeated rows each give a
-    row; an empty table gives none; other columns are ignored.
+    Null texts count as empty (0 bytes, 0 tokens); texts of any length are
+    counted whole; repeated rows each give a row, a null doc_id stays null; an
+    empty table gives none; other columns are ignored.
     """
 
     def run(batches):

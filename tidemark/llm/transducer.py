@@ -11,6 +11,12 @@ of emitted tokens and with the token that then comes last.
 
 States are made when first reached and kept in one hash table of transitions
 per process; when that is full it starts anew, so memory is bounded.
+
+A long slice is cut into chunks that are read side by side.  Each gives a piece of
+its state map, from a state it may begin in (what the bytes just before it lead
+to) to the state it ends in and the tokens emitted.  Maps of neighbouring chunks
+compose, in a tree of pairs; where a composition asks for a state that the right
+map lacks, that side is read from this state, so the count is exact.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ MOST = 1 << 19
 SHIFT = np.uint64(64 - 20)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 20) - 1
+#: Bytes of a chunk of a long slice, of what is read before it to find a state, and of a slice that is not cut.
+CHUNK, BEFORE, SHORT = 2048, 256, 8192
 
 
 class Transducer:
@@ -130,12 +138,14 @@ class Transducer:
             odd = odd[(got != cell[odd]) & (got >= 0)]
         return slot
 
-    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each slice, all slices side by side, longest first."""
+    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, begin: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, numbers of the last states) of each slice from its first state (the start state, if none are given), all slices side by side, longest first."""
         size = end - start
         order = np.argsort(-size, kind="stable")
         at, size = start[order], size[order]
         state = np.zeros(len(order), np.int64)
+        if begin is not None:
+            state[:] = [self._number(begin[k]) for k in order]
         count = np.zeros(len(order), np.int32)
         live = len(order) - np.searchsorted(size[::-1], np.arange(1, (size[0] if len(size) else 0) + 1))
         for k, m in enumerate(live.tolist()):
@@ -146,47 +156,59 @@ class Transducer:
                 for c in gaps.tolist():
                     if self.made >= MOST:
                         self.reset()
-                        return self.run(data, start, end)
+                        return self.run(data, start, end, begin)
                     self._make(c)
                 slot = self._find(cell)
             count[:m] += self.delta[slot]
             state[:m] = self.to[slot]
-        out = np.empty(len(order), np.int32)
-        out[order] = count
-        return out
+        counts, states = np.empty(len(order), np.int32), np.empty(len(order), np.int64)
+        counts[order], states[order] = count, state
+        return counts, states
+
+    def _number(self, name: bytes) -> int:
+        k = self.index.setdefault(name, len(self.states))
+        if k == len(self.states):
+            self.states.append(name)
+        return k
 
     def count(self, scan: Scan) -> np.ndarray:
-        """Tokens of each slice of the scan; each stretch starts with room for what it may add."""
-        out, step = np.empty(len(scan.start), np.int32), 1 << 15
-        for k in range(0, len(out), step):
-            part = slice(k, k + step)
-            start, end = scan.start[part], scan.end[part]
-            if int((end - start).sum()) >= MOST and len(start) > 1:
-                out[part] = [self._alone(scan.data, a, b) for a, b in zip(start, end, strict=True)]
-            else:
-                out[part] = self.run(scan.data, start, end) if int((end - start).sum()) < MOST else self._alone(scan.data, start[0], end[0])
+        """Tokens of each slice of the scan; slices are read in stretches that leave room for all they may add to the table."""
+        out, size = np.empty(len(scan.start), np.int32), scan.end - scan.start
+        most = min(SHORT, MOST // 8)
+        for k in np.flatnonzero(size > most).tolist():
+            out[k] = self.long(scan.data, int(scan.start[k]), int(scan.end[k]))
+        short = np.flatnonzero(size <= most)
+        stretch = np.cumsum(size[short]) // (MOST // 2)
+        for part in np.split(short, np.flatnonzero(np.diff(stretch)) + 1) if len(short) else ():
+            out[part] = self.run(scan.data, scan.start[part], scan.end[part])[0]
         return out
 
-    def _alone(self, data: np.ndarray, a: int, b: int) -> int:
-        """One slice that may need more transitions than the table holds: its state is carried over a fresh table."""
+    def long(self, data: np.ndarray, a: int, b: int, chunk: int = CHUNK) -> int:
+        """Tokens of one slice of any length."""
         total, name = 0, self.states[0]
-        for at in range(a, b, MOST // 2):
-            if self.made >= MOST // 2:
-                self.reset()
-            state = self.index.setdefault(name, len(self.states))
-            if state == len(self.states):
-                self.states.append(name)
-            for byte in data[at : min(b, at + MOST // 2)].tolist():
-                cell = state << 8 | byte
-                slot = int(self._find(np.array([cell]))[0])
-                if self.key[slot] < 0:
-                    self._make(cell)
-                    slot = int(self._find(np.array([cell]))[0])
-                total += int(self.delta[slot])
-                state = int(self.to[slot])
-            name = self.states[state]
+        first = name
+        for at in range(a, b, MOST // 4):  # a stretch adds fewer transitions than the table holds
+            upto = min(b, at + MOST // 4)
+            cuts = np.arange(at, upto, chunk)
+            ends = np.minimum(cuts + chunk, upto)
+            begin = [self.states[k] for k in self.run(data, np.maximum(cuts - BEFORE, a), cuts, [first] * len(cuts))[1]]
+            begin[0] = name
+            count, last = self.run(data, cuts, ends, begin)
+            maps = [({s: (self.states[t], n)}, x, y) for s, t, n, x, y in zip(begin, last.tolist(), count.tolist(), cuts.tolist(), ends.tolist(), strict=True)]
+            while len(maps) > 1:
+                maps = [self.compose(data, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+            name, n = maps[0][0][name]
+            total += n
         return total
 
+    def compose(self, data: np.ndarray, left: tuple, right: tuple) -> tuple[dict[bytes, tuple[bytes, int]], int, int]:
+        """The map of two neighbouring stretches (map, first byte, end)."""
+        for between, _ in left[0].values():
+            if between not in right[0]:
+                count, last = self.run(data, np.array([right[1]]), np.array([right[2]]), [between])
+                right[0][between] = self.states[int(last[0])], int(count[0])
+        return {s: (right[0][t][0], n + right[0][t][1]) for s, (t, n) in left[0].items()}, left[1], right[2]
+
 
 @lru_cache(maxsize=2)
 def transducer(name: str) -> Transducer:
