@@ -27,6 +27,34 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert zlib.crc32(b"17") % 5 == 0 or not docs.filter("doc_id = 17").select(langid.held_out(F.col("doc_id"))).first()[0]
 
 
+def test_weights_come_from_rows_left_out():
+    rng = np.random.default_rng(5)
+    words = [["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(60)] for _ in range(3)]
+    texts = [" ".join(rng.choice(words[k] if rng.random() < 0.7 else words[(k + 1) % 3], 12)) for k in range(3) for _ in range(25)]
+    y = np.repeat(np.arange(3), 25)
+    x, _ = langid.features(texts)
+    model = langid.Model(["a", "b", "c"], x, y, 0.3)
+    by_features = object.__new__(langid.Model)
+    target = model.code[y].astype(np.float64)
+    root = np.ones((len(y), 1))
+    left_out = by_features._of_features(x, target, root, 0.3)
+    again = object.__new__(langid.Model)
+    assert np.allclose(left_out, again._of_rows(x, target, root, 0.3), atol=1e-3) and np.allclose(again.weights, by_features.weights, atol=1e-4)
+    for i in range(0, len(y), 7):  # the closed form is a fit without the row
+        keep = np.arange(len(y)) != i
+        one = object.__new__(langid.Model)
+        one._of_rows(x[keep], target[keep], root[keep], 0.3)
+        assert np.allclose(x[i] @ one.weights + one.bias, left_out[i], atol=1e-3)
+    assert model.trust.std() > 0 and np.allclose(model.trust.sum(axis=1), 1)
+    # fitted on all rows every bit is right about every row, so such weights would be equal
+    assert ((x @ model.weights + model.bias) * target > 0).mean() > (left_out * target > 0).mean()
+
+
+def test_held_out_without_an_id(spark):
+    rows = spark.createDataFrame([(None,), (17,)], "doc_id bigint")
+    assert [r[0] for r in rows.select(langid.held_out(F.col("doc_id"))).collect()] == [True, zlib.crc32(b"17") % 5 == 0]
+
+
 def test_language_sample_of_each_language(spark, monkeypatch):
     used = []
     monkeypatch.setattr(langid, "Model", lambda names, x, y: used.append((names, np.bincount(y).tolist())))
@@ -130,6 +158,22 @@ def test_further_license_forms(spark):
     assert given.filter(~F.col("t").rlike(license.LINE)).count() == 0
 
 
+def test_equal_neighbours_are_respelt(spark):
+    got = spark.createDataFrame([(" licence licence, Licence favour-favour https://x",)], "t string").select(license.canonical(F.col("t"))).first()[0]
+    assert got == "license license license favor favor http x"
+
+
+def test_long_and_repeating_lists(spark, monkeypatch):
+    rows = [(1, "Use this freely, at home.", None), (2, "a\nuse THIS freely at home\n\nUse that", None), (2, "a\nuse THIS freely at home\n\nUse that", None), (None, "", None), (4, None, None), (5, "y " * 300_000 + "\nuse that", None)]
+    own = license.known(spark, (("B", "Use this freely at home"), ("C", "use that")))
+    own = own.union(own.selectExpr("digest", "concat('A', license_id)"))
+    short = sorted(map(tuple, license.scan(frame(spark, rows), own).collect()), key=str)
+    assert [r[2:] for r in short if r[0] == 2] == [(None, "AB,AC")] * 2 and [r[2:] for r in short if r[0] == 1] == [("AB", "AB")]
+    monkeypatch.setattr(license, "LISTED", 1)
+    assert sorted(map(tuple, license.scan(frame(spark, rows), own).collect()), key=str) == short
+    assert license.scan(frame(spark, rows), own.limit(0)).filter("license_id is not null or notices <> ''").count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav><!-- note --><div class="cookie-notice">We use cookies, as all sites do nowadays.</div>
 <div id="sidebar"><p>Read our other long and interesting stories about all kinds of things.</p></div>

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -65,6 +66,32 @@ def test_a_full_table_starts_anew(monkeypatch):
     assert got == [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunk_maps_compose_to_the_count_of_the_whole():
+    machine, r = Transducer(load(tokencount.VOCABULARY)), random.Random(7)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(9000)), "ab" * 3000, "x" * 5000, "thing" * 1500, "".join(r.choice(["the", "ing", "q", "zz"]) for _ in range(3000))]
+    for t in texts:
+        scan = Scan([t])
+        assert len(scan.start) == 1
+        a, b = int(scan.start[0]), int(scan.end[0])
+        whole = int(machine.run(scan.data, scan.start, scan.end)[0][0])
+        assert whole == len(library().encode(t, add_special_tokens=False).ids)
+        for chunk in (37, 512, 100_000):
+            assert machine.long(scan.data, a, b, chunk) == whole
+        # two halves read by themselves, then composed
+        start, cut = machine.states[0], (a + b) // 3
+        left = ({start: (machine.states[int((got := machine.run(scan.data, np.array([a]), np.array([cut])))[1][0])], int(got[0][0]))}, a, cut)
+        assert machine.compose(scan.data, left, ({}, cut, b))[0][start][1] == whole
+
+
+def test_counts_and_codec_of_very_long_texts():
+    r = random.Random(8)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(300_000)), " " * 500_000 + "x", "word " * 100_000, "!" * 200_000]
+    want = [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.count_texts(texts).tolist() == want
+    c = bpecodec.codec(bpecodec.VOCABULARY)
+    assert [c.decode(x).decode() for x in c.encode(texts)] == texts
+
+
 def test_codec_matches_the_library_and_round_trips():
     name = bpecodec.VOCABULARY
     with open(public_tokenizers.path(name), "rb") as f:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpecodec import slice_hash
-from .common import slabs, spread, texts_of, written
+from .common import discard, slabs, spread, texts_of, written
 from .textscan import groups
 
 WORDS = 5
@@ -281,16 +281,20 @@ def able(g: DataFrame) -> DataFrame:
     enough = g.groupBy("member").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter("met >= 1 + floor(ceil(3 * n / 4) / 10)").select("member")
     kept = written(g.select("leader", "member").join(enough, "member"), "enough")
     sizes = written(kept.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    return by_size(kept, sizes, kept.count()).select("leader", "member")
+    out = written(by_size(kept, sizes, kept.count()).select("leader", "member"), "able")
+    discard(kept, sizes)
+    return out
 
 
 def outer_groups(g: DataFrame) -> DataFrame:
     """(leader, size, member) without the groups whose members all are in one group with a smaller leader."""
     total, size = g.count(), g.groupBy("leader").agg(F.count("*").alias("size"))
     first = g.groupBy("member").agg(F.min("leader").alias("outer")).filter("outer < member").withColumnRenamed("member", "leader")
-    nested = by_size(g, written(size.join(first, "leader"), "nested"), total)
+    inner = written(size.join(first, "leader"), "nested")
+    nested = by_size(g, inner, total)
     inside = nested.join(g.select(F.col("leader").alias("outer"), "member"), ["outer", "member"]).groupBy("leader").agg(F.count("*").alias("inside"))
     stays = written(size.join(inside, "leader", "left").filter("inside is null or inside < size").select("leader", "size"), "outer")
+    discard(inner)
     return by_size(g, stays, total)
 
 
@@ -440,7 +444,8 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         down = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
+        was, edges = edges, written(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
+        discard(was)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
@@ -470,12 +475,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = rest.count()
     fewer = max(1, -(-rows // BUCKET_ROWS))
     met = written(meet(blocks(rest, frequent(often(rest), rows), fewer, whole=False), fewer), "met")
-    groups_ = outer_groups(written(able(met), "able"))
+    discard(covered)
+    meeting = able(met)
+    groups_ = outer_groups(meeting)
     members = written(groups_.join(classes.select(F.col("cls").alias("member"), F.col("rep").alias("doc_id")), "member").select("leader", "size", "doc_id"), "members")
     links = written(verified(rest, blocked(members)), "found")
     if not members.filter(F.col("size") > BLOCK).isEmpty():
         links = links.unionByName(verified(rest, apart(members, components(links))))
-    found = components(links)
+    found = written(components(links), "components")
+    discard(met, meeting, rest, members)
     several = classes.filter("copies > 1").select("cls", "digest", "rep")
     out = sig.join(several, ["cls", "digest"], "left").withColumn("node", F.coalesce("rep", "doc_id")).join(found, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
