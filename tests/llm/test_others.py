@@ -389,3 +389,31 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     assert sum(x["doc_id"] is None for x in cp.pack(spark, got, "").collect()) == 4
     alone = cp.keep_one_of_each_group(spark, docs.filter("doc_id is null"), "")
     assert alone.count() == 5
+
+
+def test_pipeline_stages_of_odd_tables(spark):
+    import corpus_pipeline as cp
+
+    line = "one line\nanother line\na third line"
+    rows = [(1, line, "en", "mine"), (1, line, "en", "mine"), (2, line + "\nits own " + "text " * 9, "en", "mine"), (3, None, "en", None), (4, "", None, None), (5, "the cat and the dog sat on the mat " * 3, "en", "x"), (6, "le chat et le chien " * 5, "fr", "y"), (7, "the cat " * 200_000, "en", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_removed string")
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.schema == docs.schema, name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        docs = spark.createDataFrame(got.collect(), docs.schema)
+    kept = sorted(map(tuple, docs.collect()))
+    assert [r[0] for r in kept] == [1, 1, 2, 5, 6, 7] and kept[2][1] == "its own " + "text " * 9 and kept[2][3] == "mine"
+    packed = cp.pack(spark, docs, "").collect()
+    holds(packed, 1024)
+    assert {r["doc_id"] for r in packed} == {1, 2, 5, 6, 7} and cp.pack(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_deletes_what_nothing_reads_any_more(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}")
+    assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+    left = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()]
+    assert "near_duplicates" in left and not {"language_id", "line_dedup", "near", "met", "able", "members"} & set(left)
