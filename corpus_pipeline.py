@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: language ID, line dedup, near-duplicate removal, packing."""
+"""From raw documents to packed training sequences: language ID, line dedup, near-duplicate removal, packing.
+
+Every stage but the last returns the columns of its input, other columns
+and ones that clash with an operator's own names unchanged; an empty table
+gives an empty table.  Repeated rows are kept or dropped alike by the first
+two stages; of equal documents the third keeps the rows of one doc_id.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, linededup, packing, setjoin
-from tidemark.llm.common import table, written
+from tidemark.llm.common import discard, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and documents that fit none of the languages; a mix of two languages stays."""
+    """Rejects documents without a letter (null and empty ones, too) and documents that fit none of the languages; a mix of two languages stays."""
     return langid.accepted(docs, langid.fit(docs))
 
 
@@ -40,6 +46,7 @@ def _stays(docs: DataFrame) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document's tokens; null texts give their end id."""
     return packing.pack_documents(docs)
 
 
@@ -51,6 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    was = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if was is not None:
+            discard(was)  # the next stage's table takes its place
+        was = docs
     return STAGES[-1][1](spark, docs, sf_dir)
