@@ -8,7 +8,7 @@ digests have fewer than 1 row in 500 and go through an ordinary shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -25,7 +25,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     texts are equal to one another.  The row with the largest doc_id stays; rows
     that repeat a doc_id and text all count, and all with that doc_id are kept; a
     null doc_id only stays where a group has no other.
-    An empty table gives no rows; other columns are ignored.
+    Texts are digested whole; an empty table gives no rows; other columns are
+    ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # in pure ASCII lower() touches A-Z only, and is faster
@@ -36,8 +37,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     winners = sig.join(F.broadcast(named), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     winners = F.broadcast(written(winners.filter("group_size > 1").orderBy(F.desc("group_size")).limit(CANDIDATES), "winners"))
     hot = sig.join(winners, "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    rest = sig.join(winners, "text_sha256", "left_anti").withColumns({"keep_id": F.max("doc_id").over(same), "group_size": F.count("*").over(same)})
+    cold = sig.join(winners, "text_sha256", "left_anti")
+    # aggregated before the shuffle, and joined back by streaming both sides: no group is held by a task
+    rest = cold.join(cold.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "text_sha256")
     out = hot.unionByName(rest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
