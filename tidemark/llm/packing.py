@@ -34,7 +34,7 @@ from .vocab import _file, load
 
 CAPACITY, END = 1024, 2
 #: Rows are numbered in shares of about this many, so a frequent length is no single task.
-SHARE_ROWS = 1 << 16
+SHARE_ROWS = 1 << 14
 #: Step of the prices, rounds at most, and the gap between cover and bound at which they end.
 STEP, ROUNDS, GAP = 0.1, 120, 0.002
 
