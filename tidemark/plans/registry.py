@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, teams
-from tidemark.operators import asof, classify, events, fit, ingest, journal, measure, resolve, sides, summary, tables, weeks
+from tidemark.operators import asof, classify, events, fit, ingest, journal, measure, resolve, sides, study, summary, tables, weeks
 from tidemark.plans import fixtures, views
 from tidemark.plans.params import DAILY, DAY, Params
 from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
@@ -162,6 +162,30 @@ def expanding_median_fallback(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*ID, F.round("expected_move", 6).alias("expected_move"))
 
 
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE},
+    f AS (SELECT post_id, market_id AS kind, tier1, move, moment + INTERVAL 60 DAY AS settled_at FROM m WHERE move IS NOT NULL AND excluded IS NULL AND NOT coalesce(post_cut_short, false) AND moment >= TIMESTAMP '1995-01-03'),
+    a AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON t.market_id = f.kind AND t.tier1 = f.tier1 AND f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5),
+    b AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5)
+    SELECT m.post_id, m.market_id, round(CASE WHEN datediff('day', TIMESTAMP '1995-01-03', moment) >= 7 THEN coalesce(a.x, b.x) END, 6) + 0.0 AS expected_move FROM m LEFT JOIN a USING (post_id, market_id) LEFT JOIN b USING (post_id, market_id)""")
+def control_median_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = measured(spark, d).withColumns({"week": scalar.season_week(F.col("at"), DAILY.season_start, "UTC"), "kind": F.col("market_id")}).drop("expected_move")
+    got = fit.expected_moves(rows, fit.fit_rows(rows, DAILY), ID, DAILY, control=True)
+    return got.select(*ID, F.round("expected_move", 6).alias("expected_move"))
+
+
+@query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE} SELECT CASE WHEN n.status = 'P' THEN 'control_post' ELSE 'news' END AS "group", post_id, market_id, 'game_line' AS kind, n.status, n.tier1, moment < game_start AS pregame,
+    CASE WHEN datediff('day', DATE '1995-01-03', CAST(game_start AS DATE)) >= 0 THEN CAST(floor(datediff('day', DATE '1995-01-03', CAST(game_start AS DATE)) / 7) AS INTEGER) + 1 END AS week, favored_id, excluded, round(pre_price, 6) AS pre_price, round(move, 6) + 0.0 AS move
+    FROM m JOIN (SELECT post_id, market_id, status, tier1, favored_id, game_start FROM n) AS n USING (post_id, market_id)""")
+def measure_moments(spark: SparkSession, d: str) -> DataFrame:
+    got = study.measure_moments(views.moments(spark, d), views.side_markets(spark, d), prints(spark, d), DAILY, DATA_END, ())
+    return rounded(got.select("group", "post_id", "market_id", "kind", "status", "tier1", "pregame", "week", "favored_id", "excluded", "pre_price", "move"))
+
+
+@query()
+def study_group_counts(spark: SparkSession, d: str) -> DataFrame:
+    return study.group_counts(study.run(views.moments(spark, d), views.side_markets(spark, d), prints(spark, d), DAILY, DATA_END))
+
+
 @query(f"""WITH {PRINTS}, {NEWS_MARKETS}, {MEASURE} SELECT status, market_id, count(*) AS markets, count(*) FILTER (move IS NOT NULL) AS measured, count(*) FILTER (move > 0) AS rose, count(*) FILTER (moved) AS moved FROM m GROUP BY ALL HAVING count(*) >= 5""")
 def having_min_markets(spark: SparkSession, d: str) -> DataFrame:
     got = measured(spark, d).groupBy("status", "market_id").agg(F.count("*").alias("markets"), F.count_if(F.col("move").isNotNull()).alias("measured"), F.count_if(F.col("move") > 0).alias("rose"), F.count_if("moved").alias("moved"))
@@ -487,8 +511,20 @@ def resolve_subjects(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(fixtures.subjects(spark), fixtures.games(spark), fixtures.markets(spark), Params()).drop("resolved_at")
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'Bears' END AS team, p_partkey % 2 = 0 AS is_out, p_partkey % 3 > 0 AS pregame, p_partkey % 11 = 0 AS odd, p_partkey % 13 = 0 AS own FROM part),
+    k AS (SELECT *, i % 6 AS t FROM p)
+    SELECT CAST(i AS VARCHAR) AS market_id, CASE WHEN t IN (4, 5) THEN 'player_prop' WHEN t = 3 AND team IS NOT NULL THEN 'team_total' ELSE 'game_line' END AS kind,
+      CASE WHEN t = 5 OR (t = 4 AND pregame AND is_out) OR (t IN (0, 1, 4) AND odd) THEN NULL WHEN t = 4 THEN 'b' WHEN team IS NULL OR t = 2 THEN NULL WHEN t IN (0, 1) THEN 'a' WHEN own THEN NULL ELSE 'b' END AS favored_id,
+      CASE WHEN t = 5 THEN 'another player''s prop' WHEN t = 4 AND pregame AND is_out THEN 'player out pre-game; prop expected to void' WHEN t = 4 AND odd THEN '3 outcomes' WHEN t = 4 THEN 'under / no' WHEN team IS NULL THEN 'subject''s team unknown'
+        WHEN t IN (0, 1) AND odd THEN '3 outcomes' WHEN t IN (0, 1) THEN 'opponent Lions' WHEN t = 3 AND own THEN 'opponent''s team total' WHEN t = 3 THEN 'subject''s team total under' ELSE 'no clear side for TOTAL' END AS reason
+    FROM k""")
 def favored_sides(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.part_markets(spark, d)
+    return sides.favored_side(rows).select("market_id", "kind", "favored_id", "reason")
+
+
+@query()
+def favored_sides_of_fixtures(spark: SparkSession, d: str) -> DataFrame:
     rows = fixtures.moments(spark).join(fixtures.side_markets(spark))
     return sides.favored_side(rows).select("subject", "market_id", "kind", "favored_id", "favored", "reason")
 
@@ -498,6 +534,19 @@ def missing_windows(spark: SparkSession, d: str) -> DataFrame:
     return journal.missing_windows(fixtures.journal(spark))
 
 
+@query("""WITH j AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, event_type IN ('error', 'view') AS off FROM events),
+    o AS (SELECT *, lag(off) OVER w AS was, lag(t) OVER w AS before FROM j WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    e AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY event_id) AS until FROM o WHERE (off AND NOT was) OR (NOT off AND (was OR was IS NULL)))
+    SELECT 'u' || user_id AS env, t AS start, until AS "end", 'connection' AS scope, 'disconnected' AS cause FROM e WHERE off
+    UNION ALL SELECT 'u' || user_id, min(t) - 1, min(t) FILTER (NOT off), 'all', 'not running' FROM j GROUP BY user_id""")
+def missing_windows_of_events(spark: SparkSession, d: str) -> DataFrame:
+    # each user is a recorder of one slot that starts just before the first event; errors and views are losses, all else is coverage
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("env"), F.col("event_id").alias("line"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_type").isin("error", "view"), "disconnected").otherwise("covered").alias("kind"), F.lit(0).alias("slot"), F.lit(None).cast("int").alias("slots"))
+    starts = e.groupBy("env").agg((F.min("line") - 1).alias("line"), (F.min("ts") - 1).alias("ts")).select("env", "line", "ts", F.lit("start").alias("kind"), F.lit(None).cast("int").alias("slot"), F.lit(1).alias("slots"))
+    log = e.unionByName(starts).selectExpr("*", "cast(null as array<string>) as events", "cast(null as string) as market", "cast(null as string) as detail")
+    return journal.missing_windows(log).select("env", "start", "end", "scope", "cause")
+
+
 @query()
 def plan_slots(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.lit("prod").alias("env"), F.col("c_name").alias("eventId"), F.col("c_custkey").alias("startsTs"), (F.col("c_nationkey") * 40).alias("markets"), F.lit(None).cast("int").alias("current_slot"))

@@ -40,6 +40,39 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("t0"), F.col("o_custkey").alias("subject"), F.col("c_nationkey").alias("event_id"), F.col("o_orderpriority").alias("status"))
 
 
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same urgent orders as moments of a study, each with all its markets in one list: half of them about the home team, orders in process as control posts."""
+    n = news_markets(spark, sf_dir)
+    each = n.groupBy("post_id", "at", "status", "subject", "favored_id", "game_start", "tier1").agg(F.flatten(F.collect_list(F.array("market_id", F.concat("market_id", F.lit(" total"))))).alias("market_ids"))
+    group, team = F.when(F.col("status") == "P", "control_post").otherwise("news"), F.when(F.col("favored_id") == "O", "Bears").otherwise("Lions")
+    return each.select(group.alias("group"), "post_id", F.col("subject").cast("string").alias("subject"), team.alias("team"), "status", F.col("post_id").cast("string").alias("event_id"), "tier1", "at", "game_start", F.array(F.lit("Lions"), F.lit("Bears")).alias("game_teams"), "market_ids")
+
+
+def _outcomes(*named: tuple[str, str]):
+    return F.array(*[F.struct(F.lit(i).alias("outcomeId"), F.lit(n).alias("name")) for i, n in named])
+
+
+def side_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand as a market between two teams whose outcomes are its prints', and as a total that favours nobody."""
+    brand = table(spark, sf_dir, "part").select(F.col("p_brand").alias("market_id")).filter("market_id is not null").distinct()
+    money = brand.select("market_id", F.lit("MONEY").alias("market_type"), F.lit("Detroit Lions @ Chicago Bears MONEY").alias("description"), _outcomes(("O", "DET Lions"), ("F", "CHI Bears")).alias("outcomes"))
+    total = brand.select(F.concat("market_id", F.lit(" total")), F.lit("TOTAL"), F.lit("Detroit Lions @ Chicago Bears TOTAL"), _outcomes(("O", "Over 44.5"), ("F", "Under 44.5")))
+    return money.union(total)
+
+
+def part_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as markets of all kinds with news about a player of the home team, who may be out, unnamed or late."""
+    i = F.col("p_partkey")
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (i % len(x) + 1).cast("int"))
+    kind = pick("MONEY", "SPREAD_1H", "TOTAL", "TEAM_TOTAL", "YARDS", "YARDS")
+    own = F.when(i % 13 == 0, "DET Lions").otherwise("CHI Bears")
+    head = F.when(kind.isin("MONEY", "SPREAD_1H", "TOTAL"), "Detroit Lions @ Chicago Bears").when(kind == "TEAM_TOTAL", F.concat(own, F.lit(" 20.5"))).when(i % 6 == 4, "Lóu Hart Jr. 55.5").otherwise("Dan Wolf 40.5")
+    outcomes = F.when(kind.isin("MONEY", "SPREAD_1H"), _outcomes(("a", "DET Lions"), ("b", "CHI Bears"))).otherwise(_outcomes(("a", "Over 1.5"), ("b", "Under 1.5")))
+    third = F.when((i % 11 == 0) & (kind != "TEAM_TOTAL"), F.array_append(outcomes, F.struct(F.lit("c").alias("outcomeId"), F.lit("Draw").alias("name")))).otherwise(outcomes)
+    at = F.lit("2026-10-04 17:00:00").cast("timestamp_ntz")
+    return table(spark, sf_dir, "part").select(i.cast("string").alias("market_id"), kind.alias("market_type"), F.concat_ws(" ", head, kind).alias("description"), third.alias("outcomes"), F.lit("Lou Hart").alias("subject"), F.when(i % 7 != 0, "Bears").alias("team"), F.when(i % 2 == 0, "out").otherwise("doubtful").alias("status"), F.when(i % 3 > 0, at - F.expr("interval 2 hours")).otherwise(at + F.expr("interval 2 hours")).alias("t0"), at.alias("game_start"), F.array(F.lit("Lions"), F.lit("Bears")).alias("game_teams"))
+
+
 PRINTS = """
 raw AS (SELECT l_shipdate AS ts, p_brand AS market_id, l_linestatus AS outcome_id, CASE WHEN l_returnflag = 'R' THEN 'TAKER' ELSE 'MAKER' END AS side,
     l_quantity AS qty, l_discount * 10 AS price, l_discount * 10 * l_quantity AS cost FROM lineitem JOIN part ON l_partkey = p_partkey),
