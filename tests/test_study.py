@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, events, fit, measure, summary
+from tidemark.operators import asof, events, fit, measure, study, summary
 from tidemark.plans.params import Params
 
 T0 = datetime(2026, 10, 4, 17, 0, tzinfo=UTC)
@@ -155,3 +155,27 @@ def test_summarize(spark):
     s = summary.summarize(r, ["status"], "xp", P).collect()[0]
     assert (s["events"], s["markets"], s["share_stale"], s["first_s_p50"], s["last_s_p90"], s["qty"]) == (1, 1, 1.0, 5.0, 5.0, 2.0)
     assert summary.summarize(r, ["status"], "t0", P).count() == 0
+
+
+def test_study_of_a_moment_with_markets(spark):
+    rows = [("news", 1, "Lou Hart", "Bears", "out", "g", True, at(0), at(7200), ["Lions", "Bears"], ["m", "t", "m"]), ("control_post", 2, "Ann Low", None, "active", "g", False, at(0), at(7200), ["Lions", "Bears"], ["m"])]
+    moments_ = spark.createDataFrame(rows, "group string, post_id bigint, subject string, team string, status string, event_id string, tier1 boolean, at timestamp, game_start timestamp, game_teams array<string>, market_ids array<string>")
+    markets = spark.createDataFrame([("m", "MONEY", "Detroit Lions @ Chicago Bears MONEY", [("yes", "DET Lions"), ("no", "CHI Bears")]), ("t", "TOTAL", "x TOTAL", [("yes", "Over 4"), ("no", "Under 4")])], "market_id string, market_type string, description string, outcomes array<struct<outcomeId:string,name:string>>")
+    trades = spark.createDataFrame([taker(-60, 0.45, 10), taker(5, 0.46, 2), maker(5, 0.54, 2), taker(1800, 0.65, 1)], TRADES)
+    got = study.run(moments_, markets, trades, P).collect()
+    assert [(r["group"], r["market_id"], r["kind"], r["favored_id"], r["pregame"], r["week"], r["excluded"]) for r in got] == [("news", "m", "game_line", "yes", True, 4, None)]
+    assert got[0]["move"] == pytest.approx(0.2) and got[0]["xp_fills"] == 1 and got[0]["t0_fills"] is None
+    assert [tuple(r) for r in study.group_counts(study.run(moments_, markets, trades, P)).collect()] == [("news", True, None, 1, 1)]
+
+
+def test_last_print_across_buckets_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    prints = [("m" if k % 3 else "n", "o", at(int(t)), float(k), 1.0) for k, t in enumerate(rng.choice(20_000, 150, replace=False))]
+    asked = [(i, "m" if i % 2 else "n", "o", at(int(t))) for i, t in enumerate(rng.integers(-500, 21_000, 80))] + [(900, "m", "o", prints[1][2]), (901, None, "o", at(5)), (902, "m", "other", at(9000))]
+    held = spark.createDataFrame(prints, "market_id string, outcome_id string, ts timestamp, cost double, qty double")
+    for inclusive in (False, True):
+        got = {r["id"]: (r["price"], r["price_ts"]) for r in asof.last_price(spark.createDataFrame(asked, "id bigint, market_id string, outcome_id string, at timestamp"), held, ["id"], 600, inclusive).collect()}
+        assert len(got) == len(asked)
+        for i, m, o, x in asked:
+            seen = [(p[2], p[3]) for p in prints if p[0] == m and p[1] == o and x - timedelta(seconds=600) <= p[2] and (p[2] < x or (inclusive and p[2] == x))]
+            assert got[i][0] == (max(seen)[1] if seen else None)

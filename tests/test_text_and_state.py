@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import classify, journal, resolve
 from tidemark.plans import fixtures
@@ -111,10 +112,38 @@ def test_hourly_landing(spark, tmp_path):
     from tidemark.streaming import jobs
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.jsonl").write_text('{"recv_ts": 3600000, "conn": "c", "msg": {"snapshot": {"m": {"eventId": "e", "book": {"seq": 4}}}}}\n{"recv_ts": 7200001, "conn": "c", "msg": {"delta": {"m": {"eventId": "e", "book": {"seq": 5}, "lifecycle": {"seq": 1}}}}}\n')
+    (tmp_path / "in" / "a.jsonl").write_text('{"recv_ts": 3600000, "conn": "c", "msg": {"snapshot": {"m": {"eventId": "e", "book": {"seq": 4}}}}}\n{"recv_ts": 7200001, "conn": "c", "msg": {"delta": {"m": {"eventId": "e", "book": {"seq": 5}, "lifecycle": {"seq": 1}}}}, "unknown": [1,  2]}\n')
     jobs.write_hourly(jobs.landed(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(p.name for p in (tmp_path / "out").glob("date=*/*")) == ["hour=01", "hour=02"]
+    kept = [x for p in (tmp_path / "out").glob("date=*/hour=*/*.txt") for x in p.read_text().splitlines()]
+    assert sorted(kept) == sorted((tmp_path / "in" / "a.jsonl").read_text().splitlines())
     from tidemark.sources import files
 
     got = files.channels(files.stream_files(spark, str(tmp_path / "in"))).collect()
     assert sorted((r["kind"], r["channel"], r["seq"]) for r in got) == [("delta", "book", 5), ("delta", "lifecycle", 1), ("snapshot", "book", 4)]
+
+
+def test_messages_in_their_order(spark):
+    from tidemark import schemas
+    from tidemark.sources import files
+
+    body = '{"m": {"eventId": "e", "book": {"seq": 4}}}'
+    lines = [(f'{{"recv_ts": 1, "conn": "c", "msg": {{"delta": {body}, "nonce": 7, "snapshot": {body}}}}}',)]
+    rows = spark.createDataFrame(lines, "v string").select(F.from_json("v", schemas.STREAM).alias("r")).select("r.*")
+    assert [(r["kind"], r["seq"], r["nonce"]) for r in files.messages(rows).orderBy("recv_ts", "turn").collect()] == [("snapshot", 4, None), ("ack", None, 7), ("delta", 4, None)]
+
+
+def test_resolutions_are_replaced_by_the_first(spark):
+    from tidemark.operators import tables
+
+    schema = "post_id bigint, model_version string, subject string, status string, reason string, event_id string, resolved_at int"
+    old = spark.createDataFrame([(1, "a", "s", "old", "", "e", 0), (1, "b", "s", "other", "", "e", 0)], schema)
+    new = spark.createDataFrame([(1, "a", "s", "late", "", "e", 2), (1, "a", "s", "early", "", "f", 1), (1, "a", "s", "early too", "", "g", 1)], schema)
+    assert sorted(r["status"] for r in tables.replace_resolutions(old, new, "a").collect()) == ["early", "other"]
+
+
+def test_manifest_of_archived_files(spark):
+    from tidemark.operators import tables
+
+    files = spark.createDataFrame([("/x/2024/a.tar.gz", 3), ("/x/b.tar.gz", 5), ("/y/b.tar.gz", 4)], "path string, size bigint")
+    assert {tuple(r) for r in tables.manifest(files).collect()} == {("a.tar.gz", 3), ("b.tar.gz", 5)}

@@ -52,10 +52,15 @@ def upsert_classifications(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["post_id", "model", "model_version"], ["sport", "team", "players", "status_change", "template", "detail", "classified_at"])
 
 
-def replace_resolutions(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
-    """All rows of the version replaced; of several new rows for a subject the first stays."""
-    first = new.dropDuplicates(["post_id", "model_version", "subject"])
-    return old.filter(F.col("model_version") != version).unionByName(first)
+def replace_resolutions(old: DataFrame, new: DataFrame, version: str, order: str = "resolved_at") -> DataFrame:
+    """All rows of the version replaced; of several new rows for a subject the first in the given order stays, of those that tie the one with the least event and status."""
+    first = Window.partitionBy("post_id", "model_version", "subject").orderBy(order, "event_id", "status", "reason")
+    return old.filter(F.col("model_version") != version).unionByName(new.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """name and size of archived files (path, size), one row a name: what a later run compares with to skip what has not changed."""
+    return files.groupBy(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).agg(F.max("size").alias("size"))
 
 
 def write_day(trades: DataFrame, path: str) -> None:

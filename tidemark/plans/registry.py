@@ -14,6 +14,7 @@ from tidemark.plans import fixtures, views
 from tidemark.plans.params import DAILY, DAY, Params
 from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
 from tidemark.sources import files
+from tidemark.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -587,3 +588,54 @@ def completed_days(spark: SparkSession, d: str) -> DataFrame:
 def run_costs(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.sql("select map('item', 3, 'start', 2) as counts, map('item', named_struct('eventPriceUsd', cast(null as double), 'eventTieredPricingUsd', map('a', named_struct('tieredEventPriceUsd', 0.5D), 'b', named_struct('tieredEventPriceUsd', 0.25D))), 'start', named_struct('eventPriceUsd', 0.25D, 'eventTieredPricingUsd', cast(null as map<string, struct<tieredEventPriceUsd: double>>))) as prices, 1.0D as usage")
     return rows.select(scalar.run_cost(F.col("counts"), F.col("prices"), F.col("usage")).alias("cost"))
+
+
+# ---- catalogues, rosters, files, windows of event time
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "eventId", o_orderpriority AS league, count(l_orderkey) AS markets FROM orders LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS l ON l_orderkey = o_orderkey
+    WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'F' AND epoch_us(o_orderdate) // 1000 BETWEEN 883584000000 AND 890812800000 GROUP BY ALL""")
+def catalog_eligible(spark: SparkSession, d: str) -> DataFrame:
+    catalog = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("eventId"), F.col("o_orderpriority").alias("league"), F.col("o_orderstatus").alias("status"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("startsTs"))
+    markets = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("event_id"))
+    open_ = journal.eligible(catalog, ["1-URGENT", "2-HIGH"], ["F"], 883612800000, 8, 2000)
+    return journal.market_counts(open_, markets).select("eventId", "league", "markets")
+
+
+@query("SELECT lower(replace(c_name, '#', '')) AS name, CASE c_nationkey % 3 WHEN 0 THEN 'Bears' ELSE 'Jaguars' END AS teams FROM customer WHERE c_nationkey % 3 < 2")
+def roster_names(spark: SparkSession, d: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    player = F.struct(F.when(nation % 3 == 0, "CHI").when(nation % 3 == 1, "JAC").otherwise("XX").alias("team"), F.col("c_name").alias("full_name"))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), player))).alias("players"))
+    return resolve.roster_teams(rows).select("name", F.array_join("teams", ",").alias("teams"))
+
+
+@query("SELECT 'f' || p_size AS folder, count(*) AS files, CAST(sum(p_partkey) AS BIGINT) AS bytes FROM part GROUP BY p_size")
+def folder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return files.sizes(table(spark, d, "part").select(F.concat(F.lit("f"), "p_size", F.lit("/"), "p_partkey").alias("path"), F.col("p_partkey").alias("size")))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
+def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return weeks.coverage_counts(table(spark, d, "events"), ["event_type", "user_id"])
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def activity_windows(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.activity(table(spark, d, "events").select("ts", "event_type"), "ts", "event_type", "1 day")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM a)
+    SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, session""")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.sessions(table(spark, d, "events").select("ts", "user_id"), "ts", "user_id", "12 hours")
+
+
+@query("""SELECT DISTINCT CAST(u AS VARCHAR) AS market, max(seq) OVER (PARTITION BY u) AS got FROM (SELECT user_id AS u, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) AS x WHERE nth <= 2 AND u IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1 AND max(event_id) > min(event_id) + 1)
+    AND u IN (SELECT user_id FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) AS y WHERE nth = 1 AND nxt > event_id + 1)""")
+def resync_requests(spark: SparkSession, d: str) -> DataFrame:
+    # each user's first event is a snapshot, the next ones are deltas under their ids: the second is a gap unless it follows at once
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    rows = table(spark, d, "events").select(F.lit("c").alias("conn"), F.col("user_id").cast("string").alias("market"), line.alias("line"), F.lit("book").alias("channel"), F.when(line == 1, "snapshot").otherwise("delta").alias("kind"), F.col("event_id").alias("seq")).filter("line <= 2")
+    return journal.resync_requests(journal.sequence_results(rows)).select("market", "got")

@@ -80,6 +80,13 @@ def channels(records: DataFrame) -> DataFrame:
     return part("snapshot").unionByName(part("delta"))
 
 
+def messages(records: DataFrame) -> DataFrame:
+    """The parts of each record in the order in which they count: snapshots (turn 0), the acknowledged nonce (1), deltas (2)."""
+    parts = channels(records).withColumn("turn", F.when(F.col("kind") == "snapshot", 0).otherwise(2)).withColumn("nonce", F.lit(None).cast("long"))
+    acks = records.filter("msg.nonce is not null").select("conn", "recv_ts", F.lit("ack").alias("kind"), F.lit(1).alias("turn"), F.col("msg.nonce").alias("nonce"))
+    return parts.unionByName(acks, allowMissingColumns=True)
+
+
 def convert(spark: SparkSession, csv: str, parquet: str, day) -> DataFrame:
     """A day's validated trades as a zstd Parquet table beside its CSV; the commit protocol makes the switch whole."""
     from tidemark.operators.ingest import for_day, parse_trades

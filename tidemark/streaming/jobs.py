@@ -14,14 +14,16 @@ from tidemark.operators.journal import Continuity
 
 
 def landed(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schemas.STREAM).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    """Landed records with their fields and, as `value`, the line as it came."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select("value", F.from_json("value", schemas.STREAM).alias("r")).select("r.*", "value")
 
 
 def write_hourly(records: DataFrame, path: str, checkpoint: str):
-    """Envelopes verbatim, in folders by the UTC date and hour of receipt; exactly once by the file sink."""
+    """Lines verbatim, also with fields that no schema names, in folders by the UTC date and hour of receipt; exactly once by the file sink."""
     at = F.timestamp_millis("recv_ts")
-    out = records.withColumns({"date": F.date_format(at, "yyyy-MM-dd"), "hour": F.date_format(at, "HH")})
-    return out.writeStream.format("json").partitionBy("date", "hour").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = records.select("value", F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"))
+    return out.writeStream.format("text").partitionBy("date", "hour").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class SequenceState(StatefulProcessor):
