@@ -64,7 +64,9 @@ def _cut(docs: DataFrame, lines: int) -> DataFrame:
         slice(split(text, '\n', -1), if(k = 0, 0, _cut[k - 1].b) + 1, if(k = size(_cut), size(split(text, '\n', -1)), _cut[k].a) - if(k = 0, 0, _cut[k - 1].b)))), '\n')""")
     removed = F.coalesce(F.expr("aggregate(_cut, 0L, (s, x) -> s + x.b - x.a)"), F.lit(0).cast("long"))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return _keyed(docs).join(runs(docs, lines), ["_a", "_b"], "left").select("_row", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept).alias("_text"), n.alias("_lines"), removed.alias("_removed"))
+    # the text moves once, inside its row
+    whole = _keyed(docs).select("_a", "_b", "_row").join(runs(docs, lines), ["_a", "_b"], "left").withColumn("text", F.col("_row").getField("text"))
+    return whole.select("_row", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept).alias("_text"), n.alias("_lines"), removed.alias("_removed"))
 
 
 def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
