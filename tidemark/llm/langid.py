@@ -58,6 +58,17 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows, letters
 
 
+def packed(row: np.ndarray) -> bytes:
+    """The places of a row's values that are not zero, then these values."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f4").tobytes()
+
+
+def unpack(data: bytes, row: np.ndarray) -> None:
+    n = len(data) // 6
+    row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+
+
 def codebook(languages: int) -> np.ndarray:
     """Codewords in rows: exhaustive for up to 5 languages, else the random code of 50 with the largest least distance."""
     if languages <= 1:
@@ -74,6 +85,23 @@ def codebook(languages: int) -> np.ndarray:
     return best[1]
 
 
+def inverted(a: np.ndarray, block: int = 256) -> np.ndarray:
+    """The inverse of a symmetric positive definite matrix, in its own place: elimination by blocks, without a second matrix."""
+    for k in range(0, len(a), block):
+        own = slice(k, min(k + block, len(a)))
+        pivot = np.linalg.inv(a[own, own])
+        row = pivot @ a[own]
+        for r in range(0, len(a), block):
+            if r != k:
+                other = slice(r, min(r + block, len(a)))
+                left = a[other, own].copy()
+                a[other] -= left @ row
+                a[other, own] = -left @ pivot
+        a[own] = row
+        a[own, own] = pivot
+    return a
+
+
 class Model:
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
         self.languages, self.code = languages, codebook(len(languages))
@@ -95,8 +123,7 @@ class Model:
         kernel *= root
         kernel *= root.T
         kernel[np.diag_indices_from(kernel)] += ridge
-        inverse = np.linalg.inv(kernel)
-        del kernel
+        inverse = inverted(kernel)
         dual = inverse @ wanted
         left_out = wanted - dual / np.diag(inverse)[:, None]
         dual *= root
@@ -108,8 +135,7 @@ class Model:
         rows = np.hstack([x, np.ones((len(x), 1), np.float32)]) * root.astype(np.float32)
         square = (rows.T @ rows).astype(np.float64)
         square[np.diag_indices_from(square)] += ridge
-        inverse = np.linalg.inv(square)
-        del square
+        inverse = inverted(square)
         weights = inverse @ (rows.T @ wanted)
         own = np.einsum("nd,nd->n", rows @ inverse.astype(np.float32), rows)[:, None]
         self.weights, self.bias = weights[:-1].astype(np.float32), weights[-1].astype(np.float32)
@@ -143,12 +169,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for b in slabs(batches, 256):
             rows, letters = features(texts_of(b.column(1)))
             keep = np.flatnonzero(letters)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([rows[i].tobytes() for i in keep], pa.binary())], ["lang", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([packed(rows[i]) for i in keep], pa.binary())], ["lang", "row"])
 
     got = chosen.select("lang", "text").mapInArrow(run, "lang string, row binary").orderBy("lang", "row").toArrow()
-    names, rows = got.column(0).to_pylist(), got.column(1).combine_chunks()
+    names = got.column(0).to_pylist()
     languages = sorted(set(names))
-    x = np.frombuffer(rows.buffers()[2], np.float32).reshape(len(names), DIM) if names else np.zeros((0, DIM), np.float32)
+    x = np.zeros((len(names), DIM), np.float32)
+    for row, data in zip(x, got.column(1), strict=True):
+        unpack(data.as_py(), row)
+    del got
     return Model(languages, x, np.array([languages.index(n) for n in names], np.int64))
 
 
