@@ -48,6 +48,8 @@ BUCKET_ROWS = 8192
 BUCKETS, BUCKET_SHINGLES, MOST_SHINGLES, MANY = 64, 1 << 19, 1 << 23, 20_000
 #: Keys with more than one in HOT of all rows are joined by broadcast: there are fewer than HOT.
 HOT = 1024
+#: The bits of a class that are its code.
+CODE = (1 << 48) - 1
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -167,7 +169,7 @@ def blocks(docs: DataFrame, hot: np.ndarray, buckets: int, whole: bool) -> DataF
                         s = np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
                 toks.append(s[:most])
                 owner.append(np.full(len(toks[-1]), len(classes), np.uint16))
-                classes.append(c)
+                classes.append(c & CODE if whole else c)
                 sizes.append(min(n, 0xFFFFFFFF))
             if not toks:
                 continue
@@ -176,20 +178,30 @@ def blocks(docs: DataFrame, hot: np.ndarray, buckets: int, whole: bool) -> DataF
             by = np.argsort(where << np.uint64(32) | tok & np.uint64(0xFFFFFFFF))
             tok, own, where = tok[by], own[by], where[by]
             cuts = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(j, *block(tok[x:y], own[x:y], classes, sizes)) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            rows = [(j, *block(tok[x:y], own[x:y], classes, sizes, whole)) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "toks", "own", "classes", "sizes"])
 
     return docs.select("text").mapInArrow(run, "bucket int, toks binary, own binary, classes binary, sizes binary")
 
 
-def block(tok: np.ndarray, own: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+def block(tok: np.ndarray, own: np.ndarray, classes: np.ndarray, sizes: np.ndarray, whole: bool) -> tuple[bytes, bytes, bytes, bytes]:
+    """Of whole sets, the classes go as codes of 6 bytes and without their sizes: there are many of them in a block."""
     used, back = np.unique(own, return_inverse=True)
+    who = classes[used].astype("<i8")
+    if whole:
+        who = who.view(np.uint8).reshape(-1, 8)[:, :6]
     # in a bucket, the low 32 bits tell shingles apart well enough: a chance meeting only costs a comparison
-    return (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), back.astype("<u2").tobytes(), classes[used].astype("<i8").tobytes(), sizes[used].tobytes()
+    return (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), back.astype("<u2").tobytes(), who.tobytes(), b"" if whole else sizes[used].tobytes()
 
 
-def by_bucket(blobs: DataFrame, buckets: int, join, schema: str) -> DataFrame:
-    """Applies join to the blocks of each bucket; only shingles that occur again in the bucket are handed on, as tok, cls, size."""
+def codes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<i8")[:, 0]
+
+
+def by_bucket(blobs: DataFrame, buckets: int, join, schema: str, whole: bool) -> DataFrame:
+    """Applies join to the blocks of each bucket; only shingles that occur again in the bucket are handed on: as tok, code where sets are whole, else as tok, cls, size."""
 
     def run(batches):
         bucket, parts = None, []
@@ -213,35 +225,39 @@ def by_bucket(blobs: DataFrame, buckets: int, join, schema: str) -> DataFrame:
         twice[1:] = again[1:] == again[:-1]
         twice[:-1] |= twice[1:]
         by = by[twice]  # the others meet nobody
-        cls = np.concatenate([np.frombuffer(c, "<i8")[np.frombuffer(o, "<u2")] for _, o, c, _ in parts])[by]
+        if not len(by):
+            return
+        cls = np.concatenate([(codes(c) if whole else np.frombuffer(c, "<i8"))[np.frombuffer(o, "<u2")] for _, o, c, _ in parts])[by]
+        if whole:
+            yield from join(tok[by], cls)
+            return
         size = np.concatenate([np.frombuffer(s, "<u4").astype(np.int64)[np.frombuffer(o, "<u2")] for _, o, _, s in parts])[by]
-        if len(by):
-            yield from join(tok[by], cls, size)
+        yield from join(tok[by], cls, size)
 
     placed = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(run, schema)
 
 
 def coverage(blobs: DataFrame, buckets: int) -> DataFrame:
-    """cls, n, met: how many of a class's shingles other classes have too."""
+    """code, met: how many of the shingles of the classes of a code other codes have too.
 
-    def join(tok, cls, size):
-        by = np.lexsort((cls, tok))
-        tok, cls, size = tok[by], cls[by], size[by]
+    Classes of one code are taken together, which only lets more of them go on; a shingle
+    that two such classes share and no other is not met, which 48 bits make as good as impossible.
+    """
+
+    def join(tok, code):
+        by = np.lexsort((code, tok))
+        tok, code = tok[by], code[by]
         new = np.ones(len(tok), bool)
         new[1:] = tok[1:] != tok[:-1]
         once = new.copy()
-        once[1:] |= cls[1:] != cls[:-1]  # a class that several slabs hold counts once
+        once[1:] |= code[1:] != code[:-1]  # a class that several slabs hold counts once
         run_of = np.cumsum(new) - 1
-        keep = (np.bincount(run_of, weights=once) > 1)[run_of] & once
-        cls, size = cls[keep], size[keep]
-        if len(cls):
-            by = np.argsort(cls)
-            cls, size = cls[by], size[by]
-            first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[first]), pa.array(size[first]), pa.array(np.diff(np.append(first, len(cls))).astype(np.int64))], ["cls", "n", "met"])
+        code, met = np.unique(code[(np.bincount(run_of, weights=once) > 1)[run_of] & once], return_counts=True)
+        if len(code):
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(met.astype(np.int64))], ["code", "met"])
 
-    return by_bucket(blobs, buckets, join, "cls long, n long, met long").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+    return by_bucket(blobs, buckets, join, "code long, met long", whole=True).groupBy("code").agg(F.sum("met").alias("met"))
 
 
 def meet(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -267,7 +283,7 @@ def meet(blobs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (leader[1:] != leader[:-1])]))
         yield pa.RecordBatch.from_arrays([pa.array(leader[first]), pa.array(cls[first]), pa.array(size[first]), pa.array(np.diff(np.append(first, len(cls))).astype(np.int64))], ["leader", "member", "n", "met"])
 
-    return by_bucket(blobs, buckets, join, "leader long, member long, n long, met long").groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
+    return by_bucket(blobs, buckets, join, "leader long, member long, n long, met long", whole=False).groupBy("leader", "member").agg(F.max("n").alias("n"), F.sum("met").alias("met"))
 
 
 def by_size(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
@@ -466,11 +482,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = written(signatures(docs), "sets")
-    classes = written(sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = written(sig.filter("n > 0").groupBy("cls", "digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     buckets = bucket_count(sig.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long"))).first()[0])
     none = np.zeros(0, np.uint64)
-    covered = written(coverage(blocks(docs, none, buckets, whole=True), buckets).filter("4 * met >= 3 * n").select("cls"), "covered")
-    going = classes.join(covered, "cls").select(F.col("rep").alias("doc_id")).distinct()
+    covered = written(coverage(blocks(docs, none, buckets, whole=True), buckets), "covered")
+    going = classes.withColumn("code", F.col("cls").bitwiseAND(F.lit(CODE))).join(covered, "code").filter("4 * met >= 3 * n").select(F.col("rep").alias("doc_id")).distinct()
     rest = written(docs.join(going, "doc_id"), "near")
     rows = rest.count()
     fewer = max(1, -(-rows // BUCKET_ROWS))
