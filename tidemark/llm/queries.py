@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, bpecodec, exactdedup, langid, license, linededup, mincut, packing, setjoin, tokencount
+from . import annforest, bpecodec, exactdedup, langid, license, linededup, mincut, packing, repetition, setjoin, tokencount
 from .common import table
 
 
@@ -50,5 +50,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpecodec.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_exact_dedup, op4_hash_forest, op5_license_scan, op6_html_mincut, op7_lp_packing, op8_token_counts, op9_jaccard_groups, op10_bpe_codec)}
-ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op3_exact_dedup": exactdedup.SQL, "op5_license_scan": license.SQL, "op9_jaccard_groups": setjoin.SQL}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
+    return repetition.quality(table(spark, sf_dir, "documents")).select(*counts, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_exact_dedup, op4_hash_forest, op5_license_scan, op6_html_mincut, op7_lp_packing, op8_token_counts, op9_jaccard_groups, op10_bpe_codec, op11_quality_rules)}
+ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op3_exact_dedup": exactdedup.SQL, "op5_license_scan": license.SQL, "op9_jaccard_groups": setjoin.SQL, "op11_quality_rules": repetition.SQL}
