@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,6 +71,16 @@ def slabs(batches: Iterable[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def text_slabs(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text; a longer text may be one of its own."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        slab = np.cumsum(sizes) // size
+        for at in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(slab)) + 1):
+            if len(at):
+                yield b.slice(int(at[0]), len(at))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A shuffle by keys into the session's number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

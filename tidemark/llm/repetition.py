@@ -9,14 +9,13 @@ union of these spans is what repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import text_slabs, texts_of
 
 #: Words of a repeated window of the base rule, and the rule itself: texts with fewer words or with a larger share of words in such windows fail (fixed values).
 WINDOW, LEAST_WORDS, BASE_PERCENT = 8, 20, 30
@@ -137,16 +136,6 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return failed, ~failed & ~bad
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in slabs of about SLAB bytes of text."""
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        slab = np.cumsum(sizes) // SLAB
-        for at in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(slab)) + 1):
-            if len(at):
-                yield b.slice(int(at[0]), len(at))
-
-
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row.
 
@@ -159,7 +148,7 @@ def quality(docs: DataFrame) -> DataFrame:
     schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in text_slabs(batches, SLAB):
             m = measures(texts_of(b.column("text")))
             failed, kept = verdicts(m)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, pa.int64()) for v in m.values()], pa.array(failed), pa.array(kept)], ["doc_id", *m, "base_failed", "kept"])
@@ -172,7 +161,7 @@ def spans(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in text_slabs(batches, SLAB):
             codes, n_words = words_of(texts_of(b.column("text")))
             starts = np.concatenate([[0], np.cumsum(n_words)])
             owner = np.repeat(np.arange(len(n_words)), n_words)
