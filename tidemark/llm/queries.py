@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, bpecodec, collocation, exactdedup, langid, license, linededup, mincut, packing, repetition, setjoin, tokencount
+from . import annforest, bpecodec, collocation, convtrie, exactdedup, langid, license, linededup, mincut, packing, repetition, setjoin, tokencount
 from .common import table
 
 
@@ -59,5 +59,9 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_exact_dedup, op4_hash_forest, op5_license_scan, op6_html_mincut, op7_lp_packing, op8_token_counts, op9_jaccard_groups, op10_bpe_codec, op11_quality_rules, op12_collocations)}
-ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op3_exact_dedup": exactdedup.SQL, "op5_license_scan": license.SQL, "op9_jaccard_groups": setjoin.SQL, "op11_quality_rules": repetition.SQL, "op12_collocations": collocation.SQL}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_exact_dedup, op4_hash_forest, op5_license_scan, op6_html_mincut, op7_lp_packing, op8_token_counts, op9_jaccard_groups, op10_bpe_codec, op11_quality_rules, op12_collocations, op13_conversation_trie)}
+ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op3_exact_dedup": exactdedup.SQL, "op5_license_scan": license.SQL, "op9_jaccard_groups": setjoin.SQL, "op11_quality_rules": repetition.SQL, "op12_collocations": collocation.SQL, "op13_conversation_trie": convtrie.SQL}
