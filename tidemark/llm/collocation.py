@@ -29,7 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + UPPER.encode(), b"\n\n\n\n\n\n\n\n\n " + LOWER.encode())
 GAP, WORD = re.compile(rb"[ \n]"), re.compile(rb"[ \n]*[^ \n]+")
 #: Bytes of text in a slab, and suffixes in a block of the counting side.
-SLAB, BLOCK = 8 << 20, 1 << 20
+SLAB, BLOCK = 4 << 20, 1 << 18
 
 DEALT = "lang string, key binary, depth int, total bigint, rests binary, counts binary"
 
@@ -129,6 +129,7 @@ def blocks(batches: Iterable[pa.RecordBatch], names: list[str], size: int) -> It
             if len(codes):
                 lang = np.array(langs, np.int64)[np.searchsorted(ends, places + at, side="right")]
                 yield suffixes(words, codes, lines, lang, int(np.searchsorted(places, own)))
+            pa.default_memory_pool().release_unused()
 
 
 def frequent_prefixes(batches: Iterable[pa.RecordBatch], share: float, size: int) -> Iterator[pa.RecordBatch]:
@@ -260,8 +261,10 @@ def counted(batches: Iterable[pa.RecordBatch], least: int, block: int) -> Iterat
             whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if whole:
                 yield from of(rows.slice(0, whole))
-            held = [rows.slice(whole, n - whole)]
+            # a copy, or the slice would hold all rows of the block
+            held = [rows.take(pa.array(np.arange(whole, n)))]
             size = pc.sum(pc.binary_length(held[0]["counts"])).as_py() // 4
+            pa.default_memory_pool().release_unused()
     if held and sum(t.num_rows for t in held):
         yield from of(pa.concat_tables(held))
 
