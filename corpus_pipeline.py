@@ -3,7 +3,7 @@
 Every stage but the last returns the columns of its input, other columns
 and ones that clash with an operator's own names unchanged; an empty table
 gives an empty table.  Repeated rows are kept or dropped alike by the first
-two stages; of equal documents the third keeps the rows of one doc_id.
+two stages; of equal documents the third keeps one row.
 """
 
 from __future__ import annotations
@@ -28,17 +28,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest doc_id stays.
 
-    A row without a doc_id is a document of its own: it is compared like the
-    others, comes after all that have a doc_id, and keeps its null.
+    Every row is a document: rows that share a doc_id, or have none, are told apart by keys of their own for a while and compared like all
+    others, so that unlike ones all stay and of equal ones one does.  Where the smallest doc_id is several rows', the one with
+    the smallest digest of its text stays; rows without a doc_id come last and keep their null.
     """
-    last, unnamed = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    if not unnamed:
+    first, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    shared = docs.groupBy(F.col("doc_id").alias("shared_id")).agg(F.count("*").alias("n")).filter("n > 1 or shared_id is null").select("shared_id")
+    shared = written(shared, "shared_ids")
+    if shared.isEmpty():
         return docs.join(_stays(docs), "doc_id", "left_semi")
-    key = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
-    keyed = written(docs.filter("doc_id is null").withColumn("doc_id", key), "unnamed")
-    stays = _stays(docs.filter("doc_id is not null").unionByName(keyed))
-    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
-    return docs.join(stays, "doc_id", "left_semi").unionByName(keyed.join(stays, "doc_id", "left_semi").withColumn("doc_id", none).select(docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    step = F.monotonically_increasing_id() + 1
+    key = step if last is None else F.lit(last) + step if last < 1 << 62 else F.lit(first) - step
+    rows = docs.join(shared, same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = written(rows.withColumn("doc_id", key), "keyed")
+    own = docs.join(shared, same, "left_anti")
+    named = keyed.select("doc_id", F.col("row").getField("text").alias("text"))
+    groups = written(setjoin.jaccard_components(own.select("doc_id", "text").unionByName(named)).select("doc_id", "component_id"), "groups")
+    none, name = F.col("name").isNull().alias("none"), F.struct(F.col("row").getField("doc_id").alias("name"), F.xxhash64(F.col("row").getField("text")).alias("digest"))
+    ranked = groups.join(keyed.select("doc_id", name.alias("k")), "doc_id", "left").withColumns({"name": F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("k.name")), "digest": F.col("k.digest")})
+    stays = written(ranked.groupBy("component_id").agg(F.min(F.struct(none, "name", "digest", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("doc_id")), "stays")
+    back = keyed.join(stays, "doc_id", "left_semi").select("row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.join(stays, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(back)
 
 
 def _stays(docs: DataFrame) -> DataFrame:
