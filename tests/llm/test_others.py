@@ -391,6 +391,41 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     assert alone.count() == 5
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(5)
+    a, b = ([f"{k}{r.randrange(10**6)}" for _ in range(80)] for k in "ab")
+    near = " ".join([*a[:-1], "other"])
+    a, b = " ".join(a), " ".join(b)
+    stage = lambda rows: sorted((x["doc_id"], x["text"]) for x in cp.keep_one_of_each_group(spark, frame(spark, [(*x, "en") for x in rows]), "").collect())
+    assert stage([(0, a), (1, near), (1, b)]) == [(0, a), (1, b)]
+    assert stage([(0, a), (1, a), (1, b)]) == [(0, a), (1, b)]
+    assert stage([(3, a), (1, a), (1, a)]) == [(1, a)]
+    assert stage([(2**62 + 5, a), (2**62 + 5, b), (7, near)]) == [(7, near), (2**62 + 5, b)]
+
+
+def test_pipeline_groups_with_random_repeated_ids(spark):
+    import corpus_pipeline as cp
+    from test_dedup import components_brute
+
+    r = random.Random(8)
+    texts = [" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in range(9)]
+    rows = []
+    for _ in range(60):
+        words = r.choice(texts).split()
+        words[r.randrange(60)] = r.choice([words[0], "x"])
+        rows.append((r.choice([None, *range(12)]), r.choice(["", None]) if r.random() < 0.1 else " ".join(words)))
+    got = [(x["doc_id"], x["text"]) for x in cp.keep_one_of_each_group(spark, frame(spark, [(*x, "en") for x in rows]), "").collect()]
+    group = {i: c for i, (_, c) in components_brute([(i, t) for i, (_, t) in enumerate(rows)]).items()}
+    want = {}
+    for i, (doc_id, _) in enumerate(rows):
+        want[group[i]] = min(want.get(group[i], (True, 0)), (doc_id is None, doc_id or 0))
+    of_text = {t: group[i] for i, (_, t) in enumerate(rows) if t}
+    assert len(got) == len(want) and set(got) <= set(rows)
+    assert {of_text[t]: (i is None, i or 0) for i, t in got if t} == {g: v for g, v in want.items() if g in set(of_text.values())}
+
+
 def test_pipeline_stages_of_odd_tables(spark):
     import corpus_pipeline as cp
 
@@ -403,7 +438,7 @@ def test_pipeline_stages_of_odd_tables(spark):
         assert stage(spark, docs.limit(0), "").count() == 0, name
         docs = spark.createDataFrame(got.collect(), docs.schema)
     kept = sorted(map(tuple, docs.collect()))
-    assert [r[0] for r in kept] == [1, 1, 2, 5, 6, 7] and kept[2][1] == "its own " + "text " * 9 and kept[2][3] == "mine"
+    assert [r[0] for r in kept] == [1, 2, 5, 6, 7] and kept[1][1] == "its own " + "text " * 9 and kept[1][3] == "mine"  # of the row that repeats one stays
     packed = cp.pack(spark, docs, "").collect()
     holds(packed, 1024)
     assert {r["doc_id"] for r in packed} == {1, 2, 5, 6, 7} and cp.pack(spark, docs.limit(0), "").count() == 0
