@@ -63,12 +63,8 @@ def stale_stats(thresholds: DataFrame, levels: DataFrame, id_: list[str], prefix
     return got
 
 
-def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, data_end=None, views: tuple[str, ...] = ("xp", "t0")) -> DataFrame:
-    """One row per moment and market: moments has id_, market_id, favored_id, at, game_start (may be NULL) and expected_move (may be NULL).
-
-    The columns are fixed; what an exclusion leaves out is NULL.  Statistics of stale fills come in the views asked for.  Moments are
-    never joined with themselves: they pass through the as-of lookup and then, with both views' thresholds, through one join with the fills.
-    """
+def prices(moments: DataFrame, trades: DataFrame, p: Params, data_end=None) -> DataFrame:
+    """moments (market_id, favored_id, at, game_start and others) with their exclusion, prices and move, from one as-of lookup; what an exclusion leaves out is NULL."""
     given = moments.columns
     m = moments.withColumn("_full", plus(F.col("at"), p.settle))
     in_game = F.coalesce(F.col("at") >= F.col("game_start"), F.lit(False))
@@ -88,8 +84,14 @@ def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, da
     m = m.withColumns({"post_cut_short": F.when(reached, F.col("_end") < F.col("_full")), "pre_price": F.when(reached, price("_pre")), "pre_age_s": F.when(reached, seconds_between(at, F.col("_pre.ts")))})
     m = m.withColumns({"lead_price": F.when(ok, price("_lead")), "post_price": F.when(ok, price("_post")), "recent_pre_trade": F.when(ok, F.col("_pre.ts") > lead_at)})
     m = m.withColumns({"drift": F.col("pre_price") - F.col("lead_price"), "move": F.col("post_price") - F.col("pre_price")})
-    m = m.withColumn("moved", F.when(ok, F.coalesce(F.col("move") >= p.min_move, F.lit(False)))).withColumn("expected_move", F.when(ok, F.col("expected_move")))
-    m = m.select(*given, "excluded", "post_cut_short", "pre_price", "pre_age_s", "lead_price", "post_price", "recent_pre_trade", "drift", "move", "moved")
+    m = m.withColumn("moved", F.when(ok, F.coalesce(F.col("move") >= p.min_move, F.lit(False))))
+    return m.select(*given, "excluded", "post_cut_short", "pre_price", "pre_age_s", "lead_price", "post_price", "recent_pre_trade", "drift", "move", "moved")
+
+
+def stale_views(m: DataFrame, trades: DataFrame, id_: list[str], p: Params, views: tuple[str, ...]) -> DataFrame:
+    """Rows of `prices` that have an expected_move, with statistics of stale fills in the views asked for, from one join with the fills."""
+    ok = F.col("excluded").isNull()
+    m = m.withColumn("expected_move", F.when(ok, F.col("expected_move")))
     if not views:
         return m
     thresholds = {"xp": F.when(F.col("post_price") > F.col("pre_price"), (F.col("pre_price") + F.col("post_price")) / 2), "t0": F.when(F.col("expected_move") > 0, F.col("pre_price") + F.col("expected_move") / 2)}
@@ -101,3 +103,12 @@ def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, da
     keys = [c for c in m.columns if c != "market_id"]
     got = levels.groupBy("_market", *keys).agg(*stats).withColumnRenamed("_market", "market_id")
     return got.select(*m.columns, *[n for v in views for n in stale_names(v, p)])
+
+
+def measure(moments: DataFrame, trades: DataFrame, id_: list[str], p: Params, data_end=None, views: tuple[str, ...] = ("xp", "t0")) -> DataFrame:
+    """One row per moment and market: moments has id_, market_id, favored_id, at, game_start (may be NULL) and expected_move (may be NULL).
+
+    The columns are fixed; what an exclusion leaves out is NULL.  Statistics of stale fills come in the views asked for.  Moments are
+    never joined with themselves: they pass through the as-of lookup and then, with both views' thresholds, through one join with the fills.
+    """
+    return stale_views(prices(moments, trades, p, data_end), trades, id_, p, views)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import season_week
 from tidemark.operators import fit, measure, sides
 from tidemark.plans.params import Params
+from tidemark.scratch import written
 
 #: The groups of moments, and what identifies a moment's row for one market.
 NEWS, CONTROL, PLACEBO = "news", "control_post", "placebo"
@@ -34,12 +35,16 @@ def measure_moments(moments: DataFrame, markets: DataFrame, trades: DataFrame, p
 
 
 def run(moments: DataFrame, markets: DataFrame, trades: DataFrame, p: Params, data_end=None) -> DataFrame:
-    """The whole study: news teach the expected moves, each by what had settled before; then every group is measured with them."""
-    rows = market_moments(moments, markets, p)
-    taught = fit.fit_rows(measure.measure(rows.filter(F.col("group") == NEWS).withColumn("expected_move", F.lit(None).cast("double")), trades, ID, p, data_end, ()), p)
+    """The whole study: news teach the expected moves, each by what had settled before; then every group is measured with them.
+
+    Prices don't depend on what was expected, so they are looked up once for all groups and written; from that table come
+    the lessons, the expected moves and the statistics of fills.
+    """
+    rows = written(measure.prices(market_moments(moments, markets, p), trades, p, data_end), "prices")
+    taught = fit.fit_rows(rows.filter(F.col("group") == NEWS), p)
     control = F.col("group") == CONTROL
     expected = fit.expected_moves(rows.filter(~control), taught, ID, p).unionByName(fit.expected_moves(rows.filter(control), taught, ID, p, control=True))
-    return measure.measure(expected, trades, ID, p, data_end)
+    return measure.stale_views(expected, trades, ID, p, ("xp", "t0"))
 
 
 def group_counts(measured: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.operators import asof, classify, events, fit, ingest, journal, mea
 from tidemark.plans import fixtures, views
 from tidemark.plans.params import DAILY, DAY, Params
 from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
+from tidemark.scratch import written
 from tidemark.sources import files
 from tidemark.streaming import jobs
 
@@ -41,6 +42,12 @@ def measured(spark: SparkSession, d: str, *views: str) -> DataFrame:
     return measure.measure(moments, prints(spark, d), ID, DAILY, DATA_END, views)
 
 
+def _lessons(spark: SparkSession, d: str) -> DataFrame:
+    """Measured news, written once: lessons and targets are the same rows."""
+    rows = measure.prices(news_markets(spark, d), prints(spark, d), DAILY, DATA_END)
+    return written(rows.withColumns({"week": scalar.season_week(F.col("at"), DAILY.season_start, "UTC"), "kind": F.col("market_id")}), "measured")
+
+
 # ---- as-of lookups and range joins
 
 
@@ -158,7 +165,7 @@ def largest_events(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON t.status = f.status AND f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5)
     SELECT m.post_id, m.market_id, round(CASE WHEN datediff('day', TIMESTAMP '1995-01-03', moment) >= 7 THEN coalesce(a.x, b.x) END, 6) + 0.0 AS expected_move FROM m LEFT JOIN a USING (post_id, market_id) LEFT JOIN b USING (post_id, market_id)""")
 def expanding_median_fallback(spark: SparkSession, d: str) -> DataFrame:
-    rows = measured(spark, d).withColumns({"week": scalar.season_week(F.col("at"), DAILY.season_start, "UTC"), "kind": F.col("market_id")}).drop("expected_move")
+    rows = _lessons(spark, d)
     got = fit.expected_moves(rows, fit.fit_rows(rows, DAILY), ID, DAILY)
     return got.select(*ID, F.round("expected_move", 6).alias("expected_move"))
 
@@ -169,7 +176,7 @@ def expanding_median_fallback(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT t.post_id, t.market_id, median(f.move) AS x FROM m AS t JOIN f ON f.settled_at < t.moment GROUP BY ALL HAVING count(DISTINCT f.post_id) >= 5)
     SELECT m.post_id, m.market_id, round(CASE WHEN datediff('day', TIMESTAMP '1995-01-03', moment) >= 7 THEN coalesce(a.x, b.x) END, 6) + 0.0 AS expected_move FROM m LEFT JOIN a USING (post_id, market_id) LEFT JOIN b USING (post_id, market_id)""")
 def control_median_fallback(spark: SparkSession, d: str) -> DataFrame:
-    rows = measured(spark, d).withColumns({"week": scalar.season_week(F.col("at"), DAILY.season_start, "UTC"), "kind": F.col("market_id")}).drop("expected_move")
+    rows = _lessons(spark, d)
     got = fit.expected_moves(rows, fit.fit_rows(rows, DAILY), ID, DAILY, control=True)
     return got.select(*ID, F.round("expected_move", 6).alias("expected_move"))
 
