@@ -78,3 +78,30 @@ def test_rungs_are_groups_of_one_pass(spark):
     asked = spark.createDataFrame([(50, "m", "out", "game_line", True, T0, 2, None, None, None), (51, "m", "out", "game_line", None, T0, 2, None, None, None), (52, "m", None, None, None, T0, 2, None, None, None)], schema)
     got = {r["post_id"]: r["expected_move"] for r in fit.expected_moves(asked, known, ["post_id"], Params()).collect()}
     assert got == {50: pytest.approx(0.25), 51: pytest.approx(0.25), 52: None}
+
+
+def test_group_quantiles_against_the_definition(spark):
+    from tidemark.operators.quantiles import group_quantiles
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None, "c"]), rng.choice([None, float(rng.randrange(9)), rng.random()]), rng.choice([None, 1.0, 2.0])) for _ in range(300)] + [("only", None, 4.0), ("none", None, None)]
+    wanted = {"m": ("x", None), "q9": ("x", 0.9), "q25": ("x", 0.25), "ym": ("y", None), "y0": ("y", 0.0)}
+    got = {r["g"]: r.asDict() for r in group_quantiles(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], wanted).collect()}
+    assert set(got) == {"a", None, "c", "only"}
+    for g, r in got.items():
+        for name, (c, q) in wanted.items():
+            v = sorted(x[1 if c == "x" else 2] for x in rows if x[0] == g and x[1 if c == "x" else 2] is not None)
+            assert r[name] == (None if not v else pytest.approx(statistics.median(v) if q is None else v[round(q * (len(v) - 1))]))
+
+
+def test_quantiles_keep_no_lists(spark):
+    import contextlib
+    import io
+
+    from tidemark.operators.quantiles import group_quantiles
+
+    df = group_quantiles(spark.range(50).select((F.col("id") % 2).alias("g"), F.col("id").alias("x")), ["g"], {"m": ("x", None)})
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    assert "collect_list" not in out.getvalue() and "percentile" not in out.getvalue()
