@@ -348,7 +348,16 @@ def seq_gap_detect(spark: SparkSession, d: str) -> DataFrame:
     return journal.running_gaps(rows, ["user_id"], "event_id", "seq").select("user_id", "event_id", "seq", "result")
 
 
-@query()
+#: Continuity by a recursion along each market, one message after the other: the last number of either channel, and whether a gap waits for a snapshot.
+CONTINUITY = """s AS (SELECT market, 0 AS n, CAST(NULL AS BIGINT) AS line, '' AS channel, '' AS kind, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS book, CAST(0 AS BIGINT) AS lifecycle, false AS waits, '' AS result, CAST(NULL AS BIGINT) AS expected FROM (SELECT DISTINCT market FROM r) AS q
+    UNION ALL SELECT market, n, line, channel, kind, seq, CASE WHEN kind = 'reset' THEN 0 WHEN channel = 'book' AND result IN ('snapshot', 'resynced', 'ok') THEN seq ELSE book END, CASE WHEN kind = 'reset' THEN 0 WHEN channel = 'lifecycle' AND result IN ('snapshot', 'resynced', 'ok') THEN seq ELSE lifecycle END,
+      CASE WHEN kind IN ('reset', 'snapshot') THEN false WHEN result = 'gap' THEN true ELSE waits END, result, CASE WHEN kind = 'delta' THEN was + 1 END
+    FROM (SELECT *, CASE WHEN kind = 'reset' THEN 'reset' WHEN kind = 'snapshot' THEN CASE WHEN waits THEN 'resynced' ELSE 'snapshot' END WHEN waits THEN 'resyncing' WHEN seq <= was THEN 'duplicate' WHEN seq > was + 1 THEN 'gap' ELSE 'ok' END AS result
+      FROM (SELECT r.*, s.book, s.lifecycle, s.waits, CASE WHEN r.channel = 'book' THEN s.book ELSE s.lifecycle END AS was FROM s JOIN r ON r.market = s.market AND r.n = s.n + 1) AS y) AS x)"""
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT CAST(user_id AS VARCHAR) AS market, event_id AS line, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 THEN 'book' ELSE 'lifecycle' END AS channel, CASE WHEN event_type = 'signup' THEN 'snapshot' ELSE 'delta' END AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS seq FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY line) AS n FROM m), {CONTINUITY} SELECT 'c1' AS conn, market, line, channel, kind, seq, result, expected FROM s WHERE n > 0""")
 def sequence_tracker(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     rows = table(spark, d, "events").select(F.lit("c1").alias("conn"), F.col("user_id").cast("string").alias("market"), F.col("event_id").alias("line"), F.when(k % 2 == 0, "book").otherwise("lifecycle").alias("channel"), F.when(F.col("event_type") == "signup", "snapshot").otherwise("delta").alias("kind"), k.alias("seq"))
@@ -639,10 +648,14 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return jobs.sessions(table(spark, d, "events").select("ts", "user_id"), "ts", "user_id", "12 hours")
 
 
-@query("""SELECT DISTINCT CAST(u AS VARCHAR) AS market, max(seq) OVER (PARTITION BY u) AS got FROM (SELECT user_id AS u, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) AS x WHERE nth <= 2 AND u IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1 AND max(event_id) > min(event_id) + 1)
-    AND u IN (SELECT user_id FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) AS y WHERE nth = 1 AND nxt > event_id + 1)""")
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, user_id % 7 AS topic, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+    m AS (SELECT CAST(user_id AS VARCHAR) AS market, topic, event_id AS line, CASE WHEN k % 3 = 0 THEN 'lifecycle' ELSE 'book' END AS channel, CASE WHEN event_type = 'signup' THEN 'snapshot' ELSE 'delta' END AS kind, k % 4 + 1 AS seq FROM e WHERE event_type <> 'error'),
+    d AS (SELECT market, e.event_id AS line, '' AS channel, 'reset' AS kind, 0 AS seq FROM e JOIN (SELECT market, topic, min(line) AS since FROM m GROUP BY ALL) AS f ON e.topic = f.topic AND e.event_id > f.since WHERE event_type = 'error'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY line) AS n FROM (SELECT market, line, channel, kind, seq FROM m UNION ALL SELECT * FROM d) AS u), {CONTINUITY}
+    SELECT market, line, channel, expected, seq AS got FROM s WHERE result = 'gap'""")
 def resync_requests(spark: SparkSession, d: str) -> DataFrame:
-    # each user's first event is a snapshot, the next ones are deltas under their ids: the second is a gap unless it follows at once
-    line = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    rows = table(spark, d, "events").select(F.lit("c").alias("conn"), F.col("user_id").cast("string").alias("market"), line.alias("line"), F.lit("book").alias("channel"), F.when(line == 1, "snapshot").otherwise("delta").alias("kind"), F.col("event_id").alias("seq")).filter("line <= 2")
-    return journal.resync_requests(journal.sequence_results(rows)).select("market", "got")
+    # signups are snapshots, errors unsubscribe the topic of their user for all its users, the other events are deltas
+    k, topic = F.get_json_object("props", "$.k").cast("long"), (F.col("user_id") % 7).cast("string")
+    e = table(spark, d, "events").select(F.lit("c").alias("conn"), F.col("user_id").cast("string").alias("market"), F.col("event_id").alias("line"), topic.alias("event"), F.when(k % 3 == 0, "lifecycle").otherwise("book").alias("channel"), F.when(F.col("event_type") == "signup", "snapshot").otherwise("delta").alias("kind"), (k % 4 + 1).alias("seq"), "event_type")
+    found = journal.sequence_results(e.filter("event_type <> 'error'"), e.filter("event_type = 'error'"))
+    return journal.resync_requests(found).select("market", "line", "channel", "expected", "got")

@@ -34,7 +34,7 @@ class SequenceState(StatefulProcessor):
         self.flag = handle.getValueState("resyncing", "value boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("line")  # order of arrival within a batch is not given
+        pdf = pd.concat(list(rows)).sort_values(["line", "channel"])  # order of arrival within a batch is not given
         state = Continuity({k[0]: v[0] for k, v in self.last.iterator()}, bool(self.flag.exists() and self.flag.get()[0]))
         got = [state.take(k, c, int(s)) for k, c, s in zip(pdf["kind"], pdf["channel"], pdf["seq"], strict=True)]
         self.last.clear()
