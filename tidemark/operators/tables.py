@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +60,58 @@ def replace_resolutions(old: DataFrame, new: DataFrame, version: str, order: str
     return old.filter(F.col("model_version") != version).unionByName(new.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
 
 
+#: A rule gives a table's new rows from its old rows and the rows that come, both of all the keys concerned.
+Rule = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_keyed(rows: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
+    """A table in one folder for each hash bucket of its keys, so that an upsert rewrites just the buckets that it touches; replaces those the rows have."""
+    dealt = rows.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table's rows; a table that nothing was written to has none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).drop("bucket")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def upsert_keyed(new: DataFrame, path: str, keys: list[str], rule: Rule, batch: str, buckets: int = 256) -> None:
+    """Puts the rows of a batch into a table of `write_keyed`, whose columns they have; once, however often the batch comes.
+
+    The new rows of the touched buckets are written beside the table first; then they replace these buckets, then the ledger gets the batch with
+    its buckets.  A batch that broke off before its rows stood starts anew, one that broke off later replaces the buckets again with
+    the same rows, and one that is in the ledger changes nothing.  Reading prunes to the touched buckets, and at most
+    one number for each bucket reaches the driver.
+    """
+    spark, staged, entry = new.sparkSession, f"{path}/_staged/{batch}", f"{path}/_ledger/batch={batch}"
+    if _exists(spark, f"{entry}/_SUCCESS"):
+        return
+    if not _exists(spark, f"{staged}/_SUCCESS"):
+        named = new.withColumn("bucket", _bucket(keys, buckets))
+        touched = sorted(r[0] for r in named.select("bucket").distinct().collect())
+        held = spark.createDataFrame([], new.schema)
+        if _exists(spark, path):
+            held = spark.read.schema(named.schema).parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+        rule(held, new).select(new.columns).write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
+    write_keyed(rows, path, keys, buckets)
+    done = rows.groupBy(_bucket(keys, buckets).alias("bucket")).agg(F.count("*").alias("rows"))
+    done.coalesce(1).write.mode("overwrite").json(entry)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """name and size of archived files (path, size), one row a name: what a later run compares with to skip what has not changed."""
     return files.groupBy(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).agg(F.max("size").alias("size"))

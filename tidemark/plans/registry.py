@@ -13,7 +13,7 @@ from tidemark.operators import asof, classify, events, fit, ingest, journal, mea
 from tidemark.plans import fixtures, views
 from tidemark.plans.params import DAILY, DAY, Params
 from tidemark.plans.views import FILLS, MEASURE, NEWS, NEWS_MARKETS, PRINTS, XP, news, news_markets, prints, table
-from tidemark.scratch import written
+from tidemark.scratch import new_folder, written
 from tidemark.sources import files
 from tidemark.streaming import jobs
 
@@ -491,6 +491,24 @@ def upsert_rules(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert(old, new, ["k"], ["s"])
 
 
+_CATALOGUE = "SELECT CAST(o_custkey AS VARCHAR) AS event_id, {0}(o_orderpriority) AS league, {0}(o_orderstatus) AS status, 'from ' || {0}(o_orderkey) AS description, {0}(o_orderdate) AS starts_at, {0}(o_orderdate) AS synced_at FROM orders WHERE o_orderpriority IN ({1}) GROUP BY o_custkey"
+
+
+@query(f"""WITH o AS ({_CATALOGUE.format("min", "'1-URGENT', '2-HIGH'")}), n AS ({_CATALOGUE.format("max", "'5-LOW'")})
+    SELECT coalesce(o.event_id, n.event_id) AS event_id, coalesce(o.league, n.league) AS league, coalesce(n.status, o.status) AS status, coalesce(n.description, o.description) AS description, coalesce(n.starts_at, o.starts_at) AS starts_at, coalesce(n.synced_at, o.synced_at) AS synced_at FROM o FULL JOIN n ON o.event_id = n.event_id""")
+def keyed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    # urgent orders, then others, then the last ones again: a catalogue table by hash buckets, in batches of which one comes twice
+    def catalogue(take, *priorities):
+        o = table(spark, d, "orders").filter(F.col("o_orderpriority").isin(*priorities)).groupBy(F.col("o_custkey").cast("string").alias("event_id"))
+        return o.agg(take("o_orderpriority").alias("league"), take("o_orderstatus").alias("status"), F.concat(F.lit("from "), take("o_orderkey").cast("string")).alias("description"), take("o_orderdate").alias("starts_at"), take("o_orderdate").alias("synced_at"))
+
+    path = new_folder(spark, "catalogue")
+    old, late = catalogue(F.min, "1-URGENT", "2-HIGH"), catalogue(F.max, "5-LOW")
+    for name, rows in (("0", old), ("1", late), ("0", old), ("1", late)):
+        tables.upsert_keyed(rows, path, ["event_id"], tables.upsert_events, name, 16)
+    return tables.read_keyed(spark, path, old.schema)
+
+
 @query("""WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS size, p_brand AS md5 FROM part WHERE p_partkey % 10 <> 0), s AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_brand END AS md5 FROM part WHERE p_partkey % 9 <> 0)
     SELECT * FROM (SELECT coalesce(a.path, s.path) AS path, CASE WHEN a.path IS NULL THEN 'missing' WHEN s.path IS NULL THEN 'extra' WHEN a.size <> s.size THEN 'size' WHEN a.md5 <> s.md5 THEN 'checksum' END AS verdict FROM a FULL JOIN s ON a.path = s.path) AS x WHERE verdict IS NOT NULL""")
 def archive_compare(spark: SparkSession, d: str) -> DataFrame:

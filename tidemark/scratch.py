@@ -23,9 +23,14 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path for a table that nothing else has."""
+    return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a Parquet table: computed once, however often they are read."""
-    path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path

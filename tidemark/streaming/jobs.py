@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import schemas
+from tidemark.operators import tables
 from tidemark.operators.journal import CHANGES, Continuity, Coverage
 
 
@@ -117,6 +118,18 @@ def coverage_stream(lines: DataFrame, silence_ms: int = 180_000, keep_ms: int =
     return lines.groupBy("env").transformWithStateInPandas(CoverageState(silence_ms, keep_ms), CHANGES, "Append", "ProcessingTime")
 
 
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], rule: tables.Rule, order: str, checkpoint: str, buckets: int = 256):
+    """Writes a stream into a table by keys, batch by batch; of several rows of a key in a batch the last in the given order counts.
+
+    The batch's number is its name in the table's ledger, so a batch that is replayed after a failure changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        tables.upsert_keyed(tables.last_by_key(batch, keys, order), path, keys, rule, str(number), buckets)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def activity(records: DataFrame, ts: str, key: str, width: str = "1 minute", late: str = "1 minute") -> DataFrame:
     """Rows per key and window of event time; late rows count until the watermark."""
     return records.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
