@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import is_game_line, normalize_name, plus, prop_player, season_week, seconds_between
 from tidemark.functions.teams import game_teams
 from tidemark.operators.asof import bucket
+from tidemark.operators.ordered import running
 from tidemark.plans.params import Params
+from tidemark.scratch import written
 
 
 def _near(left: DataFrame, right: DataFrame, keys: list[str], back: int, ahead: int) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +52,47 @@ def nearest_k(candidates: DataFrame, id_: list[str], distance, tie: str, k: int)
     return candidates.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
 
 
+def nearest_in_time(targets: DataFrame, candidates: DataFrame, id_: list[str], keys: list[str], at: str, time: str, tie: str, k: int, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Targets with their k nearest candidates of the same keys by |time - at|, ties by the tie column, with the rank `nth`.
+
+    Candidates are numbered in order, and a target's place among them says which ones to look at: a few before it and a few after, by
+    number, so no subject's rows all meet.  accept takes such pairs and gives the ones that count.  Where some don't, so that
+    nearer ones may lie beyond what was looked at, the next look is four times as wide, for these targets only.
+    """
+    held = candidates.select(*keys, *[c for c in candidates.columns if c not in keys])
+    asked = targets.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_is")).distinct()
+    both = asked.unionByName(held.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_is"), F.struct(held.columns).alias("_c")), allowMissingColumns=True).withColumn("_tie", F.col("_c").getField(tie))
+    placed = running(both, keys, ["_t", "_is", "_tie"], "_n", F.col("_is"))
+    size = placed.filter("_is = 1").groupBy(*keys).agg(F.count("*").alias("_size"))
+    # of those at one time the one with the least tie is the nearest, so looking back they are numbered the other way round
+    same = placed.filter("_is = 1").groupBy(*keys, "_t").agg((2 * F.min("_n") + F.count("*") - 1).alias("_turn"))
+    known = written(placed.filter("_is = 1").join(same, [*keys, "_t"]).select(*keys, "_n", (F.col("_turn") - F.col("_n")).alias("_back"), "_c"), "candidates")
+    pending = targets.join(placed.filter("_is = 0").select(*keys, F.col("_t").alias(at), "_n"), [*keys, at]).join(size, keys)
+    pending, wide, out = written(pending, "pending"), k + 1, []
+    names = [c for c in held.columns if c not in keys]
+    while not pending.isEmpty():
+        look = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        back = pending.withColumn("_look", F.explode(look(F.greatest(F.col("_n") - wide, F.lit(0)), F.col("_n") - 1))).join(known.select(*keys, F.col("_back").alias("_look"), "_c"), [*keys, "_look"]).withColumn("_ahead", F.lit(False))
+        ahead = pending.withColumn("_look", F.explode(look(F.col("_n"), F.least(F.col("_n") + wide, F.col("_size")) - 1))).join(known.select(*keys, F.col("_n").alias("_look"), "_c"), [*keys, "_look"]).withColumn("_ahead", F.lit(True))
+        pairs = back.unionByName(ahead).drop("_look").select("*", *[F.col("_c").getField(c).alias(c) for c in names]).drop("_c")
+        pairs = written(pairs.withColumn("_d", F.abs(seconds_between(F.col(time), F.col(at)))), "pairs")
+        good = nearest_k(pairs if accept is None else accept(pairs), id_, F.col("_d"), tie, k)
+        good = written(good, "nearest")
+        reach = F.max(F.struct("_d", F.col(tie).alias("_tie")))
+        seen = pairs.groupBy(*id_).agg(reach.alias("_r"), F.max(F.when(~F.col("_ahead"), F.struct("_d", F.col(tie).alias("_tie")))).alias("_rb"), F.max(F.when(F.col("_ahead"), F.struct("_d", F.col(tie).alias("_tie")))).alias("_ra")).drop("_r")
+        last = good.filter(F.col("nth") == k).select(*id_, F.struct("_d", F.col(tie).alias("_tie")).alias("_last"))
+        open_ = pending.join(seen, id_, "left").join(last, id_, "left")
+        inside = lambda r: F.coalesce(F.col("_last") <= F.col(r), F.lit(False))
+        done = ((F.col("_n") <= wide) | inside("_rb")) & ((F.col("_n") + wide >= F.col("_size")) | inside("_ra"))
+        rest = written(open_.filter(~done).select(pending.columns), "pending")
+        out.append(good.join(rest.select(*id_), id_, "left_anti"))
+        pending, wide = rest, 4 * wide
+    extra = ["_n", "_size", "_d", "_ahead"]
+    if not out:
+        return pending.join(known.drop("_n"), keys).select(*targets.columns, *[F.col("_c").getField(c).alias(c) for c in names], F.lit(0).alias("nth"))
+    return reduce(DataFrame.unionByName, out).drop(*extra)
+
+
 def schedule(events: DataFrame) -> DataFrame:
     """One row per game and team: event_id, starts_at, teams, team."""
     return events.withColumn("teams", game_teams(F.col("description"))).filter("teams is not null").select("event_id", "starts_at", "teams", F.explode("teams").alias("team"))
@@ -60,20 +106,23 @@ def placebo_moments(news: DataFrame, events: DataFrame, markets: DataFrame, post
     Gives (moments with at, placebo_event, market_ids, tier1; shortfalls by post with their text).
     """
     games = schedule(events).select(F.col("event_id").alias("g_event"), F.col("starts_at").alias("g_start"), F.col("teams").alias("g_teams"), "team")
-    c = news.join(games, "team").filter("g_event <> event_id")
-    c = c.filter(season_week(F.col("g_start"), p.season_start, p.season_zone).isNotNull())
-    c = c.withColumn("at", F.col("g_start") - (F.col("game_start") - F.col("t0"))).filter(plus(F.col("at"), p.settle) <= F.lit(data_end)).withColumn("id", F.concat_ws("|", "post_id", "subject", "g_event"))
-    watched = c.select("id", F.explode(F.concat(F.array(F.concat(F.lit("s:"), "subject")), F.transform("g_teams", lambda t: F.concat(F.lit("t:"), t)))).alias("about"), F.col("at").alias("t0"))
-    said = posts.select(F.concat(F.lit("s:"), "subject").alias("about"), "t0").union(posts.select(F.concat(F.lit("t:"), "team"), "t0")).filter("about is not null")
-    still = quiet(watched, said, ["about"], p.control_gap).groupBy("id").agg(F.count("*").alias("_q")).join(watched.groupBy("id").agg(F.count("*").alias("_w")), "id").filter("_q = _w").select("id")
-    c = c.join(still, "id", "left_semi").withColumn("name", normalize_name(F.col("subject")))
+    games = games.filter(season_week(F.col("g_start"), p.season_start, p.season_zone).isNotNull())
+    said = written(posts.select(F.concat(F.lit("s:"), "subject").alias("about"), "t0").union(posts.select(F.concat(F.lit("t:"), "team"), "t0")).filter("about is not null"), "said")
     named = markets.withColumn("_p", prop_player(F.col("description"), F.col("market_type"))).withColumn("_line", is_game_line(F.col("market_type"))).filter("_p is not null or _line")
-    named = named.select(F.col("event_id").alias("g_event"), "market_id", "_line", F.when(F.col("_p").isNotNull(), normalize_name(F.col("_p"))).alias("_name"))
-    own = c.join(named, "g_event").filter(F.col("_line") | (F.col("_name") == F.col("name")))
-    ids = own.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_line", "market_id"))), lambda x: x["market_id"]).alias("market_ids"))
+    named = written(named.select(F.col("event_id").alias("g_event"), "market_id", "_line", F.when(F.col("_p").isNotNull(), normalize_name(F.col("_p"))).alias("_name")), "named")
     first = prior.groupBy("name").agg(F.min("created").alias("_first"))
-    c = c.join(ids, "id").join(first, "name", "left").withColumn("tier1", F.coalesce(F.col("_first") < F.col("at"), F.lit(False)))
-    chosen = nearest_k(c, ["post_id", "subject"], F.abs(seconds_between(F.col("g_start"), F.col("game_start"))), "g_event", p.placebo_games)
+
+    def quiet_games(pairs: DataFrame) -> DataFrame:
+        """Games before the end of the data with nothing said nearby about the subject or a team, and with a market."""
+        c = pairs.filter("g_event <> event_id").withColumn("at", F.col("g_start") - (F.col("game_start") - F.col("t0"))).filter(plus(F.col("at"), p.settle) <= F.lit(data_end)).withColumn("id", F.concat_ws("|", "post_id", "subject", "g_event"))
+        watched = c.select("id", F.explode(F.concat(F.array(F.concat(F.lit("s:"), "subject")), F.transform("g_teams", lambda t: F.concat(F.lit("t:"), t)))).alias("about"), F.col("at").alias("t0"))
+        still = quiet(watched, said, ["about"], p.control_gap).groupBy("id").agg(F.count("*").alias("_q")).join(watched.groupBy("id").agg(F.count("*").alias("_w")), "id").filter("_q = _w").select("id")
+        c = c.join(still, "id", "left_semi").withColumn("name", normalize_name(F.col("subject")))
+        own = c.join(named, "g_event").filter(F.col("_line") | (F.col("_name") == F.col("name")))
+        ids = own.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_line", "market_id"))), lambda x: x["market_id"]).alias("market_ids"))
+        return c.join(ids, "id").join(first, "name", "left").withColumn("tier1", F.coalesce(F.col("_first") < F.col("at"), F.lit(False)))
+
+    chosen = nearest_in_time(news.filter("team is not null"), games, ["post_id", "subject"], ["team"], "game_start", "g_start", "g_event", p.placebo_games, quiet_games)
     n = chosen.groupBy("post_id", "subject").agg(F.count("*").alias("_n"))
     short = news.join(n, ["post_id", "subject"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     text = F.when(F.col("team").isNull(), "team unknown").when(F.col("_n") < p.placebo_games, F.concat(F.col("_n").cast("string"), F.lit(f" of {p.placebo_games} placebo games")))

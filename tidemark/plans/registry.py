@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -229,8 +230,31 @@ def gap_exclusion_anti(spark: SparkSession, d: str) -> DataFrame:
 def nearest_k_placebo(spark: SparkSession, d: str) -> DataFrame:
     n = news(spark, d)
     a, b = n.filter("status = '1-URGENT'").select("post_id", "subject", "t0"), n.select("subject", F.col("post_id").alias("other"), F.col("t0").alias("o_t0"))
-    pairs = a.join(b, "subject").filter("post_id <> other")
-    return events.nearest_k(pairs, ["post_id"], F.abs(scalar.seconds_between(F.col("o_t0"), F.col("t0"))), "other", 3).select("post_id", "other", "nth")
+    found = events.nearest_in_time(a, b, ["post_id"], ["subject"], "t0", "o_t0", "other", 3, lambda pairs: pairs.filter("post_id <> other"))
+    return found.select("post_id", "other", "nth")
+
+
+_LIONS = "CASE WHEN {0} % 2 = 0 THEN ['Lions', 'Bears'] ELSE ['Packers', 'Vikings'] END"
+
+
+@query(f"""WITH g AS (SELECT CAST(o_orderkey AS VARCHAR) AS event_id, o_orderdate AS starts_at, {_LIONS.format("o_custkey")} AS teams FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-01-03'),
+    a AS (SELECT o_orderkey AS post_id, 'p' || o_custkey % 50 AS subject, CASE WHEN o_custkey % 2 = 0 THEN 'Bears' ELSE 'Packers' END AS team, CAST(o_orderkey AS VARCHAR) AS event_id, o_orderdate AS t0, o_orderdate + INTERVAL 2 DAY AS game_start FROM orders WHERE o_orderpriority = '1-URGENT'),
+    s AS (SELECT 'p' || o_custkey % 50 AS subject, CASE WHEN o_custkey % 97 = 0 THEN 'Lions' END AS team, o_orderdate AS t0 FROM orders WHERE o_orderpriority = '5-LOW'),
+    c AS (SELECT a.post_id, a.subject, g.event_id, g.starts_at, game_start, g.starts_at - INTERVAL 2 DAY AS moment, g.teams FROM a JOIN g ON list_contains(g.teams, a.team) AND g.event_id <> a.event_id WHERE g.starts_at - INTERVAL 2 DAY + INTERVAL 60 DAY <= TIMESTAMP '1998-06-01'),
+    q AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.subject = c.subject AND abs(epoch(s.t0) - epoch(c.moment)) < 2 * 86400) AND NOT EXISTS (SELECT 1 FROM s WHERE list_contains(c.teams, s.team) AND abs(epoch(s.t0) - epoch(c.moment)) < 2 * 86400))
+    SELECT post_id, event_id, moment AS at, 'L' || event_id AS markets, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY abs(epoch(starts_at) - epoch(game_start)), event_id) AS nth FROM q) AS x WHERE nth <= 3""")
+def placebo_games(spark: SparkSession, d: str) -> DataFrame:
+    # orders in process as games, urgent orders as news two days before one's own game, low ones as what is said about subjects and teams
+    o = table(spark, d, "orders")
+    key, even = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 2 == 0
+    games = o.filter("o_orderstatus = 'P'").select(key.alias("event_id"), F.col("o_orderdate").alias("starts_at"), F.when(even, "Detroit Lions @ Chicago Bears").otherwise("Green Bay Packers @ Minnesota Vikings").alias("description"))
+    subject = F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("subject")
+    urgent = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("post_id"), subject, F.when(even, "Bears").otherwise("Packers").alias("team"), key.alias("event_id"), F.col("o_orderdate").alias("t0"), (F.col("o_orderdate") + F.expr("interval 2 days")).alias("game_start"))
+    said = o.filter("o_orderpriority = '5-LOW'").select(subject, F.when(F.col("o_custkey") % 97 == 0, "Lions").alias("team"), F.col("o_orderdate").alias("t0"))
+    lines = games.select(F.concat(F.lit("L"), "event_id").alias("market_id"), "event_id", F.lit("MONEY").alias("market_type"), F.lit("a line").alias("description"))
+    prior = urgent.select(F.col("subject").alias("name"), F.col("t0").alias("created")).limit(0)
+    found, _ = events.placebo_moments(urgent, games, lines, said, prior, replace(DAILY, control_gap=2 * DAY), DATA_END)
+    return found.select("post_id", "event_id", "at", F.array_join("market_ids", ",").alias("markets"), "nth")
 
 
 # ---- ingestion
