@@ -36,7 +36,7 @@ def test_no_pair_of_a_subject_meets_in_full(spark, monkeypatch):
     was = events.written
     monkeypatch.setattr(events, "written", lambda df, tag: (lambda t: (seen.append(t.count()) if tag == "pairs" else None, t)[1])(was(df, tag)))
     got = events.nearest_in_time(targets, held, ["id"], ["who"], "at", "t", "other", 2, lambda p: p.filter("id <> other"))
-    assert got.count() == 800 and sum(seen) <= 400 * 6 + 50  # not 400 * 400
+    assert got.count() == 800 and sum(seen) <= 400 * 16  # not 400 * 400
 
 
 def test_nothing_to_look_for(spark):

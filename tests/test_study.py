@@ -179,3 +179,23 @@ def test_last_print_across_buckets_against_all_pairs(spark):
         for i, m, o, x in asked:
             seen = [(p[2], p[3]) for p in prints if p[0] == m and p[1] == o and x - timedelta(seconds=600) <= p[2] and (p[2] < x or (inclusive and p[2] == x))]
             assert got[i][0] == (max(seen)[1] if seen else None)
+
+
+def test_interval_sums_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    prints = [("m" if rng.random() < 0.9 else "n", at(int(t)), 1, float(k)) for k, t in enumerate(rng.integers(0, 5000, 120))]
+    asked = [(i, "m" if i % 3 else "n", at(int(t)), at(int(t) + int(w))) for i, (t, w) in enumerate(zip(rng.integers(-900, 6000, 90), rng.integers(0, 700, 90), strict=True))] + [(900, "x", at(0), at(9)), (901, None, at(0), at(9)), (902, "m", prints[0][1], prints[0][1])]
+    df = spark.createDataFrame(asked, "id bigint, market_id string, lo timestamp, hi timestamp")
+    got = {r["id"]: tuple(r)[1:] for r in asof.interval_sums(df, spark.createDataFrame(prints, "market_id string, ts timestamp, n int, qty double"), ["id"], ["market_id"], F.col("lo"), F.col("hi"), 700, ["n", "qty"]).collect()}
+    want = {}
+    for i, m, lo, hi in asked:
+        seen = [p for p in prints if p[0] == m and lo <= p[1] <= hi]
+        if seen:
+            want[i] = (len(seen), pytest.approx(sum(p[3] for p in seen)), min(p[1] for p in seen).replace(tzinfo=None), max(p[1] for p in seen).replace(tzinfo=None))
+    assert got == want and len(want) > 20
+
+
+def test_a_busy_market_is_many_buckets(spark):
+    trades = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "busy").otherwise(F.concat(F.lit("m"), F.col("id") % 7)).alias("market_id"), F.lit("o").alias("outcome_id"), F.lit("TAKER").alias("side"), (F.lit(T0.replace(tzinfo=None)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") / 7).cast("decimal(18,6)"))).alias("ts"), F.lit(1.0).alias("cost"), F.lit(2.0).alias("qty"))
+    sizes = [r["count"] for r in asof.taker_prints(trades).withColumn("b", asof.bucket(F.col("ts"), 60)).groupBy("market_id", "b").count().collect()]
+    assert len(sizes) > 300 and max(sizes) <= 60 * 7 + 1 and sum(sizes) == 20_000
