@@ -240,7 +240,7 @@ _LIONS = "CASE WHEN {0} % 2 = 0 THEN ['Lions', 'Bears'] ELSE ['Packers', 'Viking
 @query(f"""WITH g AS (SELECT CAST(o_orderkey AS VARCHAR) AS event_id, o_orderdate AS starts_at, {_LIONS.format("o_custkey")} AS teams FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1995-01-03'),
     a AS (SELECT o_orderkey AS post_id, 'p' || o_custkey % 50 AS subject, CASE WHEN o_custkey % 2 = 0 THEN 'Bears' ELSE 'Packers' END AS team, CAST(o_orderkey AS VARCHAR) AS event_id, o_orderdate AS t0, o_orderdate + INTERVAL 2 DAY AS game_start FROM orders WHERE o_orderpriority = '1-URGENT'),
     s AS (SELECT 'p' || o_custkey % 50 AS subject, CASE WHEN o_custkey % 97 = 0 THEN 'Lions' END AS team, o_orderdate AS t0 FROM orders WHERE o_orderpriority = '5-LOW'),
-    c AS (SELECT a.post_id, a.subject, g.event_id, g.starts_at, game_start, g.starts_at - INTERVAL 2 DAY AS moment, g.teams FROM a JOIN g ON list_contains(g.teams, a.team) AND g.event_id <> a.event_id WHERE g.starts_at - INTERVAL 2 DAY + INTERVAL 60 DAY <= TIMESTAMP '1998-09-25'),
+    c AS (SELECT a.post_id, a.subject, g.event_id, g.starts_at, game_start, g.starts_at - INTERVAL 2 DAY AS moment, g.teams FROM a JOIN g ON list_contains(g.teams, a.team) AND g.event_id <> a.event_id WHERE g.starts_at - INTERVAL 2 DAY + INTERVAL 60 DAY <= TIMESTAMP '2001-09-25'),
     w AS (SELECT DISTINCT 's:' || subject AS about, moment FROM c UNION SELECT DISTINCT 't:' || unnest(teams), moment FROM c),
     l AS (SELECT DISTINCT w.about, moment FROM w JOIN (SELECT 's:' || subject AS about, t0 FROM s UNION SELECT 't:' || team, t0 FROM s WHERE team IS NOT NULL) AS y ON y.about = w.about AND t0 > moment - INTERVAL 2 DAY AND t0 < moment + INTERVAL 2 DAY),
     q AS (SELECT c.* FROM c ANTI JOIN l AS a ON a.about = 's:' || c.subject AND a.moment = c.moment ANTI JOIN l AS b ON b.about = 't:' || c.teams[1] AND b.moment = c.moment ANTI JOIN l AS d ON d.about = 't:' || c.teams[2] AND d.moment = c.moment)
@@ -255,7 +255,7 @@ def placebo_games(spark: SparkSession, d: str) -> DataFrame:
     said = o.filter("o_orderpriority = '5-LOW'").select(subject, F.when(F.col("o_custkey") % 97 == 0, "Lions").alias("team"), F.col("o_orderdate").alias("t0"))
     lines = games.select(F.concat(F.lit("L"), "event_id").alias("market_id"), "event_id", F.lit("MONEY").alias("market_type"), F.lit("a line").alias("description"))
     prior = urgent.select(F.col("subject").alias("name"), F.col("t0").alias("created")).limit(0)
-    found, _ = events.placebo_moments(urgent, games, lines, said, prior, replace(DAILY, control_gap=2 * DAY), datetime(1998, 9, 25))
+    found, _ = events.placebo_moments(urgent, games, lines, said, prior, replace(DAILY, control_gap=2 * DAY), datetime(2001, 9, 25))
     return found.select("post_id", "event_id", "at", F.array_join("market_ids", ",").alias("markets"), "nth")
 
 
