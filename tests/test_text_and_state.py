@@ -147,3 +147,33 @@ def test_manifest_of_archived_files(spark):
 
     files = spark.createDataFrame([("/x/2024/a.tar.gz", 3), ("/x/b.tar.gz", 5), ("/y/b.tar.gz", 4)], "path string, size bigint")
     assert {tuple(r) for r in tables.manifest(files).collect()} == {("a.tar.gz", 3), ("b.tar.gz", 5)}
+
+
+def test_sides_of_fixtures(spark):
+    from tidemark.operators import sides
+
+    rows = sides.favored_side(fixtures.moments(spark).join(fixtures.side_markets(spark))).select("subject", "market_id", "status", "kind", "favored_id").collect()
+    got = {(r["subject"], r["status"], r["market_id"]): (r["kind"], r["favored_id"]) for r in rows}
+    assert got["Lou Hart", "doubtful", "m1"] == ("player_prop", "o2") and got["Lou Hart", "out", "m1"] == ("player_prop", None)
+    assert got["Lou Hart", "doubtful", "m2"] == ("game_line", "o3") and got["Lou Hart", "doubtful", "m4"][1] is None
+    assert got["Lou Hart", "doubtful", "m5"] == ("team_total", "o10") and got["Lou Hart", "doubtful", "m6"][1] is None
+
+
+def test_windows_and_slots_of_whole_tables(spark):
+    from tidemark.plans import registry
+
+    where = "/root/testdata/sf0.01"
+    changes = []
+    known = {}
+    for r in registry.event_journal(spark, where).orderBy("line").collect():
+        changes += [{"env": r["env"], **x} for x in known.setdefault(r["env"], journal.Coverage()).take(*r[1:])]
+    names = [c.split()[0] for c in journal.CHANGES.split(", ")]
+    want = journal.current_windows(spark.createDataFrame([tuple(x.get(c) for c in names) for x in changes], journal.CHANGES)).collect()
+    got = registry.QUERIES["missing_windows"](spark, where).collect()
+    plain = lambda rows: sorted(((r["env"], r["start"], r["end"], r["scope"], r["slot"], r["events"] or None, r["market"], r["cause"]) for r in rows), key=str)
+    assert plain(got) == plain(want) and len(got) > 500
+    held = {}
+    for r in spark.read.parquet(f"{where}/customer.parquet").collect():
+        held.setdefault(f"env{r['c_nationkey']}", []).append((r["c_name"], r["c_custkey"], r["c_nationkey"] * 40))
+    plan = {(e, n): s for e, rows in held.items() for n, s in journal.pack_slots([(n, m, None) for n, _, m in sorted(rows, key=lambda x: (x[1], x[0]))], 4, 1800)}
+    assert {(r["env"], r["eventId"]): r["slot"] for r in registry.QUERIES["plan_slots"](spark, where).collect()} == plan

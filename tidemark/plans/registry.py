@@ -584,15 +584,19 @@ def favored_sides(spark: SparkSession, d: str) -> DataFrame:
     return sides.favored_side(rows).select("market_id", "kind", "favored_id", "reason")
 
 
-@query()
-def favored_sides_of_fixtures(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixtures.moments(spark).join(fixtures.side_markets(spark))
-    return sides.favored_side(rows).select("subject", "market_id", "kind", "favored_id", "favored", "reason")
+def event_journal(spark: SparkSession, d: str) -> DataFrame:
+    """Events as the journals of ten recorders with two slots each: their kinds by type and number, now and then a start or a stop."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(k == 0, "start").when(k == 1, "stop").when(k == 2, "heartbeat").when(F.col("event_type") == "error", "disconnected").when(F.col("event_type") == "signup", "seq_gap").when(F.col("event_type") == "purchase", "resynced").otherwise("covered")
+    rows = table(spark, d, "events").select(F.concat(F.lit("r"), F.col("user_id") % 10).alias("env"), F.col("event_id").alias("line"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), kind.alias("kind"), k.alias("k"))
+    slot = F.when(~F.col("kind").isin("start", "stop", "heartbeat"), (F.col("k") % 2).cast("int"))
+    market = F.when(F.col("kind").isin("seq_gap", "resynced"), F.concat(F.lit("m"), F.col("k") % 3))
+    return rows.select("env", "line", "ts", "kind", slot.alias("slot"), F.when(F.col("kind") == "start", 2).alias("slots"), F.when(F.col("kind") == "covered", F.array(F.concat(F.lit("e"), F.col("k") % 5))).alias("events"), market.alias("market"), F.when(F.col("kind") == "stop", "told to").alias("detail"))
 
 
 @query()
 def missing_windows(spark: SparkSession, d: str) -> DataFrame:
-    return journal.missing_windows(fixtures.journal(spark))
+    return journal.missing_windows(event_journal(spark, d))
 
 
 @query("""WITH j AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, event_type IN ('error', 'view') AS off FROM events),
@@ -610,15 +614,21 @@ def missing_windows_of_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def plan_slots(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select(F.lit("prod").alias("env"), F.col("c_name").alias("eventId"), F.col("c_custkey").alias("startsTs"), (F.col("c_nationkey") * 40).alias("markets"), F.lit(None).cast("int").alias("current_slot"))
+    # each nation's customers are a catalogue of their own
+    rows = table(spark, d, "customer").select(F.concat(F.lit("env"), "c_nationkey").alias("env"), F.col("c_name").alias("eventId"), F.col("c_custkey").alias("startsTs"), (F.col("c_nationkey") * 40).alias("markets"), F.lit(None).cast("int").alias("current_slot"))
     return journal.plan_slots(rows)
 
 
-@query("SELECT * FROM (VALUES ('Carolina Panthers @ Arizona Cardinals', 'Panthers', 'Cardinals'), ('Super Bowl winner', NULL, NULL), ('Tampa Bay Buccaneers @ Ohio Knights', NULL, NULL)) AS t(description, away, home)")
+_TOWNS = ["Carolina Panthers", "Arizona Cardinals", "Tampa Bay Buccaneers", "Ohio Knights", "Detroit Lions"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'Super Bowl winner' ELSE {_TOWNS}[c_custkey % 5 + 1] || ' @ ' || {_TOWNS}[c_nationkey % 5 + 1] END AS description, c_custkey % 11 = 0 OR c_custkey % 5 = 3 OR c_nationkey % 5 = 3 AS odd, ['Panthers', 'Cardinals', 'Buccaneers', 'Knights', 'Lions'] AS t, c_nationkey FROM customer)
+    SELECT c_custkey, description, CASE WHEN NOT odd THEN t[c_custkey % 5 + 1] END AS away, CASE WHEN NOT odd THEN t[c_nationkey % 5 + 1] END AS home FROM c""")
 def game_team_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("Carolina Panthers @ Arizona Cardinals",), ("Super Bowl winner",), ("Tampa Bay Buccaneers @ Ohio Knights",)], "description string")
+    town = lambda c: F.get(F.array(*[F.lit(x) for x in _TOWNS]), (F.col(c) % 5).cast("int"))
+    rows = table(spark, d, "customer").withColumn("description", F.when(F.col("c_custkey") % 11 == 0, "Super Bowl winner").otherwise(F.concat_ws(" @ ", town("c_custkey"), town("c_nationkey"))))
     t = teams.game_teams(F.col("description"))
-    return rows.select("description", F.get(t, F.lit(0)).alias("away"), F.get(t, F.lit(1)).alias("home"))
+    return rows.select("c_custkey", "description", F.get(t, F.lit(0)).alias("away"), F.get(t, F.lit(1)).alias("home"))
 
 
 @query("SELECT lower(role) AS role, count(*) AS n FROM conversations WHERE lower(role) = lower('USER') AND turn >= 0 AND turn < 3 GROUP BY 1")
@@ -644,10 +654,13 @@ def completed_days(spark: SparkSession, d: str) -> DataFrame:
     return files.completed_days(names, datetime(1996, 1, 1).date())
 
 
-@query("SELECT greatest(0, 3) * 0.5 + 2 * 0.25 + 1.0 AS cost")
+@query("""SELECT l_orderkey, round(sum(CASE l_returnflag WHEN 'A' THEN 0.5 WHEN 'N' THEN 0.25 ELSE 0.0 END) + max(l_linenumber) / 4.0, 6) AS cost FROM lineitem GROUP BY l_orderkey""")
 def run_costs(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql("select map('item', 3, 'start', 2) as counts, map('item', named_struct('eventPriceUsd', cast(null as double), 'eventTieredPricingUsd', map('a', named_struct('tieredEventPriceUsd', 0.5D), 'b', named_struct('tieredEventPriceUsd', 0.25D))), 'start', named_struct('eventPriceUsd', 0.25D, 'eventTieredPricingUsd', cast(null as map<string, struct<tieredEventPriceUsd: double>>))) as prices, 1.0D as usage")
-    return rows.select(scalar.run_cost(F.col("counts"), F.col("prices"), F.col("usage")).alias("cost"))
+    # an order is a run: its lines are charged events, of which A has two tiers, N one price and R none
+    flags = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").cast("int").alias("n"), F.max("l_linenumber").alias("m"))
+    runs = flags.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n"))).alias("counts"), (F.max("m") / 4.0).cast("double").alias("usage"))
+    prices = F.expr("map('A', named_struct('eventPriceUsd', cast(null as double), 'eventTieredPricingUsd', map('a', named_struct('tieredEventPriceUsd', 0.5D), 'b', named_struct('tieredEventPriceUsd', 0.25D))), 'N', named_struct('eventPriceUsd', 0.25D, 'eventTieredPricingUsd', cast(null as map<string, struct<tieredEventPriceUsd: double>>)))")
+    return runs.select("l_orderkey", F.round(scalar.run_cost(F.col("counts"), prices, F.col("usage")), 6).alias("cost"))
 
 
 # ---- catalogues, rosters, files, windows of event time
