@@ -5,13 +5,20 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import events
+from tidemark.operators import events, ordered
 
 T0 = datetime(2026, 10, 4)
 
 
-@pytest.mark.parametrize(("seed", "rejects"), [(1, 0.0), (2, 0.5), (3, 0.97)])
-def test_random_candidates(spark, seed, rejects):
+@pytest.fixture(params=["window", "ranges"])
+def way(request, monkeypatch):
+    """Both ways of running sums: in one window, and by ranges."""
+    if request.param == "ranges":
+        monkeypatch.setattr(ordered, "SMALL", -1)
+
+
+@pytest.mark.parametrize(("seed", "rejects"), [(2, 0.5), (3, 0.97)])
+def test_random_candidates(spark, way, seed, rejects):
     rng = random.Random(seed)
     at = lambda k: T0 + timedelta(hours=k)
     span = rng.choice([10, 60])

@@ -42,8 +42,15 @@ def brute(rows, at, least):
     return statistics.median(m for m, _ in known) if len({p for _, p in known}) >= least else None
 
 
-@pytest.mark.parametrize(("seed", "block", "n"), [(1, 1, 60), (2, 3, 300), (3, 16, 700), (4, 4096, 200)])
-def test_expanding_medians_in_blocks(spark, seed, block, n, monkeypatch):
+@pytest.fixture(params=["window", "ranges"])
+def way(request, monkeypatch):
+    """Both ways of running sums: in one window, and by ranges."""
+    if request.param == "ranges":
+        monkeypatch.setattr(ordered, "SMALL", -1)
+
+
+@pytest.mark.parametrize(("seed", "block", "n"), [(1, 1, 60), (3, 16, 700), (4, 4096, 200)])
+def test_expanding_medians_in_blocks(spark, way, seed, block, n, monkeypatch):
     monkeypatch.setattr(fit, "SHARED", 2)
     rng = random.Random(seed)
     at = lambda k: T0 + timedelta(minutes=k)

@@ -1,8 +1,8 @@
 """Running sums in a global order, for groups of any size.
 
-A window function gives a whole group to one task.  Here rows are sorted by ranges of group and order, so a large group takes
-several tasks; each task sums what it has, and one row for each task tells the next how much of its first
-group came before.
+A window function gives a whole group to one task, which is right for a table that any task could hold.  Beyond that size rows are
+sorted by ranges of group and order, so a large group takes several tasks; each task sums what it has, and one row for
+each task tells the next how much of its first group came before.
 """
 
 from __future__ import annotations
@@ -11,13 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.scratch import written
 
 
+#: Bytes of a written table up to which one window does it.
+SMALL = 32 << 20
+
+
+def _bytes(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to sorted rows (_a, _b, weights _w0, _w1 and so on, others) what comes before each in its group and whether this is the first group of the task."""
     key, totals, first = None, None, True
@@ -50,8 +58,13 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], weights: di
     group.  At most one row for each task reaches the driver.
     """
     spark, n = rows.sparkSession, range(len(weights))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = rows.withColumns({"_a": F.xxhash64(F.lit(1), *keys), "_b": F.xxhash64(F.lit(2), *reversed(keys))} | {f"_w{k}": w.cast("long") for k, w in enumerate(weights.values())})
+    # written first: its size decides, and sorting by ranges reads it twice
+    marked = written(marked, "unordered")
+    if parts is None and _bytes(marked) <= SMALL:
+        before = Window.partitionBy("_a", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return written(marked.select(*rows.columns, *[F.coalesce(F.sum(f"_w{k}").over(before), F.lit(0)).alias(name) for k, name in enumerate(weights)]), "ordered")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*marked.schema.fields, *[T.StructField(f"_before{k}", T.LongType()) for k in n], T.StructField("_open", T.BooleanType())])
     dealt = marked.repartitionByRange(parts, "_a", "_b", *order).sortWithinPartitions("_a", "_b", *order)
     held = written(dealt.mapInArrow(_sums, schema).withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "ordered")
