@@ -68,7 +68,7 @@ def nearest_in_time(targets: DataFrame, candidates: DataFrame, id_: list[str], k
     same = placed.filter("_is = 1").groupBy(*keys, "_t").agg((2 * F.min("_n") + F.count("*") - 1).alias("_turn"))
     known = written(placed.filter("_is = 1").join(same, [*keys, "_t"]).select(*keys, "_n", (F.col("_turn") - F.col("_n")).alias("_back"), "_c"), "candidates")
     pending = targets.join(placed.filter("_is = 0").select(*keys, F.col("_t").alias(at), "_n"), [*keys, at]).join(size, keys)
-    pending, wide, out = written(pending, "pending"), k if accept is None else 4 * k, []
+    pending, wide, out = written(pending, "pending"), k if accept is None else 2 * k, []
     names = [c for c in held.columns if c not in keys]
     while not pending.isEmpty():
         look = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
