@@ -226,3 +226,33 @@ def test_equal_intervals_are_one_question_and_no_frame_looks_ahead(spark):
     found = asof.interval_sums(asked, prints, ["id"], ["market_id"], F.col("at"), F.col("at") + F.expr("interval 100 seconds"), 100, ["n"])
     assert {tuple(r)[1:] for r in found.collect()} == {(21, at(0).replace(tzinfo=None), at(100).replace(tzinfo=None))} and found.count() == 300
     assert "unboundedfollowing$()))" not in found._jdf.queryExecution().optimizedPlan().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
+def test_fills_of_many_moments_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [taker(int(t), 0.4 + 0.01 * int(k), 1 + int(k)) if rng.random() < 0.5 else maker(int(t), 0.6 - 0.01 * int(k), 1 + int(k)) for t, k in zip(rng.integers(0, 30, 150) * 60, rng.integers(0, 5, 150), strict=True)]
+    takers = {}
+    for r in rows:
+        takers[r[0]] = takers.get(r[0], 0) + (r[3] == "TAKER")
+    rows = [(*r[:7], takers[r[0]] > 1) for r in rows]
+    favored = rows[0][2] if rows[0][3] == "TAKER" else next(r[2] for r in rows if r[3] == "TAKER")
+    times = [at(60 * int(t)) for t in rng.integers(-5, 30, 60)]
+    df = spark.createDataFrame([(i, rows[0][1], favored, t, 0.42 if i % 4 else None) for i, t in enumerate(times)], "post_id bigint, market_id string, favored_id string, at timestamp, thr double")
+    trades = spark.createDataFrame(rows, TRADES)
+    got = {r["post_id"]: r for r in measure.with_stale_stats(df, trades, {"x": "thr"}, P).collect()}
+    sums = {r["post_id"]: r for r in measure.fill_totals(df, trades, ["post_id"], P).collect()}
+    assert len(got) == 60 and 10 < len(sums) <= 60
+    for i, t in enumerate(times):
+        inside = [r for r in rows if t <= r[0] <= t + timedelta(seconds=P.window)]
+        solo = {r[0] for r in inside if r[3] == "TAKER" and r[2] == favored and not r[7]}
+        levels = [(r[0], 1.0 - r[4], r[5], False) for r in inside if r[3] == "MAKER" and r[2] != favored and r[0] in solo] + [(r[0], r[4], r[5], True) for r in inside if r[3] == "TAKER" and r[2] == favored and r[7]]
+        if i % 4:
+            stale = [x for x in levels if x[1] < 0.42]
+            assert (got[i]["x_fills"], got[i]["x_qty_upper"], got[i]["x_ambiguous_qty"]) == (len(stale), sum(x[2] for x in stale), sum(x[2] for x in stale if x[3]))
+            assert got[i]["x_first_s"] == (min((x[0] - t).total_seconds() for x in stale) if stale else None)
+        else:
+            assert got[i]["x_fills"] is None and got[i]["x_qty"] is None
+        assert (i in sums) == bool(levels)
+        if levels:
+            assert (sums[i]["levels"], sums[i]["qty"], sums[i]["ambiguous"]) == (len(levels), sum(x[2] for x in levels), sum(x[3] for x in levels))
+            assert sums[i]["cost"] == pytest.approx(sum(x[1] * x[2] for x in levels))

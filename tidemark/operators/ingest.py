@@ -47,9 +47,10 @@ def check(raw: DataFrame) -> None:
 
 
 def flag_ambiguous(trades: DataFrame) -> DataFrame:
-    """taker_count: takers at the same time in the same market; ambiguous if there are several."""
+    """taker_count: takers at the same time in the same market; ambiguous if there are several.  trades may have `n`, the number of prints in a row."""
     same = Window.partitionBy("ts", "market_id")
-    takers = F.sum(F.when(F.col("side") == "TAKER", 1).otherwise(0)).over(same)
+    number = F.col("n") if "n" in trades.columns else F.lit(1)
+    takers = F.sum(F.when(F.col("side") == "TAKER", number).otherwise(0)).over(same)
     return trades.withColumn("taker_count", takers.cast("smallint")).withColumn("ambiguous", F.col("taker_count") > 1)
 
 

@@ -44,7 +44,7 @@ def run(moments: DataFrame, markets: DataFrame, trades: DataFrame, p: Params, da
     taught = fit.fit_rows(rows.filter(F.col("group") == NEWS), p)
     control = F.col("group") == CONTROL
     expected = fit.expected_moves(rows.filter(~control), taught, ID, p).unionByName(fit.expected_moves(rows.filter(control), taught, ID, p, control=True))
-    return measure.stale_views(expected, trades, ID, p, ("xp", "t0"))
+    return measure.stale_views(expected, trades, p, ("xp", "t0"))
 
 
 def group_counts(measured: DataFrame) -> DataFrame:

@@ -23,6 +23,12 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_ambiguous(raw_prints(spark, sf_dir))
 
 
+def counted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same prints, those alike in all but size as one row: their number n, and the sums of their quantities and costs."""
+    alike = raw_prints(spark, sf_dir).groupBy("ts", "market_id", "outcome_id", "side", "price")
+    return flag_ambiguous(alike.agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("cost").alias("cost")))
+
+
 def news_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders as news, each with the markets (brands) of its lines and a favoured outcome."""
     orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_custkey")
