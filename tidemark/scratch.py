@@ -37,6 +37,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """One side of a join that grows with the input: it is shuffled and never broadcast.  A written table is a small file however many rows it has, so Spark would take it through the driver."""
+    return side.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of `written` that nothing reads any more."""
     for t in tables:
