@@ -168,6 +168,17 @@ def test_study_of_a_moment_with_markets(spark):
     assert [tuple(r) for r in study.group_counts(study.run(moments_, markets, trades, P)).collect()] == [("news", True, None, 1, 1)]
 
 
+def test_group_counts_need_no_fills(spark, monkeypatch):
+    rows = [("news", 1, "Lou Hart", "Bears", "out", "g", True, at(0), at(7200), ["Lions", "Bears"], ["m"]), ("news", 3, "Lou Hart", "Bears", "out", "g", True, at(-9000), at(7200), ["Lions", "Bears"], ["m"])]
+    moments_ = spark.createDataFrame(rows, "group string, post_id bigint, subject string, team string, status string, event_id string, tier1 boolean, at timestamp, game_start timestamp, game_teams array<string>, market_ids array<string>")
+    markets = spark.createDataFrame([("m", "MONEY", "Detroit Lions @ Chicago Bears MONEY", [("yes", "DET Lions"), ("no", "CHI Bears")])], "market_id string, market_type string, description string, outcomes array<struct<outcomeId:string,name:string>>")
+    trades = spark.createDataFrame([taker(-60, 0.45, 10), taker(5, 0.46, 2), maker(5, 0.54, 2), taker(1800, 0.65, 1)], TRADES)
+    counts = lambda *views: sorted(map(str, study.group_counts(study.run(moments_, markets, trades, P, None, *views)).collect()))
+    with_fills = counts()
+    monkeypatch.setattr(measure, "with_stale_stats", None)
+    assert counts(()) == with_fills and len(with_fills) == 2
+
+
 def test_last_print_across_buckets_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     prints = [("m" if k % 3 else "n", "o", at(int(t)), float(k), 1.0) for k, t in enumerate(rng.choice(20_000, 150, replace=False))]

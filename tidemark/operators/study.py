@@ -34,17 +34,17 @@ def measure_moments(moments: DataFrame, markets: DataFrame, trades: DataFrame, p
     return measure.measure(rows, trades, ID, p, data_end, views)
 
 
-def run(moments: DataFrame, markets: DataFrame, trades: DataFrame, p: Params, data_end=None) -> DataFrame:
+def run(moments: DataFrame, markets: DataFrame, trades: DataFrame, p: Params, data_end=None, views: tuple[str, ...] = ("xp", "t0")) -> DataFrame:
     """The whole study: news teach the expected moves, each by what had settled before; then every group is measured with them.
 
     Prices don't depend on what was expected, so they are looked up once for all groups and written; from that table come
-    the lessons, the expected moves and the statistics of fills.
+    the lessons, the expected moves and the statistics of fills in the views asked for; these add columns only, no rows.
     """
     rows = written(measure.prices(market_moments(moments, markets, p), trades, p, data_end), "prices")
     taught = fit.fit_rows(rows.filter(F.col("group") == NEWS), p)
     control = F.col("group") == CONTROL
     expected = fit.expected_moves(rows.filter(~control), taught, ID, p).unionByName(fit.expected_moves(rows.filter(control), taught, ID, p, control=True))
-    return measure.stale_views(expected, trades, p, ("xp", "t0"))
+    return measure.stale_views(expected, trades, p, views)
 
 
 def group_counts(measured: DataFrame) -> DataFrame:
