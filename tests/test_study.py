@@ -1,4 +1,5 @@
 from datetime import UTC, datetime, timedelta
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -206,6 +207,18 @@ def test_interval_sums_against_all_pairs(spark):
     assert got == want and len(want) > 20
 
 
+def test_a_price_does_not_depend_on_the_order_of_its_prints(spark):
+    alike = [(0.1, 1, 1), (0.2, 1, 1), (0.3, 1, 1), (0.7, 3, 3)]  # price, size, number
+    want = 0.0
+    for cost in sorted(p * q for p, q, n in alike for _ in range(n)):
+        want += cost
+    for order in permutations(alike):
+        rows = [taker(-60, p, q) for p, q, n in order for _ in range(n)]
+        counted = [(at(-60), "m", "yes", "TAKER", p, float(n * q), n * (p * q), False, n, (p * q, float(q))) for p, q, n in order]
+        for trades in (spark.createDataFrame(rows, TRADES).coalesce(1), spark.createDataFrame(counted, TRADES + ", n long, print struct<cost: double, qty: double>").coalesce(1)):
+            assert [(r["cost"], r["qty"]) for r in asof.taker_prints(trades).collect()] == [(want, 12.0)]
+
+
 def test_a_busy_market_is_many_buckets(spark):
     trades = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "busy").otherwise(F.concat(F.lit("m"), F.col("id") % 7)).alias("market_id"), F.lit("o").alias("outcome_id"), F.lit("TAKER").alias("side"), (F.lit(T0.replace(tzinfo=None)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") / 7).cast("decimal(18,6)"))).alias("ts"), F.lit(1.0).alias("cost"), F.lit(2.0).alias("qty"))
     sizes = [r["count"] for r in asof.taker_prints(trades).withColumn("b", asof.bucket(F.col("ts"), 60)).groupBy("market_id", "b").count().collect()]

@@ -24,9 +24,10 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counted_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same prints, those alike in all but size as one row: their number n, and the sums of their quantities and costs."""
-    alike = raw_prints(spark, sf_dir).groupBy("ts", "market_id", "outcome_id", "side", "price")
-    return flag_ambiguous(alike.agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("cost").alias("cost")))
+    """The same prints, those alike as one row: their number n, the sums of their quantities and costs, and the cost and quantity of each."""
+    alike = raw_prints(spark, sf_dir).groupBy("ts", "market_id", "outcome_id", "side", "price", "qty", "cost").agg(F.count("*").alias("n"))
+    n, each = F.col("n"), F.struct("cost", "qty").alias("print")
+    return flag_ambiguous(alike.select("ts", "market_id", "outcome_id", "side", "price", "n", (n * F.col("qty")).alias("qty"), (n * F.col("cost")).alias("cost"), each))
 
 
 def news_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
